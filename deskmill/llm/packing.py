@@ -29,6 +29,7 @@ from deskmill.llm import kernels as K
 from deskmill.llm.tokens import Encoder
 
 SENTENCE, WORD, HARD = 4, 12, 24  # penalties, in ids of padding
+SHORT = 32  # what a sequence of a power of two below the full size costs, as it takes a place of its own
 GRID = 16
 
 
@@ -38,8 +39,7 @@ def best_cuts(place: list[int], penalty: list[int], size: int) -> tuple[list[int
     cost, back = [0] * n, [0] * n
     queue: deque[int] = deque([0])
     index = {p: k for k, p in enumerate(place)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
-    powers = powers[-3:]  # shorter ones never pay for the cuts of a whole stream
+    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size][-3:]  # shorter ones never pay
     find = index.get
     for j in range(1, n):
         p = place[j]
