@@ -173,19 +173,24 @@ def links(sets: DataFrame, t: Fraction) -> DataFrame:
     fragments = cut(fragment(sets), "fragments")
     c = F.size("toks")
     head = (F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1 - (F.col("n") - c)).cast("int")
-    entry = cut(sets.select("rep", "n", c.alias("c"), F.explode(F.slice("toks", 1, F.greatest(head, F.lit(0)))).alias("g")), "prefixes")
-    near = (num * F.greatest("n", "hn") <= den * F.least("n", "hn")) & ((num + den) * F.least("c", "hc") >= num * (F.col("n") + F.col("hn")))
-    hub = entry.groupBy("g").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("minus"), "rep", "n", "c")).alias("h"), F.count("*").alias("members")).filter("members > 1")
-    hub = hub.select("g", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
+    # how common a set's n-grams are: the text that a group's copies were made from leads it
+    common = (F.aggregate("toks", F.lit(0).cast("long"), lambda a, g: a + F.shiftright(g, 48)) + F.col("n") - c) / F.col("n")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")  # linked sizes are in the same or the next band
+    entry = sets.select("rep", "n", c.alias("c"), common.alias("common"), band.alias("band"), F.posexplode(F.slice("toks", 1, F.greatest(head, F.lit(0)))).alias("at", "g"))
+    entry = cut(entry.select("rep", "n", "common", "band", "g", (F.col("n") - F.col("c") + F.col("at")).alias("at")), "prefixes")
+    # sizes, and what both sets still hold from this n-gram on: if it is the first they share, no more can be shared
+    near = (num * F.greatest("n", "hn") <= den * F.least("n", "hn")) & ((num + den) * F.least(F.col("n") - F.col("at"), F.col("hn") - F.col("hat")) >= num * (F.col("n") + F.col("hn")))
+    hub = entry.groupBy("g", "band").agg(F.max(F.struct("common", (-F.col("rep")).alias("minus"), "rep", "n", "at")).alias("h"))
+    hub = hub.select("g", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.at").alias("hat"))
     pair = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    first = cut(entry.join(hub, "g").filter((F.col("rep") != F.col("hub")) & near).select(*pair("rep", "hub")).distinct(), "hub-pairs")
+    first = cut(entry.join(hub, ["g", "band"]).filter((F.col("rep") != F.col("hub")) & near).select(*pair("rep", "hub")).distinct(), "hub-pairs")
     found = cut(overlaps(first, fragments, t), "hub-links")
     group = components(found.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    member = entry.join(group, entry["rep"] == group["id"], "left").select("rep", "n", "c", "g", F.coalesce("component", "rep").alias("k"))
+    member = entry.join(group, entry["rep"] == group["id"], "left").select("rep", "n", "at", "g", F.coalesce("component", "rep").alias("k"))
     member = cut(member, "members")
     mixed = member.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a < b").select("g")
     left = member.join(mixed, "g", "left_semi")
-    right = left.select("g", F.col("rep").alias("r"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("k").alias("hk"))
+    right = left.select("g", F.col("rep").alias("r"), F.col("n").alias("hn"), F.col("at").alias("hat"), F.col("k").alias("hk"))
     rest = left.join(right, "g").filter((F.col("k") < F.col("hk")) & near).select(*pair("rep", "r")).distinct()
     rest = rest.join(first, ["x", "y"], "left_anti")
     out = cut(found.unionAll(overlaps(rest, fragments, t)), "links")
