@@ -8,7 +8,7 @@ that order into fragments; the overlap of two documents is counted fragment by f
    sends n-grams of two or more documents back to them. An n-gram of one document cannot overlap, so a document
    whose shared n-grams are fewer than ``t`` of its set has no partner and leaves here: most documents do.
 3. Candidates share an n-gram among the rarest ``n - ceil(t n) + 1`` of both sets (prefix filter). To find groups without
-   all their pairs, each n-gram first offers only the pairs with the member that shares most of its set (the hub);
+   all their pairs, each n-gram first offers only the pairs with its most common member of like size (the hub);
    then, exactly, every pair of members that no chain of verified links joins yet.
 4. ``overlaps`` joins candidates with the fragments of both sides and sums partial overlaps per pair.
 
@@ -176,7 +176,8 @@ def links(sets: DataFrame, t: Fraction) -> DataFrame:
     # how common a set's n-grams are: the text that a group's copies were made from leads it
     common = (F.aggregate("toks", F.lit(0).cast("long"), lambda a, g: a + F.shiftright(g, 48)) + F.col("n") - c) / F.col("n")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")  # linked sizes are in the same or the next band
-    entry = sets.select("rep", "n", c.alias("c"), common.alias("common"), band.alias("band"), F.posexplode(F.slice("toks", 1, F.greatest(head, F.lit(0)))).alias("at", "g"))
+    entry = sets.select("rep", "n", c.alias("c"), common.alias("common"), band.alias("band"), F.slice("toks", 1, F.greatest(head, F.lit(0))).alias("head")).filter(F.size("head") > 0)
+    entry = entry.select("rep", "n", "c", "common", "band", F.posexplode("head").alias("at", "g"))  # after the sums over whole sets, not once a row
     entry = cut(entry.select("rep", "n", "common", "band", "g", (F.col("n") - F.col("c") + F.col("at")).alias("at")), "prefixes")
     # sizes, and what both sets still hold from this n-gram on: if it is the first they share, no more can be shared
     near = (num * F.greatest("n", "hn") <= den * F.least("n", "hn")) & ((num + den) * F.least(F.col("n") - F.col("at"), F.col("hn") - F.col("hat")) >= num * (F.col("n") + F.col("hn")))
