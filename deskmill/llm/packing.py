@@ -49,8 +49,8 @@ def best_cuts(place: list[int], penalty: list[int], size: int) -> tuple[list[int
         best = cost[i] + place[i] + size - p
         for w in powers:
             k = find(p - w)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
+            if k is not None and cost[k] + SHORT < best:
+                best, i = cost[k] + SHORT, k
         best += penalty[j]
         cost[j], back[j] = best, i
         key = best + p
