@@ -6,6 +6,9 @@ A text column becomes ``data`` (uint8) and ``offs`` (n + 1 offsets). Words, n-gr
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -97,6 +100,15 @@ def documents(batches: Iterable[pa.RecordBatch], size: int = CHUNK_BYTES, lower:
             data, offs = utf8(pc.utf8_lower(text) if lower else text)
             for lo, hi, d, o in chunks(data, offs, size):
                 yield ids[lo:hi], d, o
+    release()
+
+
+def release() -> None:
+    """Give free memory back: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(data: np.ndarray, offs: np.ndarray, stop: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

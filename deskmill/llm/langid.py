@@ -70,7 +70,7 @@ def profiles(rows: DataFrame, size: int = SIZE) -> DataFrame:
             of, names = lang.indices.to_numpy(), lang.dictionary
             total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             data, offs = K.utf8(pc.utf8_lower(batch.column(1)))
-            for lo, hi, d, o in K.chunks(data, offs):
+            for lo, hi, d, o in K.chunks(data, offs, 1 << 20):
                 row, code, count = _grams(d, o)
                 key = of[lo:hi][row].astype(np.int64) << _BITS | code
                 kinds, back = np.unique(key, return_inverse=True)
@@ -81,6 +81,7 @@ def profiles(rows: DataFrame, size: int = SIZE) -> DataFrame:
                 kinds, back = np.unique(key, return_inverse=True)
                 sums = np.bincount(back, np.concatenate([y for _, y in total.values()]), len(kinds)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(kinds >> _BITS)), pa.array(kinds & ((1 << _BITS) - 1)), pa.array(sums)], ["lang", "gram", "count"])
+        K.release()
 
     total = rows.mapInArrow(counts, "lang string, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     return total.withColumn("rank", F.expr("row_number() over (partition by lang order by count desc, gram) - 1")).filter(F.col("rank") < size).select("lang", "gram", "rank")
@@ -102,7 +103,7 @@ def identify(docs: DataFrame, training: DataFrame, size: int = SIZE, id_col: str
         place[at, k] = list(learned[name].values())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offs in K.documents(batches, lower=True):
+        for ids, data, offs in K.documents(batches, 1 << 20, lower=True):
             n = len(ids)
             row, code, rank = _ranked(*_grams(data, offs), size)
             at = np.searchsorted(grams, code)

@@ -93,6 +93,7 @@ def frequent(docs: DataFrame, classes: DataFrame, n: int, t: Fraction, id_col: s
                 size = 0
         if held:
             yield flush()
+        K.release()
 
     def count(table: pa.Table) -> pa.Table:
         hs, ds, part = [], [], 0

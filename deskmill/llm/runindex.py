@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
-from deskmill.llm.store import cut, partitions
+from deskmill.llm.store import cut, drop, partitions
 
 GRAM = 50
 BLOCK_BYTES = 1 << 20
@@ -210,6 +210,8 @@ def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
                 last = row[0]
         if held and (out := build()) is not None:
             yield out
+        held.clear()
+        K.release()
 
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(marks, "bucket long, context long, lo int, hi int")
@@ -221,6 +223,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = cut(contexts(docs, length), "contexts")
     buckets = found.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("again").alias("any")).filter("rows > 1 or any").select("bucket")
     live = cut(found.join(buckets, "bucket", "left_semi"), "live-contexts")
+    drop(found)
     kinds = live.groupBy("bucket", "context").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("doc_id", "start", "starts")).alias("one"))
     kinds = cut(kinds.select("bucket", "context", "copies", "again", "one.*"), "context-kinds")
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.col("again") & (F.col("copies") == 1)).alias("any"), F.min("copies").alias("fewest")).filter("(n > 1 and fewest = 1) or any").select("bucket")
@@ -266,6 +269,34 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return rows.join(spans, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary")
 
 
+def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with the bytes that repeated strings cover cut from the text. Texts that lose everything go; where a cut divides a
+    character, its rest goes too. Rows without id are left out. The text is shuffled once."""
+    rows = docs.filter(F.col(id_col).isNotNull())
+    spans = repeated_spans(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), length)
+    lists = spans.groupBy(F.col("doc_id").alias("_s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    at = docs.columns.index(text_col)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                texts, keep = [], []
+                for text, own in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                    if own:
+                        kept, _ = _cut_text(text.encode(), [(x["lo"], x["hi"]) for x in own])
+                        keep.append(bool(kept))
+                        texts.append(kept.decode("utf-8", "ignore"))
+                    else:
+                        keep.append(True)
+                        texts.append(text)
+                arrays = [part.column(i) if i != at else pa.array(texts, part.schema.field(at).type) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:-1]).filter(pa.array(keep))
+
+    joined = rows.join(lists, rows[id_col] == lists["_s_id"], "left").select(*(rows[c] for c in rows.columns), "_spans")
+    return joined.mapInArrow(apply, docs.schema)
+
+
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.binary())
 
 

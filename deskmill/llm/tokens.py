@@ -14,8 +14,8 @@ import numpy as np
 
 from deskmill.llm import kernels as K
 
-MEMO_UNITS = 2_500_000
-SLOT_BITS = 23
+MEMO_UNITS = 1_200_000  # about 50 MB a worker
+SLOT_BITS = 21
 LONG_UNIT = 64
 _ALNUM = ~K.NOT_WORD & (np.arange(256) < 128)
 #: ASCII signs that never join a letter or digit before them; the apostrophe does ("'s").
@@ -65,7 +65,7 @@ class Encoder:
         self.size, self.used = 0, 0
         self.key = np.zeros(1 << SLOT_BITS, np.uint64)  # open addressing; 0 is free
         self.entry = np.zeros(1 << SLOT_BITS, np.int32)
-        self.at, self.length = np.zeros(MEMO_UNITS, np.int64), np.zeros(MEMO_UNITS, np.int32)
+        self.at, self.length = np.zeros(MEMO_UNITS, np.int32), np.zeros(MEMO_UNITS, np.uint16)
         self.pool = np.zeros(4 * MEMO_UNITS, np.uint16)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
