@@ -6,7 +6,6 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from deskmill.llm import decontaminate, langid, ngram_join, packing, runindex
 from deskmill.llm.queries import table, vocabulary
@@ -29,19 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 400 bytes or more that occur elsewhere; documents without rest go. A character that a cut divides goes."""
-    found = runindex.remove_repeats(docs).filter("n_removed < n_bytes")
-    changed = found.select(F.col("doc_id").alias("new_id"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"))
-    joined = docs.join(changed, docs["doc_id"] == changed["new_id"])
-    text = F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", "")
-    return joined.select(*(_new_column(c, docs.schema[c].dataType, text) for c in docs.columns))
-
-
-def _new_column(name: str, kind: T.DataType, text):
-    if name == "text":
-        return F.when(F.col("kept").isNull(), F.col("text")).otherwise(text).alias("text")
-    if name == "n_chars":
-        return F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(kind).alias("n_chars")
-    return F.col(name)
+    out = runindex.strip_repeats(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(out.schema["n_chars"].dataType))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
