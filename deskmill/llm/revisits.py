@@ -54,16 +54,17 @@ def resolve(records: DataFrame) -> DataFrame:
     ).otherwise(F.lit(True))
     found = named.select(F.col("record_id").alias("v_id"), F.col("base.id").alias("base_id"), agree.alias("agrees"))
     bodies = r.filter(full).select(F.col("record_id").alias("b_id"), F.col("status").alias("b_status"), F.col("headers").alias("b_headers"), F.col("body").alias("b_body"))
-    joined = r.join(found, F.col("record_id") == F.col("v_id"), "left").join(bodies, (F.col("base_id") == F.col("b_id")) & F.col("agrees"), "left")
-    revisit = F.col("record_type") == "revisit"
+    # only revisits are joined, so a body is shuffled once; responses pass as they are
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    joined = r.filter(revisit).drop("status", "body").join(found, F.col("record_id") == F.col("v_id"), "left").join(bodies, (F.col("base_id") == F.col("b_id")) & F.col("agrees"), "left")
     good = F.coalesce(F.col("agrees"), F.lit(False))
     allowed = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k).isin(*PERMITTED))
     names = F.transform(F.map_keys(allowed), lambda k: F.lower(k))
     kept = F.map_filter(F.coalesce("b_headers", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(names, F.lower(k)))
-    return joined.select(
+    resolved = joined.select(
         "record_id", "url_key", "record_type", F.when(good, F.col("base_id")).alias("base_id"),
-        F.when(~revisit, "full").when(good, "resolved").when(F.col("base_id").isNotNull(), "validator_mismatch").otherwise("no_base").alias("outcome"),
-        F.when(~revisit, F.col("status")).when(good, F.col("b_status")).alias("status"),
-        F.when(~revisit, F.col("headers")).when(good, F.map_concat(kept, allowed)).otherwise(F.col("headers")).alias("headers"),
-        F.when(~revisit, F.col("body")).when(good, F.col("b_body")).alias("body"),
+        F.when(good, "resolved").when(F.col("base_id").isNotNull(), "validator_mismatch").otherwise("no_base").alias("outcome"),
+        F.when(good, F.col("b_status")).alias("status"), F.when(good, F.map_concat(kept, allowed)).otherwise(F.col("headers")).alias("headers"), F.when(good, F.col("b_body")).alias("body"),
     )
+    rest = r.filter(~revisit).select("record_id", "url_key", "record_type", F.lit(None).cast(r.schema["record_id"].dataType).alias("base_id"), F.lit("full").alias("outcome"), "status", "headers", "body")
+    return rest.unionByName(resolved)
