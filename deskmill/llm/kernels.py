@@ -81,6 +81,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)), offs
 
 
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    values = column.buffers()[2]
+    return (np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)), offs
+
+
 def chunks(data: np.ndarray, offs: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about ``size`` bytes: (first row, last row + 1, bytes, offsets from 0). A row is never cut."""
     lo, n = 0, len(offs) - 1

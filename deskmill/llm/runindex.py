@@ -6,14 +6,14 @@ with the same least hash are *contexts*; a string starts in exactly one context,
 1. ``contexts``: one scan gives (bucket, context hash, id, first start, number of starts). Buckets with one context
    that cannot repeat within itself are dropped: that is nearly all text that occurs once.
 2. Copies of a context are one row with a count. A context seen twice is repeated throughout, without reading bytes.
-3. Only one copy of each context is fetched, where its bucket has others. Whole buckets are gathered into blocks, and
-   each block gets a ``RunIndex``: suffix array, Burrows-Wheeler transform stored by runs, and the suffix position and common
+3. Only one copy of each context is fetched, where its bucket has others. Buckets of more than ``HOT_BYTES`` are split by
+   longer shared cores until they are small or one string each. Whole buckets are gathered into blocks, and each block gets a ``RunIndex``: suffix array, Burrows-Wheeler transform stored by runs, and the suffix position and common
    prefix at both ends of each run. One pass along the text then streams matching statistics: within a run, a step along the
    text shortens the match by one, so only run ends are needed. Starts that match ``length`` bytes elsewhere are marked.
 4. Marks go back to all copies of their context, and a last pass cuts the union of the marked bytes out of each text.
 
-Rows: null texts are empty; rows without id are left out; equal ids are taken as different documents for matching. Texts
-shorter than ``length`` stay. Extra columns are not read. An empty table gives an empty result.
+Rows: null texts are empty; rows without id are left out; equal ids are taken as different documents for matching, and each is cut by
+the spans of all rows with its id. Texts shorter than ``length`` stay. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from deskmill.llm.store import cut, drop, partitions
 
 GRAM = 50
 BLOCK_BYTES = 1 << 20
+HOT_BYTES = 1 << 20  # of distinct contexts in one bucket; larger buckets are split
+SPLITS = (176, 16, 1)
 
 
 class RunIndex:
@@ -150,28 +152,80 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(scan, "bucket long, context long, again boolean, doc_id long, start int, starts int")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """bucket, context, starts, bytes of wanted rows."""
-    lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("bucket", "context", "start", "starts")).alias("want"))
+def _fetch(source: DataFrame, keys: list[str], wanted: DataFrame, length: int) -> DataFrame:
+    """bucket, context, starts, copies, anchor, hot, data of wanted rows; source: keys and ``data`` (binary). Rows whose bytes are not
+    those of their context (an id that two texts share) are left out."""
+    item = F.struct("bucket", "context", "start", "starts", "copies", "anchor", "hot")
+    lists = wanted.groupBy(*(F.col(k).alias(f"w_{k}") for k in keys)).agg(F.collect_list(item).alias("want"))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = K.utf8(batch.column(0))
+            data, offs = K.raw(batch.column(0))
             want = batch.column(1)
             each = want.flatten()
             row = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
-            start = offs[row] + each.field(2).to_numpy()
+            first = each.field(2).to_numpy().astype(np.int64)
             bytes_ = each.field(3).to_numpy().astype(np.int64) + length - 1
+            fits = np.flatnonzero(first + bytes_ <= np.diff(offs)[row])
+            each, start, bytes_ = each.take(pa.array(fits)), (offs[row] + first)[fits], bytes_[fits]
             edges = np.concatenate(([0], np.cumsum(bytes_)))
             lo = 0
-            while lo < len(row):
-                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (16 << 20), "right")) - 1)
+            while lo < len(fits):
+                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + K.CHUNK_BYTES, "right")) - 1)
                 blob = data[K.expand(start[lo:hi], bytes_[lo:hi])]
-                values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((edges[lo : hi + 1] - edges[lo]).astype(np.int32)), pa.py_buffer(blob)])
-                yield pa.RecordBatch.from_arrays([each.field(0)[lo:hi], each.field(1)[lo:hi], each.field(3)[lo:hi], values], ["bucket", "context", "starts", "bytes"])
+                at = edges[lo : hi + 1] - edges[lo]
+                part = each.slice(lo, hi - lo)
+                same = K.span_hash(K.prefix(blob), at[:-1], at[1:]).view(np.int64) == part.field(1).to_numpy()
+                values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(blob)])
+                names = ["bucket", "context", "starts", "copies", "anchor", "hot"]
+                out = pa.RecordBatch.from_arrays([*(part.field(x) for x in names), values], [*names, "data"])
+                yield out if same.all() else out.filter(pa.array(same))
                 lo = hi
 
-    return docs.join(lists, F.col("doc_id") == F.col("w_id")).select("text", "want").mapInArrow(bytes_of, "bucket long, context long, starts int, bytes binary")
+    pairs = [F.col(k) == F.col(f"w_{k}") for k in keys]
+    return source.join(lists, pairs).select("data", "want").mapInArrow(bytes_of, "bucket long, context long, starts int, copies long, anchor int, hot boolean, data binary")
+
+
+def _pieces(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """Fetched contexts cut into runs of at most ``size`` starts: p_bucket, p_context, start (in that context) and a bucket, context,
+    starts, copies, anchor of its own.
+
+    Equal strings hold their bucket's window, at its first place, at the same distance. Runs are aligned by that distance, and the new bucket
+    is the hash of what all strings of a run share, so equal strings of one bucket meet again, with fewer others the smaller the size.
+    """
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = K.raw(batch.column(5))
+            for lo, hi, d, o in K.chunks(data, offs):
+                bucket, context, starts, copies, anchor = (batch.column(i).slice(lo, hi - lo).to_numpy() for i in range(5))
+                c = K.prefix(d)
+                item = np.repeat(np.arange(hi - lo), starts)
+                pos = K.expand(o[:-1], starts)
+                if (anchor < 0).any():  # still whole contexts: the first window of the bucket in each string
+                    windows = starts.astype(np.int64) + length - GRAM
+                    at = K.expand(o[:-1], windows)
+                    match = K.window_hash(c, GRAM)[at] == np.repeat(bucket.view(np.uint64), windows)
+                    ahead = np.minimum.accumulate(np.where(match, np.arange(len(at)), len(at) - 1)[::-1])[::-1]
+                    window = at[ahead[K.expand(np.cumsum(windows) - windows, starts)]]
+                else:
+                    window = o[:-1][item] + anchor[item]
+                step = (window - pos) // size
+                new = np.ones(len(pos), bool)
+                new[1:] = (item[1:] != item[:-1]) | (window[1:] != window[:-1]) | (step[1:] != step[:-1])
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(pos)))
+                own, s, w, k = item[at], pos[at], window[at], step[at]
+                core = K.span_hash(c, w - k * size, w - np.minimum(k * size + size - 1, length - GRAM) + length)
+                whole = K.span_hash(c, s, s + n + length - 1)
+                named = {
+                    "p_bucket": bucket[own], "p_context": context[own], "start": (s - o[own]).astype(np.int32), "bucket": K.mix(core + k.astype(np.uint64)).view(np.int64), "context": whole.view(np.int64),
+                    "starts": n.astype(np.int32), "copies": copies[own], "anchor": (w - s).astype(np.int32),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in named.values()], list(named))
+
+    columns = rows.select("bucket", "context", "starts", "copies", "anchor", "data")
+    return columns.mapInArrow(cut_up, "p_bucket long, p_context long, start int, bucket long, context long, starts int, copies long, anchor int")
 
 
 def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
@@ -213,25 +267,45 @@ def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
         held.clear()
         K.release()
 
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("bucket", "context", "starts", "data").repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(marks, "bucket long, context long, lo int, hi int")
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, sizes: tuple[int, ...], hot_bytes: int) -> DataFrame:
+    """bucket, context, lo, hi: ranges of starts of each context of ``live`` whose strings occur elsewhere in its bucket.
+
+    Buckets of up to ``hot_bytes`` get an index. Larger ones are split by ``_pieces`` and marked in the same way; at the last size, 1, a
+    bucket is one string, and counts decide.
+    """
+    parts = partitions(source.sparkSession)
+    one = F.min(F.struct(*keys, "start", "starts", "anchor")).alias("one")
+    kinds = live.groupBy("bucket", "context").agg(F.sum("copies").alias("copies"), F.max("again").alias("again"), one)
+    kinds = cut(kinds.select("bucket", "context", "copies", "again", "one.*"), "context-kinds")
+    size = F.sum(F.col("starts").cast("long") + length - 1)
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.col("again") & (F.col("copies") == 1)).alias("any"), F.min("copies").alias("fewest"), (size > hot_bytes).alias("hot"))
+    mixed = mixed.filter("(n > 1 and fewest = 1) or any").select("bucket", "hot")
+    bytes_ = cut(_fetch(source, keys, kinds.join(mixed, "bucket"), length), "context-bytes")
+    marks = _index(bytes_.filter("not hot"), length, parts)
+    hot = bytes_.filter("hot")
+    if sizes and not hot.isEmpty():
+        pieces = cut(_pieces(hot, length, sizes[0]), "context-pieces")
+        texts = hot.select(F.col("bucket").alias("p_bucket"), F.col("context").alias("p_context"), "data")
+        below = _marks(texts, ["p_bucket", "p_context"], pieces.withColumn("again", F.lit(False)), length, sizes[1:], hot_bytes)
+        back = pieces.select("p_bucket", "p_context", "start", "bucket", "context").join(below, ["bucket", "context"])
+        marks = marks.unionByName(back.select(F.col("p_bucket").alias("bucket"), F.col("p_context").alias("context"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))
+    whole = kinds.filter("copies > 1").select("bucket", "context", F.lit(0).alias("lo"), (F.col("starts") - 1).alias("hi"))
+    return marks.join(whole, ["bucket", "context"], "left_anti").unionByName(whole)
+
+
+def repeated_spans(docs: DataFrame, length: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, lo, hi: byte spans (end excluded) that strings of ``length`` bytes with another occurrence cover; they may overlap."""
-    parts = partitions(docs.sparkSession)
     found = cut(contexts(docs, length), "contexts")
     buckets = found.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("again").alias("any")).filter("rows > 1 or any").select("bucket")
     live = cut(found.join(buckets, "bucket", "left_semi"), "live-contexts")
     drop(found)
-    kinds = live.groupBy("bucket", "context").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("doc_id", "start", "starts")).alias("one"))
-    kinds = cut(kinds.select("bucket", "context", "copies", "again", "one.*"), "context-kinds")
-    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.col("again") & (F.col("copies") == 1)).alias("any"), F.min("copies").alias("fewest")).filter("(n > 1 and fewest = 1) or any").select("bucket")
-    wanted = kinds.join(mixed, "bucket", "left_semi")
-    bytes_ = cut(_fetch(docs, wanted, length), "context-bytes")
-    marks = _index(bytes_, length, parts)
-    whole = kinds.filter("copies > 1").select("bucket", "context", F.lit(0).alias("lo"), (F.col("starts") - 1).alias("hi"))
-    marks = marks.join(whole, ["bucket", "context"], "left_anti").unionByName(whole)
+    texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("data"))
+    sizes = tuple(x for x in SPLITS if x < length - GRAM) if length - GRAM > 1 else (1,)
+    marks = _marks(texts, ["doc_id"], live.withColumns({"copies": F.lit(1), "anchor": F.lit(-1)}), length, sizes, hot_bytes)
     hit = live.select("bucket", "context", "doc_id", "start").join(marks, ["bucket", "context"])
     return hit.select("doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi"))
 
@@ -250,10 +324,10 @@ def _cut_text(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tu
     return b"".join([*kept, data[at:]]), [(a, b) for a, b in runs]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of lo, hi), kept (binary): each text without the bytes that repeated strings cover."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(rows, length).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows, length, hot_bytes).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -101,10 +101,35 @@ def test_repeats(spark):
     df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows] + [(None, whole, None, None, None)], SCHEMA).withColumnRenamed("source", "kept")
     got = {r["doc_id"]: bytes(r["kept"]) for r in runindex.remove_repeats(df.repartition(3)).collect()}
     assert got == brute_repeats(rows, 400)
+    for hot in (0, 3000):  # every bucket is split, or those of a few contexts
+        split = {r["doc_id"]: bytes(r["kept"]) for r in runindex.remove_repeats(df, hot_bytes=hot).collect()}
+        assert split == got
     out = runindex.digest(runindex.remove_repeats(df)).filter("doc_id = 6").first()
     assert (out["n_bytes"], out["n_removed"], out["n_spans"]) == (3000, 3000, 1)
 
 
+def test_repeats_hot_passage(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    short, long = text(240), text(640)
+    rows = [(k, text(int(rng.integers(300, 700))) + (long if k % 2 else short) + text(500)) for k in range(60)]
+    rows += [(100 + k, rows[k][1][200:1100]) for k in range(6)] + [(200, long[5:-3]), (201, long * 3)]
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)
+    for hot in (0, 20_000, 1 << 20):
+        assert {r["doc_id"]: bytes(r["kept"]) for r in runindex.remove_repeats(df, hot_bytes=hot).collect()} == brute_repeats(rows, 400)
+
+
+def test_repeats_shared_id(spark):
+    """Two texts with one id: both are cut, nothing fails."""
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common = text(450)
+    rows = [(1, text(3000) + common + text(50)), (1, "short"), (2, text(700) + common), (2, text(900))]
+    out = runindex.remove_repeats(spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)).collect()
+    assert sorted(r["n_bytes"] for r in out) == sorted(len(x) for _, x in rows)
+    assert all(common[:400].encode() not in bytes(r["kept"]) for r in out)
+
+
 def test_repeats_empty(spark):
     assert runindex.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
