@@ -283,7 +283,7 @@ def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, siz
     kinds = cut(kinds.select("bucket", "context", "copies", "again", "one.*"), "context-kinds")
     size = F.sum(F.col("starts").cast("long") + length - 1)
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.col("again") & (F.col("copies") == 1)).alias("any"), F.min("copies").alias("fewest"), (size > hot_bytes).alias("hot"))
-    mixed = mixed.filter("(n > 1 and fewest = 1) or any").select("bucket", "hot")
+    mixed = cut(mixed.filter("(n > 1 and fewest = 1) or any").select("bucket", "hot"), "mixed-buckets")
     bytes_ = cut(_fetch(source, keys, kinds.join(mixed, "bucket"), length), "context-bytes")
     marks = _index(bytes_.filter("not hot"), length, parts)
     hot = bytes_.filter("hot")
@@ -298,14 +298,20 @@ def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, siz
 
 
 def repeated_spans(docs: DataFrame, length: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """doc_id, lo, hi: byte spans (end excluded) that strings of ``length`` bytes with another occurrence cover; they may overlap."""
+    """doc_id, lo, hi: byte spans (end excluded) that strings of ``length`` bytes with another occurrence cover; they may overlap.
+
+    Bucket lists and marks are tables of their own, so that joins with them have nothing but a scan on that side: small ones are
+    broadcast within Spark's size bound, and for others a hot bucket's rows can be split while the query runs.
+    """
     found = cut(contexts(docs, length), "contexts")
     buckets = found.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("again").alias("any")).filter("rows > 1 or any").select("bucket")
+    buckets = cut(buckets, "buckets")
     live = cut(found.join(buckets, "bucket", "left_semi"), "live-contexts")
     drop(found)
     texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("data"))
     sizes = tuple(x for x in SPLITS if x < length - GRAM) if length - GRAM > 1 else (1,)
     marks = _marks(texts, ["doc_id"], live.withColumns({"copies": F.lit(1), "anchor": F.lit(-1)}), length, sizes, hot_bytes)
+    marks = cut(marks, "marks")
     hit = live.select("bucket", "context", "doc_id", "start").join(marks, ["bucket", "context"])
     return hit.select("doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi"))
 
