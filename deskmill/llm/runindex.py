@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
@@ -271,6 +271,14 @@ def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(marks, "bucket long, context long, lo int, hi int")
 
 
+def _joined(marks: DataFrame) -> DataFrame:
+    """Ranges of each context that touch made one."""
+    order = Window.partitionBy("bucket", "context").orderBy("lo", "hi")
+    new = F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    runs = marks.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("bucket", "context", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
 def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, sizes: tuple[int, ...], hot_bytes: int) -> DataFrame:
     """bucket, context, lo, hi: ranges of starts of each context of ``live`` whose strings occur elsewhere in its bucket.
 
@@ -290,9 +298,14 @@ def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, siz
     if sizes and not hot.isEmpty():
         pieces = cut(_pieces(hot, length, sizes[0]), "context-pieces")
         texts = hot.select(F.col("bucket").alias("p_bucket"), F.col("context").alias("p_context"), "data")
-        below = _marks(texts, ["p_bucket", "p_context"], pieces.withColumn("again", F.lit(False)), length, sizes[1:], hot_bytes)
-        back = pieces.select("p_bucket", "p_context", "start", "bucket", "context").join(below, ["bucket", "context"])
-        marks = marks.unionByName(back.select(F.col("p_bucket").alias("bucket"), F.col("p_context").alias("context"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))
+        if sizes[0] == 1:  # a bucket is one string: its copies decide
+            twice = pieces.groupBy("bucket").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("bucket")
+            back = pieces.join(twice, "bucket", "left_semi").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+        else:
+            below = _marks(texts, ["p_bucket", "p_context"], pieces.withColumn("again", F.lit(False)), length, sizes[1:], hot_bytes)
+            back = pieces.select("p_bucket", "p_context", "start", "bucket", "context").join(below, ["bucket", "context"])
+        back = back.select(F.col("p_bucket").alias("bucket"), F.col("p_context").alias("context"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+        marks = marks.unionByName(_joined(back))
     whole = kinds.filter("copies > 1").select("bucket", "context", F.lit(0).alias("lo"), (F.col("starts") - 1).alias("hi"))
     return marks.join(whole, ["bucket", "context"], "left_anti").unionByName(whole)
 
