@@ -1,12 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
 
-1. Every item's distinct ``n``-word n-grams are looked up in the corpus once, for their document frequencies.
-2. The rarer half of an item's n-grams (at least ``LEAST_SEEDS``) are its seeds, however often they occur: an item that a third of
-   all documents carry keeps its seeds.
-3. A second scan finds seeds in texts; hits on near diagonals make one window of the text, and the item is aligned with it word by
-   word. All alignments of a chunk step together along anti-diagonals, where their cells are independent.
+1. Every word of the items is looked up in the corpus once, for its frequency there.
+2. An alignment that scores the share asked for matches at least ``need`` of an item's ``m`` words. Its seeds are the ``m - need + few``
+   words that are rarest in the corpus, so any such alignment holds ``few`` of them, whichever words an edit destroyed.
+3. A second scan finds texts with ``few`` seeds of an item within the longest span of such an alignment. Everything that an alignment
+   with them can reach makes one window of the text.
+4. A window whose words cannot reach the score in any order is left out; with the others the item is aligned word by word. All
+   alignments of a chunk step together along anti-diagonals, where their cells are independent.
 
-Items come in blocks of at most ``BLOCK_GRAMS`` n-grams, so what is sent to the tasks is bounded; texts are never shuffled.
+So no alignment of that share is lost: the result is that of aligning every item with every text.
+
+Items come in blocks of at most ``BLOCK_WORDS`` words, so what is sent to the tasks is bounded; texts are never shuffled.
 Words are lower-cased runs of letters and digits, so case and punctuation do not matter.
 
 Rows: null texts and items match nothing, and neither do items under ``n`` words. Rows without id are left out; a repeated id gets
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
 
-BLOCK_GRAMS = 1_000_000
-LEAST_SEEDS = 8
+BLOCK_WORDS = 1_000_000
+WINDOW_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -36,49 +40,85 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return K.span_hash(K.prefix(data), start, end), row
 
 
+def _of_item(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return K.mix(word + K.mix(item.astype(np.uint64)))
+
+
 class Items:
-    """A block of items: word hashes, and n-grams as (hash, item, place) sorted by hash."""
+    """A block of items: word hashes, and seeds as distinct (hash, item) sorted by hash. Until ``keep_rare`` all words are seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int) -> None:
+    def __init__(self, ids: list[int], texts: list[str], n: int, least: float) -> None:
         data, offs = K.utf8(pc.utf8_lower(pa.array(texts, pa.string())))
-        self.word, row = _words(data, offs)
-        self.ids, self.n = np.array(ids, np.int64), n
-        self.size = np.bincount(row, minlength=len(ids)).astype(np.int64)
+        self.word, self.row = _words(data, offs)
+        self.ids = np.array(ids, np.int64)
+        self.size = np.bincount(self.row, minlength=len(ids)).astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
-        g = K.sequence_hash(self.word, n)
-        at = np.flatnonzero(row[: len(g)] == row[n - 1 :][: len(g)])
-        order = np.argsort(g[at], kind="stable")
-        self.gram, self.item = g[at][order], row[at][order]
-        self.place = (at - self.first[row[at]])[order]
-
-    def keep_rare(self, df: dict[int, int]) -> None:
-        """Keep the rarer half of each item's distinct n-grams."""
-        count = np.array([df.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        order = np.lexsort((self.gram, count, self.item))
-        item, gram = self.item[order], self.gram[order]
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (gram[1:] != gram[:-1])
-        kind = np.cumsum(new) - 1
-        begin = np.ones(len(item), bool)
-        begin[1:] = item[1:] != item[:-1]
-        base = np.maximum.accumulate(np.where(begin, kind, 0))
-        kinds = np.bincount(item[new], minlength=len(self.ids))
-        keep = np.zeros(len(item), bool)
-        keep[order] = (kind - base) < np.maximum((kinds[item] + 1) // 2, LEAST_SEEDS)
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-
-
-def _hits(word: np.ndarray, row: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of n-grams of the texts that occur in sorted ``gram``, and the first index there."""
-    g = K.sequence_hash(word, n)
-    if not len(g) or not len(gram):
+        score = np.maximum(np.ceil(2 * self.size * least - 1e-9).astype(np.int64), 1)  # matches count 2, everything else costs 1
+        need = (score + 1) // 2
+        self.few = np.minimum(need, self.size // 8 + 1)
+        self.span = 3 * self.size - score  # all words matched, and so many more between them that the score is just reached
+        self.seeds = self.size - need + self.few
+        self.score, self.need = score, need
+        key = np.sort(_of_item(self.word, self.row))
+        at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        self.kind, self.times = key[at], np.diff(np.append(at, len(key)))  # words of each item, and how often it has them
+        long = self.size[self.row] >= n
+        self._keep(self.word[long], self.row[long])
+
+    def _keep(self, word: np.ndarray, item: np.ndarray) -> None:
+        order = np.lexsort((item, word))
+        word, item = word[order], item[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (item[1:] != item[:-1])
+        self.seed, self.item = word[new], item[new]
+
+    def keep_rare(self, every: np.ndarray, times: np.ndarray) -> None:
+        """Keep the rarest ``seeds`` words of each item; ``times``: how often each of the sorted words ``every`` occurs in the corpus."""
+        long = np.flatnonzero(np.isin(self.row, self.item))
+        word, item = self.word[long], self.row[long]
+        order = np.lexsort((word, times[np.searchsorted(every, word)], item))
+        word, item = word[order], item[order]
+        keep = np.arange(len(item)) - np.searchsorted(item, item) < self.seeds[item]
+        self._keep(word[keep], item[keep])
+
+
+def _hits(word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that occur in sorted ``seed``, and the first index there."""
+    if not len(word) or not len(seed):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.searchsorted(gram, g)
-    at[at == len(gram)] = 0
-    hit = np.flatnonzero((gram[at] == g) & (row[: len(g)] == row[n - 1 :][: len(g)]))
+    at = np.searchsorted(seed, word)
+    at[at == len(seed)] = 0
+    hit = np.flatnonzero(seed[at] == word)
     return hit, at[hit]
 
 
+def reachable(items: Items, item: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether word[lo:hi], put in any order, could reach its item's score. Two bounds: a span scores at most MATCH for each word
+    that the item has and MISMATCH for each other; and a word matches at most as often as the item has it."""
+    out = np.zeros(len(item), bool)
+    edges = np.concatenate(([0], np.cumsum(hi - lo)))
+    k = 0
+    while k < len(item):
+        top = max(k + 1, int(np.searchsorted(edges, edges[k] + WINDOW_WORDS, "right")) - 1)
+        size = (hi - lo)[k:top]
+        of = np.repeat(np.arange(top - k), size)
+        key = _of_item(word[K.expand(lo[k:top], size)], item[k:top][of])
+        at = np.searchsorted(items.kind, key)
+        at[at == len(items.kind)] = 0
+        has = items.kind[at] == key
+        total = np.cumsum(np.where(has, MATCH, MISMATCH))
+        before = total - np.where(has, MATCH, MISMATCH)
+        drop = of * (4 * len(of) + 4)  # later windows lie below all earlier ones, so a running least stays within its window
+        rise = total - drop - np.minimum.accumulate(before - drop)
+        begin = edges[k:top] - edges[k]
+        enough = np.maximum.reduceat(rise, begin) >= items.score[item[k:top]]
+        kinds, count = np.unique(of[has] * len(items.kind) + at[has], return_counts=True)
+        matched = np.bincount(kinds // len(items.kind), np.minimum(count, items.times[kinds % len(items.kind)]), top - k)
+        out[k:top] = enough & (matched >= items.need[item[k:top]])
+        k = top
+    return out
+
+
 def align(items: Items, item: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each item with word[lo:hi]: score, and the first and last word of the text that it spans.
 
@@ -144,59 +184,61 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.
         ids.append(r["item_id"])
         texts.append(r["text"] or "")
         size += len(texts[-1]) // 2 + 1
-        if size >= BLOCK_GRAMS:
-            block = _matches(rows, Items(ids, texts, n), least)
+        if size >= BLOCK_WORDS:
+            block = _matches(rows, Items(ids, texts, n, least), least)
             found = block if found is None else found.unionByName(block)
             ids, texts, size = [], [], 0
-    block = _matches(rows, Items(ids, texts, n), least)
+    block = _matches(rows, Items(ids, texts, n, least), least)
     found = block if found is None else found.unionByName(block)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("s"), "start_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
 
 
 def _matches(rows: DataFrame, items: Items, least: float) -> DataFrame:
-    n = items.n
-    every = np.unique(items.gram)
+    every = np.unique(items.seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(every), np.int64)
         for _, data, offs in K.documents(batches, lower=True):
-            word, row = _words(data, offs)
-            hit, at = _hits(word, row, every, n)
-            pair = np.unique(row[hit].astype(np.int64) * max(len(every), 1) + at)
-            total += np.bincount(pair % max(len(every), 1), minlength=len(every))
+            total += np.bincount(_hits(_words(data, offs)[0], every)[1], minlength=len(every))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(every[used].view(np.int64)), pa.array(total[used])], ["gram", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["word", "times"])
 
-    if len(every):  # at most BLOCK_GRAMS rows
-        items.keep_rare({r["gram"]: r["df"] for r in rows.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()})
+    if len(every):  # at most BLOCK_WORDS rows
+        times = np.zeros(len(every), np.int64)
+        for r in rows.mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times")).collect():
+            times[r["word"]] = r["times"]
+        items.keep_rare(every, times)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, first, many = np.unique(items.gram, return_index=True, return_counts=True)
+        seeds, first, many = np.unique(items.seed, return_index=True, return_counts=True)
         for ids, data, offs in K.documents(batches, lower=True):
             word, row = _words(data, offs)
-            if not len(word):
-                continue
-            hit, at = _hits(word, row, seeds, n)
+            hit, at = _hits(word, seeds)
             if not len(hit):
                 continue
-            times = many[at]
-            which = K.expand(first[at], times)  # every item that has the seed
-            hit = np.repeat(hit, times)
-            item, place = items.item[which], items.place[which]
-            doc = row[hit]
+            item = items.item[K.expand(first[at], many[at])]  # every item that has the seed
+            hit = np.repeat(hit, many[at])
+            key = row[hit].astype(np.int64) * len(items.ids) + item
+            order = np.argsort(key, kind="stable")
+            key, item, hit = key[order], item[order], hit[order]
+            last = np.arange(len(hit)) + items.few[item] - 1  # the hit that makes them enough
+            start = np.flatnonzero(last < len(hit))
+            start = start[(key[last[start]] == key[start]) & (hit[last[start]] - hit[start] < items.span[item[start]])]
+            if not len(start):
+                continue
             word_from = np.searchsorted(row, np.arange(len(ids)))
             word_to = np.searchsorted(row, np.arange(len(ids)), "right")
-            slack = items.size[item] // 4 + 4
-            lo = np.maximum(hit - place - slack, word_from[doc])
-            hi = np.minimum(hit - place + items.size[item] + slack, word_to[doc])
-            order = np.lexsort((lo, item, doc))
-            doc, item, lo, hi, slack = (x[order] for x in (doc, item, lo, hi, slack))
-            new = np.ones(len(lo), bool)  # windows of one item that start within the slack are one
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > lo[:-1] + slack[1:])
+            key, item, doc = key[start], item[start], row[hit[start]]
+            lo = np.maximum(hit[last[start]] - items.span[item] + 1, word_from[doc])
+            hi = np.minimum(hit[start] + items.span[item], word_to[doc])
+            new = np.ones(len(lo), bool)  # windows of one item that start near each other are one
+            new[1:] = (key[1:] != key[:-1]) | (lo[1:] > lo[:-1] + items.size[item[1:]] // 4 + 4)
             head = np.flatnonzero(new)
             hi = np.maximum.reduceat(hi, head)
             doc, item, lo = doc[head], item[head], lo[head]
+            ok = reachable(items, item, word, lo, hi)
+            doc, item, lo, hi = doc[ok], item[ok], lo[ok], hi[ok]
             score, begin, end = align(items, item, word, lo, hi)
             share = score / (MATCH * items.size[item])
             ok = share >= least

@@ -111,6 +111,26 @@ def test_decontamination(spark):
     assert decontaminate.matches(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_edits(spark):
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 400]
+    items = {k: words(int(rng.integers(15, 60))) for k in range(10)}
+    texts = [" ".join(words(300)) for _ in range(10)]
+    for w in items.values():
+        texts += [" ".join([*words(30), *w, *words(30)])] * 2  # intact copies besides the edited ones
+        for step in (3, 4, 5, 6):
+            changed = [f"new{i}" if i % step == step - 1 else x for i, x in enumerate(w)]
+            grown = [y for i, x in enumerate(w) for y in ([x, f"more{i}"] if i % step == 1 else [x])]
+            texts += [" ".join([*words(40), *x, *words(40)]) for x in (changed, grown)]
+        texts.append(" ".join(y for i, x in enumerate(w) for y in ([x, f"more{i}"] if i % 2 else [x])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(frame(spark, texts), bench).collect()}
+    want = {(d, k): smith_waterman(w, x.split()) / (2 * len(w)) for d, x in enumerate(texts) for k, w in items.items()}
+    want = {x: s for x, s in want.items() if s >= 0.5}
+    assert len(want) >= 100 and set(got) == set(want)
+    assert all(got[x] == pytest.approx(want[x]) for x in want)
+
+
 def test_revisits(spark):
     t = lambda s: datetime(2024, 1, 1, 0, 0, s)
     full = lambda i, url, s, tag, body, status=200, mod=None: (i, "response", url, t(s), status, tag, mod, {"ETag": tag or "", "Content-Type": "text/html", "Date": "old"}, body, "x")
