@@ -11,6 +11,8 @@ from deskmill.llm import decontaminate, langid, ngram_join, packing, runindex
 from deskmill.llm.queries import table, vocabulary
 from deskmill.llm.store import cut
 
+PASSAGE_WORDS = 51
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; the training set is what the input labels."""
@@ -27,8 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes or more that occur elsewhere; documents without rest go. A character that a cut divides goes."""
-    out = runindex.strip_repeats(docs)
+    """Texts without passages of over 50 words, or of 400 bytes or more, that occur elsewhere; documents without a word left go. A
+    character that a cut divides goes."""
+    out = runindex.strip_repeats(docs, words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(out.schema["n_chars"].dataType))
 
 

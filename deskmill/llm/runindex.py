@@ -32,6 +32,7 @@ GRAM = 50
 BLOCK_BYTES = 1 << 20
 HOT_BYTES = 1 << 20  # of distinct contexts in one bucket; larger buckets are split
 SPLITS = (176, 16, 1)
+WORD_BYTES = 4
 
 
 class RunIndex:
@@ -362,12 +363,40 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return rows.join(spans, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary")
 
 
-def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the bytes that repeated strings cover cut from the text. Texts that lose everything go; where a cut divides a
+def word_codes(docs: DataFrame) -> DataFrame:
+    """doc_id, text of (doc_id, text) rows: ``WORD_BYTES`` ASCII signs of the hash of each word. Words are runs of letters and digits in
+    lower case, so runs of equal words are equal strings however long the words are, and whatever stands between them."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data, offs in K.documents(batches):
+            start, end, row = K.words(data, offs, K.NOT_WORD)
+            h = K.span_hash(K.prefix(K.LOWER[data]), start, end)
+            signs = (h[:, None] >> np.arange(0, 7 * WORD_BYTES, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
+            edges = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids))))) * WORD_BYTES
+            text = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(signs.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), text], ["doc_id", "text"])
+
+    return docs.mapInArrow(code, "doc_id long, text string")
+
+
+def _of_words(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans of the words that spans of the text's word codes hold in full."""
+    start, end, _ = K.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), K.NOT_WORD)
+    whole = [(-(-lo // WORD_BYTES), hi // WORD_BYTES - 1) for lo, hi in spans]
+    return [(int(start[a]), int(end[b])) for a, b in whole if b < len(end)]
+
+
+def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """docs, all columns, with the bytes that repeated strings cover cut from the text; with ``words``, runs of so many words that occur
+    elsewhere are cut too, however short. Texts that lose everything go, with ``words`` those that lose every word; where a cut divides a
     character, its rest goes too. Rows without id are left out. The text is shuffled once."""
     rows = docs.filter(F.col(id_col).isNotNull())
-    spans = repeated_spans(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), length)
-    lists = spans.groupBy(F.col("doc_id").alias("_s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    source = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spans = repeated_spans(source, length).withColumn("of_words", F.lit(False))
+    if words:
+        codes = cut(word_codes(source), "word-codes")
+        spans = spans.unionByName(repeated_spans(codes, words * WORD_BYTES).withColumn("of_words", F.lit(True)))
+    lists = spans.groupBy(F.col("doc_id").alias("_s_id")).agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("_spans"))
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,8 +406,12 @@ def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
                 texts, keep = [], []
                 for text, own in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
                     if own:
-                        kept, _ = _cut_text(text.encode(), [(x["lo"], x["hi"]) for x in own])
-                        keep.append(bool(kept))
+                        data = text.encode()
+                        cuts = [(x["lo"], x["hi"]) for x in own if not x["of_words"]]
+                        if words:
+                            cuts += _of_words(data, [(x["lo"], x["hi"]) for x in own if x["of_words"]])
+                        kept, _ = _cut_text(data, cuts)
+                        keep.append(not K.NOT_WORD[np.frombuffer(kept, np.uint8)].all() if words else bool(kept))
                         texts.append(kept.decode("utf-8", "ignore"))
                     else:
                         keep.append(True)

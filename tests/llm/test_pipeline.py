@@ -64,6 +64,25 @@ def test_stages(spark, planted):
     assert {r["doc_id"] for r in five.collect()} == ids(four)
 
 
+def test_short_passages(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = lambda n, k=2: [chr(97 + int(x) % 26) + "abcde"[int(x) % 5] * (k - 1) + str(int(x) // 26) for x in rng.integers(0, 26 * 90, n)]
+    short, tiny, fifty = words(51), [f"{chr(97 + i % 26)}{i // 26}" for i in rng.permutation(51)], words(50)
+    assert len(" ".join(tiny)) < 160 and len(" ".join(short)) < 260
+    texts = [[*words(57), *short, *words(9)], [*words(879), *short], [*tiny, *words(70)], [*words(400), *tiny, *words(3)], [*words(80), *fifty, *words(80)], [*words(300), *fifty, *words(20)], words(51)]
+    texts.append(texts[-1])
+    rows = [(i, " ".join(w) + ".", "en", "s", 1) for i, w in enumerate(texts)]
+    rows[1] = (1, rows[1][1].replace(" ".join(short), ", ".join(short).upper()), "en", "s", 1)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5}
+    assert got[4] == rows[4][1] and got[5] == rows[5][1]  # 50 words are not over 50
+    for k, part in ((0, short), (1, short), (2, tiny), (3, tiny)):
+        i = next(j for j in range(len(texts[k])) if texts[k][j : j + 51] == part)
+        assert re.findall(r"\w+", got[k]) == texts[k][:i] + texts[k][i + 51 :]
+
+
 def test_run(spark, planted):
     d, rows, _ = planted
     pieces = corpus_pipeline.run(spark, d).collect()
