@@ -64,6 +64,18 @@ def test_stages(spark, planted):
     assert {r["doc_id"] for r in five.collect()} == ids(four)
 
 
+def test_languages(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    words = {"en": "the of and to in that is it for was house winter reading thing other".split(), "fr": "le la les de et un une que dans maison hiver lecture chose autre était".split()}
+    rows = [(i, " ".join(rng.choice(words[k], int(rng.integers(1, 60)))), k, "s", 1) for i, k in enumerate(["en", "fr"] * 30)]
+    other = ["Это русский текст о погоде и о людях которые там живут", "日本語の文章はここにありますそれはとても長いです", "qzx vkj wqp zzxj kqw xvq jjw qkz", "OK 12", "Hi", "12 34 !!", None]
+    rows += [(100 + i, x, None, "s", 1) for i, x in enumerate(other)]
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert got == {*range(60), 103, 104}
+
+
 def test_short_passages(spark, tmp_path):
     import numpy as np
 
