@@ -13,8 +13,11 @@ So no alignment of that share is lost: the result is that of aligning every item
 Items come in blocks of at most ``BLOCK_WORDS`` words, so what is sent to the tasks is bounded; texts are never shuffled.
 Words are lower-cased runs of letters and digits, so case and punctuation do not matter.
 
-Rows: null texts and items match nothing, and neither do items under ``n`` words. Rows without id are left out; a repeated id gets
-its best match. Ties in score take the first window. Extra columns are not read. An empty table gives an empty result.
+The corpus is read twice for each block of items; README has the cost.
+
+Rows: null texts and items match nothing, and neither do items under ``n`` words. Rows without id are left out. A repeated document id or
+item id has several texts, all are searched, and the best match counts. Ties in score take the first window. Very long texts are searched
+whole. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -175,12 +178,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.
     """doc_id, item_id, score (alignment score over that of a perfect copy, ``least`` or more), start_word, end_word (end excluded):
     each document's best alignment with each item."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.filter("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     found = None
     ids: list[int] = []
     texts: list[str] = []
     size = 0
-    for r in items.orderBy("item_id").toLocalIterator():
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"] or "")
         size += len(texts[-1]) // 2 + 1

@@ -5,7 +5,8 @@ a space. A document's profile is compared with each language's by the out-of-pla
 ``size`` for an n-gram that the language's profile lacks. The nearest language is predicted.
 
 Rows: a text that is null or has no letter is ``und`` with score 0. Rows without id are left out; repeated rows give one row
-each. Ties go to the first language by name. Without training rows all is ``und``. Extra columns are not read.
+each. Ties go to the first language by name, and n-grams of equal counts rank by length and bytes. Very long texts are profiled whole.
+Without training rows all is ``und``; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -52,13 +53,17 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _ranked(row: np.ndarray, code: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, code and rank of each row's ``size`` most frequent n-grams; ties by code."""
-    key = np.sort(row.astype(np.uint64) << np.uint64(48) | (np.uint64((1 << 22) - 1) - np.minimum(count, (1 << 22) - 1).astype(np.uint64)) << np.uint64(_BITS) | code.astype(np.uint64))
-    row = (key >> np.uint64(48)).astype(np.int64)
+    if count.max(initial=0) < 1 << 22:  # all three fit one number
+        key = np.sort(row.astype(np.uint64) << np.uint64(48) | (np.uint64((1 << 22) - 1) - count.astype(np.uint64)) << np.uint64(_BITS) | code.astype(np.uint64))
+        row, code = (key >> np.uint64(48)).astype(np.int64), (key & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((code, -count, row))
+        row, code = row[order], code[order]
     new = np.diff(row, prepend=-1) != 0
     start = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
     rank = np.arange(len(row)) - start
     keep = rank < size
-    return row[keep], (key[keep] & np.uint64((1 << _BITS) - 1)).astype(np.int64), rank[keep]
+    return row[keep], code[keep], rank[keep]
 
 
 def profiles(rows: DataFrame, size: int = SIZE) -> DataFrame:

@@ -4,10 +4,14 @@
 2. Moments of the labelled training rows standardise them. cos(W z + b) with Gaussian W approximates a Gaussian kernel.
 3. Each partition sums its normal equations; the sums are added in two steps and solved on the driver: size (d + 1)**2, whatever
    the number of rows. All labelled rows take part; nothing is sampled.
-4. Raw scores of the training rows are counted in ``BINS`` bins and made monotone by pool-adjacent-violators.
+4. Every training row also gets a raw score of a fit without its fold (a hash of its id), from the difference of the folds' sums. These
+   scores are counted in ``BINS`` bins and made monotone by pool-adjacent-violators, so the curve is not fitted on what the ridge has seen.
 
-Rows: null texts score as empty ones. Rows without id are left out. Labels repeated for an id are averaged. Without a training
-row of either kind the score is the share of the other (0.5 without any). Extra columns are not read.
+Labels are 0 or 1, so raw scores lie about 0 to 1; those under -0.5 and over 1.5 share the first and the last bin.
+
+Rows: null texts score as empty ones. Rows without id are left out; rows that repeat an id are scored each. Labels repeated for an id are
+averaged. Very long texts are read whole. Without a training row of either kind the score is the share of the other (0.5 without any).
+Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from deskmill.llm import kernels as K
 from deskmill.llm.store import cut
 
 NAMES = ("log_words", "word_length", "word_spread", "long_words", "upper", "digits", "symbols", "stops", "commas", "shouts", "bars", "other", "non_ascii", "lines", "repeat_lines", "distinct_words", "top_word", "repeat_pairs", "first_upper", "entropy")
-FEATURES, BINS, SEED = 256, 1000, 7
+FEATURES, BINS, SEED, FOLDS = 256, 1000, 7, 3
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -154,7 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, trains: str, count: int = FEATU
     """doc_id and score (0 to 1). ``labels``: (doc_id, y) rows; ``trains``: an SQL condition on doc_id for rows to learn from."""
     x = cut(features(docs, id_col, text_col), "statistics")
     y = labels.filter("doc_id is not null and y is not null").filter(trains).groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
-    known = cut(x.join(y, "doc_id").select("x", "y"), "labelled")
+    known = cut(x.join(y, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")), "labelled")
     m = len(NAMES)
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
@@ -170,22 +174,28 @@ def classify(docs: DataFrame, labels: DataFrame, trains: str, count: int = FEATU
     d = count + 1
 
     def normal(batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((d, d + 1))
+        out = np.zeros((FOLDS, d, d + 1))
+        fold = batch.column(2).to_numpy()
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            p = project(_matrix(part.column(0)))
-            out[:, :d] += p.T @ p
-            out[:, d] += p.T @ part.column(1).to_numpy()
+            p, y_ = project(_matrix(part.column(0))), part.column(1).to_numpy()
+            for k in range(FOLDS):
+                mine = fold[lo : lo + 2000] == k
+                out[k, :, :d] += p[mine].T @ p[mine]
+                out[k, :, d] += p[mine].T @ y_[mine]
         return out.reshape(-1)
 
-    a = _summed(known, normal, d * (d + 1)).reshape(d, d + 1)
-    beta = np.linalg.solve(a[:, :d] + ridge * n * np.eye(d) / d + 1e-9 * np.eye(d), a[:, d])
+    sums = _summed(known, normal, FOLDS * d * (d + 1)).reshape(FOLDS, d, d + 1)
+    solve = lambda a: np.linalg.solve(a[:, :d] + ridge * n * np.eye(d) / d + 1e-9 * np.eye(d), a[:, d])
+    whole = sums.sum(axis=0)
+    beta, without = solve(whole), np.stack([solve(whole - a) for a in sums], axis=1)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                raw = project(_matrix(batch.column(0))) @ beta
-                yield pa.RecordBatch.from_arrays([pa.array(_bin(raw)), batch.column(1)], ["bin", "y"])
+                raw = project(_matrix(batch.column(0))) @ without
+                own = raw[np.arange(len(raw)), batch.column(2).to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(_bin(own)), batch.column(1)], ["bin", "y"])
 
     rows = known.mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.count("*").alias("w"), F.sum("y").alias("t")).orderBy("bin").collect()  # at most BINS rows
     at = np.array([r["bin"] for r in rows], float)
@@ -195,9 +205,9 @@ def classify(docs: DataFrame, labels: DataFrame, trains: str, count: int = FEATU
         for batch in batches:
             if batch.num_rows:
                 raw = project(_matrix(batch.column(1))) @ beta
-                # within a step of the isotonic curve the raw score still orders, by a thousandth
+                # within a step of the isotonic curve the raw score still orders, by a thousandth at most
                 p = np.interp(_place(raw), at, value) if len(at) else np.full(len(raw), base)
-                p = np.clip(0.999 * p + 0.001 * np.clip(raw, 0, 1), 0, 1)
+                p = 0.999 * p + 0.001 / (1 + np.exp(np.clip(2 - 4 * raw, -500, 500)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
     return x.mapInArrow(score, "doc_id long, score double")

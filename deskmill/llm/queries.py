@@ -38,20 +38,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl log of all pages: each page is fetched in full, then asked for again twice; the second time some servers say
-    'not modified' with a weak ETag, and some with the ETag of another version."""
+    'not modified' with a weak ETag, some with the ETag of another version, and some with none. Some records are logged twice."""
     at = lambda k: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") + F.lit(k * 10_000_000))
     tag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
     one = pages.select(
         (F.col("page_id") * 3).alias("record_id"), F.lit("response").alias("record_type"), "url", at(0).alias("at"), F.lit(200).alias("status"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"),
         F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), at(0).cast("string")).alias("headers"), F.col("html").alias("body"),
     )
-    again = lambda k, etag: pages.select(
+    again = lambda rows, k, etag: rows.select(
         (F.col("page_id") * 3 + k).alias("record_id"), F.lit("revisit").alias("record_type"), F.concat("url", F.lit("#again")).alias("url"), at(k).alias("at"), F.lit(304).alias("status"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("etag"), etag, F.lit("Date"), at(k).cast("string"), F.lit("Server"), F.lit("cache")).alias("headers"), F.lit(None).cast("string").alias("body"),
+        F.create_map(F.lit("etag"), F.coalesce(etag, F.lit("")), F.lit("Date"), at(k).cast("string"), F.lit("Server"), F.lit("cache")).alias("headers"), F.lit(None).cast("string").alias("body"),
     )
     weak = F.concat(F.lit("W/"), tag)
-    other = F.when(F.col("page_id") % 5 == 0, F.lit('"stale"')).otherwise(tag)
-    return one.unionByName(again(1, weak)).unionByName(again(2, other))
+    other = F.when(F.col("page_id") % 5 == 0, F.lit('"stale"')).when(F.col("page_id") % 5 != 1, tag)
+    twice = again(pages.filter("page_id % 11 = 3"), 1, weak)
+    return one.unionByName(again(pages, 1, weak)).unionByName(again(pages, 2, other)).unionByName(twice)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.digests(*huffman.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return huffman.digests(spark, huffman.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +99,11 @@ _CANON = r"""
 ORACLES = {
     "op4_warc_revisits": rf"""
 with records as (
-  select page_id * 3 as record_id, 'response' as kind, url, 1700000000 + page_id as s, '"' || md5(html) || '"' as etag, html as body from pages
+  select page_id * 3 as record_id, 'response' as kind, url, 1700000000 + page_id as s, '"' || md5(html) || '"' as etag, html as body, 1 as copy from pages
   union all
-  select page_id * 3 + 1, 'revisit', url || '#again', 1710000000 + page_id, 'W/"' || md5(html) || '"', null from pages
+  select page_id * 3 + 1, 'revisit', url || '#again', 1710000000 + page_id, 'W/"' || md5(html) || '"', null, unnest(case when page_id % 11 = 3 then [1, 2] else [1] end) from pages
   union all
-  select page_id * 3 + 2, 'revisit', url || '#again', 1720000000 + page_id, case when page_id % 5 = 0 then '"stale"' else '"' || md5(html) || '"' end, null from pages
+  select page_id * 3 + 2, 'revisit', url || '#again', 1720000000 + page_id, case page_id % 5 when 0 then '"stale"' when 1 then null else '"' || md5(html) || '"' end, null, 1 from pages
 ), cleaned as (
   select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from records
 ), queried as (
@@ -110,18 +111,18 @@ with records as (
 ), keyed as (
   select *, {_CANON} as url_key from queried
 ), ranked as (
-  select v.record_id, b.record_id as base_id, b.etag as base_etag, b.body as base_body,
-    row_number() over (partition by v.record_id order by b.s desc, b.record_id desc) as k
+  select v.record_id, v.copy, b.record_id as base_id, b.etag as base_etag, b.body as base_body,
+    row_number() over (partition by v.record_id, v.copy order by b.s desc, b.record_id desc) as k
   from keyed v join keyed b on v.url_key = b.url_key and b.kind = 'response' and b.s < v.s where v.kind = 'revisit'
 ), joined as (
   select r.*, b.base_id, b.base_body, regexp_replace(r.etag, '^W/', '') = b.base_etag as good
-  from keyed r left join ranked b on r.record_id = b.record_id and b.k = 1
+  from keyed r left join ranked b on r.record_id = b.record_id and r.copy = b.copy and b.k = 1
 )
 select record_id, url_key,
-  case when kind = 'response' then 'full' when good then 'resolved' when base_id is not null then 'validator_mismatch' else 'no_base' end as outcome,
+  case when kind = 'response' then 'full' when good then 'resolved' when base_id is null then 'no_base' when good is null then 'unverified' else 'validator_mismatch' end as outcome,
   case when good then base_id end as base_id,
   case when kind = 'response' or good then 200 end as status,
-  etag, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') as date,
+  coalesce(etag, '') as etag, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') as date,
   case when kind = 'revisit' and not coalesce(good, false) then 'cache' end as server,
   case when kind = 'response' then md5(body) when good then md5(base_body) end as body_md5
 from joined""",

@@ -1,5 +1,8 @@
 """Memoised ids, packing and Huffman files against plain encoding."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -85,7 +88,7 @@ def test_packing_empty(spark):
 def test_best_cuts(gaps):
     place = np.cumsum([0, *(g for g, _ in gaps)]).tolist()
     penalty = [0, *(p for _, p in gaps)]
-    size, powers = 16, (2, 4, 8)
+    size, powers = 16, (1, 2, 4, 8)
 
     def cost(n):
         return min([size - n, *[packing.SHORT] * (n in powers)])
@@ -97,7 +100,59 @@ def test_best_cuts(gaps):
                 best[j] = min(best[j], best[i] + cost(place[j] - place[i]) + penalty[j])
     cuts, total = packing.best_cuts(place, penalty, size)
     assert total == best[-1]
-    assert all(0 < place[b] - place[a] <= size for a, b in zip(cuts, cuts[1:]))
+    assert all(0 < b - a <= size for a, b in zip(cuts, cuts[1:]))
+    assert sum(cost(b - a) + penalty[place.index(b)] for a, b in zip(cuts, cuts[1:])) == total
+
+
+def brute_cost(place, penalty, size, powers):
+    best = [0.0] * len(place)
+    for j in range(1, len(place)):
+        ways = []
+        for i in range(j - 1, -1, -1):
+            n = place[j] - place[i]
+            if n > size:
+                break
+            ways.append(best[i] + (min(packing.SHORT, size - n) if n in powers else size - n))
+        best[j] = min(ways) + penalty[j]
+    return best[-1]
+
+
+def test_best_cuts_full_size():
+    """The real size with every power of two, on places a few ids apart."""
+    rng = np.random.default_rng(12)
+    for _ in range(6):
+        place = [0, *np.cumsum(rng.integers(1, 40, 900)).tolist()]
+        penalty = [0, *rng.choice([0, packing.SENTENCE, packing.WORD], 900).tolist()]
+        assert packing.best_cuts(place, penalty, 1024)[1] == brute_cost(place, penalty, 1024, {1 << k for k in range(10)})
+
+
+def test_cuts_in_parts():
+    """Decided cuts are those of the whole stream, however it is fed."""
+    rng = np.random.default_rng(13)
+    place = np.cumsum(rng.integers(1, 30, 6000)).tolist()
+    penalty = rng.choice([0, packing.SENTENCE, packing.WORD], 6000).tolist()
+    want = packing.best_cuts([0, *place], [0, *penalty], 512)[0][1:]
+    for step in (1, 7, 450):
+        cuts, got = packing.Cuts(512), []
+        for lo in range(0, 6000, step):
+            cuts.feed(place[lo : lo + step], penalty[lo : lo + step])
+            got += cuts.decided()
+            assert len(cuts.place) < 6000 // 2
+        assert got + cuts.rest() == want
+
+
+def test_packing_chunks(spark):
+    """Neither the size of chunks nor texts over a chunk change the result; a text of megabytes is packed whole."""
+    rng = np.random.default_rng(14)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (3, 40_000, 700, 1, 0, 200_000)] + ["q" * 300_000]
+    df = frame(spark, texts).coalesce(1)
+    got = [sorted(map(tuple, packing.pack(df, P.path("byte_bpe_50k.json"), chunk=c).collect())) for c in (1 << 12, 1 << 21)]
+    assert got[0] == got[1]
+    want = plain("byte_bpe_50k.json", texts, 0)
+    total = {}
+    for r in got[0]:
+        total[r[0]] = total.get(r[0], 0) + r[2]
+    assert total == {i: len(x) for i, x in enumerate(want)}
 
 
 @settings(max_examples=60, deadline=None)
@@ -137,18 +192,44 @@ def test_huffman_bits():
     assert huffman.decode([(*huffman.encode(np.array([1, 1], np.uint16), huffman.canonical(lone), lone), 2)], huffman.table(lone))[0].tolist() == [1, 1]
 
 
-def test_huffman_files(spark):
-    want = plain("word_bpe_49k.json", TEXTS, 2)
-    files, lengths = huffman.write_ids(frame(spark, TEXTS).repartition(3), P.path("word_bpe_49k.json"))
-    got = {r["doc_id"]: r for r in huffman.digests(files, lengths).collect()}
-    ids = {r["doc_id"]: r["ids"] for r in huffman.read_ids(files, lengths).collect()}
+def test_huffman_files(spark, tmp_path):
+    texts = [*TEXTS, " ".join(f"w{x}" for x in np.random.default_rng(3).integers(0, 20_000, 150_000))]  # the last is over one block and one chunk
+    want = plain("word_bpe_49k.json", texts, 2)
+    path = huffman.write_ids(frame(spark, texts).repartition(3), P.path("word_bpe_49k.json"), str(tmp_path / "ids"))
+    got = {r["doc_id"]: r for r in huffman.digests(spark, path).collect()}
+    ids = {r["doc_id"]: r["ids"] for r in huffman.read_ids(spark, path).collect()}
     start = 0
     for d, x in enumerate(want):
         assert ids[d] == x
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
         start += len(x)
+    starts = [r["start"] for r in spark.read.parquet(f"{path}/blocks").orderBy("start").collect()]
+    assert len(starts) > 1 and starts == sorted(set(starts))
+
+
+def test_huffman_new_session(spark, tmp_path):
+    """A process of its own reads the files, with nothing but their path."""
+    texts = ["one two three", None, "four é five"]
+    path = huffman.write_ids(frame(spark, texts), P.path("word_bpe_49k.json"), str(tmp_path / "ids"))
+    code = (
+        "import sys; from pyspark.sql import SparkSession; from deskmill.llm import huffman\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.driver.host', '127.0.0.1').getOrCreate()\n"
+        "print('IDS', sorted((r['doc_id'], r['ids']) for r in huffman.read_ids(spark, sys.argv[1]).collect()))"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code, path], cwd=root, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": root})
+    line = next(x for x in done.stdout.splitlines() if x.startswith("IDS "))
+    assert line == f"IDS {list(enumerate(plain('word_bpe_49k.json', texts, 2)))}"
+    with pytest.raises(Exception, match="exist"):
+        huffman.write_ids(frame(spark, texts), P.path("word_bpe_49k.json"), path)
+
+
+def test_huffman_repeats(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (1, "b", "x"), (0, None, "x")], "doc_id long, text string, start string")
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in huffman.digests(spark, huffman.write_ids(df, P.path("word_bpe_49k.json"))).collect())
+    assert got == [(0, 0, 1), (1, 1, 2), (3, 1, 2), (5, 1, 2)]
 
 
 def test_huffman_empty(spark):
-    files, lengths = huffman.write_ids(spark.createDataFrame([], SCHEMA), P.path("word_bpe_49k.json"))
-    assert huffman.digests(files, lengths).count() == 0
+    path = huffman.write_ids(spark.createDataFrame([], SCHEMA), P.path("word_bpe_49k.json"))
+    assert huffman.digests(spark, path).count() == 0
