@@ -12,8 +12,13 @@ that order into fragments; the overlap of two documents is counted fragment by f
    then, exactly, every pair of members that no chain of verified links joins yet.
 4. ``overlaps`` joins candidates with the fragments of both sides and sums partial overlaps per pair.
 
-Rows: null or wordless texts have the empty set, which links to nothing. Rows without id are left out. Rows that
-repeat an id count as one document. Extra columns are not read. An empty table gives an empty result.
+N-grams are 48-bit hashes beside 16 bits of frequency. Within one pair of sets of a and b n-grams two different ones are taken for equal
+with a chance of a * b / 2**48 (under 4e-9 for texts of a thousand words), whatever the size of the corpus; a false partner elsewhere only
+makes a candidate, which the pair's own count rejects.
+
+Rows: null or wordless texts have the empty set, which links to nothing. Rows without id are left out. Rows that repeat an id are one
+document: each of its texts has its links, the fullest one (most characters beside white space) gives the set size. Very long texts are read whole; ties in order have no influence on
+which pairs link. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +37,12 @@ from deskmill.llm.graph import components
 from deskmill.llm.store import cut, drop, partitions
 
 FLUSH = 3_000_000  # shingles in a block; 48 MB
-DF_CAP = (1 << 14) - 1  # document frequencies above this tie; the hash still orders them
+OCTAVE, SMALL = 512, 12  # frequencies to 2**SMALL order n-grams as they are, others by OCTAVE steps for each doubling
+
+
+def _frequency_code(df: np.ndarray) -> np.ndarray:
+    """Document frequency as 16 bits that never fall as it grows, up to 2**115; n-grams of one code are ordered by hash."""
+    return np.where(df <= 1 << SMALL, df, (1 << SMALL) + OCTAVE * (np.log2(np.maximum(df, 1)) - SMALL)).astype(np.uint64)
 
 
 def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +61,25 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int64)), *sums], ["doc_id", "n_shingles", "d1", "d2"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, n_shingles long, d1 long, d2 long").dropDuplicates(["doc_id"])
+    return rows.mapInArrow(sets, "doc_id long, n_shingles long, d1 long, d2 long")
+
+
+def apart(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame] | None:
+    """Where ids have several texts (different sets): (doc_id, text) with ids of their own, above all others, for every text but the
+    fullest of an id; and (u, v) from each new id to the old one. None where every id has one set, as it should."""
+    odd = cut(sets.distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("odd_id")), "odd-ids")
+    if odd.isEmpty():
+        return None
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    is_odd = F.col("doc_id") == F.col("odd_id")
+    texts = rows.join(odd, is_odd, "left_semi").distinct()
+    filled = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+", ""))
+    first = texts.groupBy("doc_id").agg(F.max(F.struct(filled.alias("n"), "text")).alias("m")).select("doc_id", F.col("m.text").alias("text"))
+    more = texts.join(first.select(F.col("doc_id").alias("l_id"), F.col("text").alias("l_text")), (F.col("doc_id") == F.col("l_id")) & (F.col("text") == F.col("l_text")), "left_anti")
+    top = rows.agg(F.max("doc_id")).first()[0]
+    named = cut(more.select((F.lit(top + 1) + F.monotonically_increasing_id()).alias("new_id"), "doc_id", "text"), "texts-apart")
+    every = rows.join(odd, is_odd, "left_anti").unionByName(first).unionByName(named.select(F.col("new_id").alias("doc_id"), "text"))
+    return every, named.select(F.col("new_id").alias("u"), F.col("doc_id").alias("v"))
 
 
 def frequent(docs: DataFrame, classes: DataFrame, n: int, t: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +145,7 @@ def frequent(docs: DataFrame, classes: DataFrame, n: int, t: Fraction, id_col: s
         _, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
         df = df[inverse]
         keep = df >= 2
-        g = (np.minimum(df[keep], DF_CAP).astype(np.uint64) << np.uint64(48)) | h[keep]
+        g = (_frequency_code(df[keep]) << np.uint64(48)) | h[keep]
         d = d[keep]
         q = np.mod(d, parts)
         order = np.lexsort((g, d, q))
@@ -202,12 +230,26 @@ def links(sets: DataFrame, t: Fraction) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links of similarity t or more), class_id (least id of an equal set)."""
-    info = cut(shingle_sets(docs, n, id_col, text_col), "sets")
+    info = cut(shingle_sets(docs, n, id_col, text_col).distinct(), "sets")
+    known = apart(docs, info, id_col, text_col)
+    if known is not None:
+        docs, same_id = known
+        id_col, text_col = "doc_id", "text"
+        info = cut(shingle_sets(docs, n).distinct(), "sets")
     classes = cut(info.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
     sets = cut(frequent(docs, classes, n, t, id_col, text_col), "shared")
     edges = links(sets, t)
     drop(sets)
-    group = components(edges.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    pairs = edges.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    if known is not None:  # texts of one id are linked through it
+        of = info.join(classes, (info["d1"] == classes["d1"]) & (info["d2"] == classes["d2"]) & (info["n_shingles"] == classes["n"])).select(F.col("doc_id").alias("of_id"), "rep")
+        rep = lambda c: same_id.join(of.select(F.col("of_id").alias(c), F.col("rep").alias(f"rep_{c}")), c)
+        pairs = pairs.unionByName(rep("u").join(rep("v"), ["u", "v"]).select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
+    group = components(pairs)
     named = classes.join(group, classes["rep"] == group["id"], "left").select("d1", "d2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     same = (info["d1"] == named["d1"]) & (info["d2"] == named["d2"]) & (info["n_shingles"] == named["n"])
-    return info.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    out = info.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    if known is None:
+        return out
+    new = same_id.select(F.col("u").alias("new_id"))  # above every old id and linked with one, so never a component's least
+    return out.join(new, out["doc_id"] == new["new_id"], "left_anti")
