@@ -10,10 +10,12 @@ with the same least hash are *contexts*; a string starts in exactly one context,
    longer shared cores until they are small or one string each. Whole buckets are gathered into blocks, and each block gets a ``RunIndex``: suffix array, Burrows-Wheeler transform stored by runs, and the suffix position and common
    prefix at both ends of each run. One pass along the text then streams matching statistics: within a run, a step along the
    text shortens the match by one, so only run ends are needed. Starts that match ``length`` bytes elsewhere are marked.
-4. Marks go back to all copies of their context, and a last pass cuts the union of the marked bytes out of each text.
+4. Marks, one row a context with its merged ranges, go back to all copies of their context, so a join with them never makes more rows
+   than it is given; a last pass cuts the union of the marked bytes out of each text.
 
-Rows: null texts are empty; rows without id are left out; equal ids are taken as different documents for matching, and each is cut by
-the spans of all rows with its id. Texts shorter than ``length`` stay. Extra columns are not read. An empty table gives an empty result.
+Rows: null texts are empty; rows without id are left out. Rows that share an id are different documents, for matching and for cutting: a
+row is known by its id and a hash of its text. Texts shorter than ``length`` stay. Very long texts are read whole. Extra columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
@@ -119,11 +122,19 @@ class RunIndex:
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """bucket, context, again, doc_id, start, starts of (doc_id, text) rows; again: the least hash occurs twice in it."""
+    """bucket, context, again, doc_id, text_key, start, starts of (doc_id, text_key, text) rows; again: the least hash occurs twice in it."""
     w = length - GRAM + 1
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                for lo, hi, d, o in K.chunks(*K.utf8(batch.column(2))):
+                    yield ids[lo:hi], keys[lo:hi], d, o
+        K.release()
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offs in K.documents(batches):
+        for ids, keys, data, offs in chunks(batches):
             size = offs[1:] - offs[:-1]
             long = size >= length
             if not long.any():
@@ -148,9 +159,9 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
             again = np.searchsorted(key, mine + lo + runs + w - 1) - np.searchsorted(key, mine + lo) > 1
             row = np.searchsorted(offs, lo, "right") - 1
             context = K.span_hash(c, lo, lo + runs + length - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(again), pa.array(ids[row]), pa.array((lo - offs[row]).astype(np.int32)), pa.array(runs.astype(np.int32))], ["bucket", "context", "again", "doc_id", "start", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(again), pa.array(ids[row]), pa.array(keys[row]), pa.array((lo - offs[row]).astype(np.int32)), pa.array(runs.astype(np.int32))], ["bucket", "context", "again", "doc_id", "text_key", "start", "starts"])
 
-    return docs.mapInArrow(scan, "bucket long, context long, again boolean, doc_id long, start int, starts int")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(scan, "bucket long, context long, again boolean, doc_id long, text_key int, start int, starts int")
 
 
 def _fetch(source: DataFrame, keys: list[str], wanted: DataFrame, length: int) -> DataFrame:
@@ -188,11 +199,12 @@ def _fetch(source: DataFrame, keys: list[str], wanted: DataFrame, length: int) -
 
 
 def _pieces(rows: DataFrame, length: int, size: int) -> DataFrame:
-    """Fetched contexts cut into runs of at most ``size`` starts: p_bucket, p_context, start (in that context) and a bucket, context,
-    starts, copies, anchor of its own.
+    """Fetched contexts cut into runs of at most ``size`` starts: p_bucket, p_context, start and places (in that context) and a bucket,
+    context, starts, copies, anchor of its own.
 
     Equal strings hold their bucket's window, at its first place, at the same distance. Runs are aligned by that distance, and the new bucket
-    is the hash of what all strings of a run share, so equal strings of one bucket meet again, with fewer others the smaller the size.
+    is the hash of what all strings of a run share, so equal strings of one bucket meet again, with fewer others the smaller the size. Equal
+    runs of one context (a line that it repeats gives one for each time) are one row with all their places, the first of which is ``start``.
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,18 +231,29 @@ def _pieces(rows: DataFrame, length: int, size: int) -> DataFrame:
                 own, s, w, k = item[at], pos[at], window[at], step[at]
                 core = K.span_hash(c, w - k * size, w - np.minimum(k * size + size - 1, length - GRAM) + length)
                 whole = K.span_hash(c, s, s + n + length - 1)
+                fresh = K.mix(core + k.astype(np.uint64))
+                order = np.lexsort((s, whole, fresh, own))
+                own, s, n, fresh, whole, gap = (x[order] for x in (own, s, n, fresh, whole, w - s))
+                first = np.ones(len(own), bool)
+                first[1:] = (own[1:] != own[:-1]) | (fresh[1:] != fresh[:-1]) | (whole[1:] != whole[:-1])
+                f = np.flatnonzero(first)
+                many = np.diff(np.append(f, len(own)))
+                places = (s - o[own]).astype(np.int32)
                 named = {
-                    "p_bucket": bucket[own], "p_context": context[own], "start": (s - o[own]).astype(np.int32), "bucket": K.mix(core + k.astype(np.uint64)).view(np.int64), "context": whole.view(np.int64),
-                    "starts": n.astype(np.int32), "copies": copies[own], "anchor": (w - s).astype(np.int32),
+                    "p_bucket": bucket[own[f]], "p_context": context[own[f]], "start": places[f], "places": pa.ListArray.from_arrays(np.append(f, len(own)).astype(np.int32), pa.array(places)), "bucket": fresh[f].view(np.int64),
+                    "context": whole[f].view(np.int64), "starts": n[f].astype(np.int32), "copies": copies[own[f]] * many, "anchor": gap[f].astype(np.int32),
                 }
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in named.values()], list(named))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in named.values()], list(named))
 
     columns = rows.select("bucket", "context", "starts", "copies", "anchor", "data")
-    return columns.mapInArrow(cut_up, "p_bucket long, p_context long, start int, bucket long, context long, starts int, copies long, anchor int")
+    return columns.mapInArrow(cut_up, "p_bucket long, p_context long, start int, places array<int>, bucket long, context long, starts int, copies long, anchor int")
+
+
+RANGES = "array<struct<lo:int,hi:int>>"
 
 
 def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """bucket, context, lo, hi: ranges of starts whose strings occur in the bucket at another place."""
+    """bucket, context, ranges: the starts of each context whose strings occur in the bucket at another place, as (lo, hi) in order."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -250,7 +273,10 @@ def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
             new[1:] = (text[1:] != text[:-1]) | (rel[1:] != rel[:-1] + 1)
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(text)) - 1
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in text[a]], pa.int64()), pa.array([held[i][1] for i in text[a]], pa.int64()), pa.array(rel[a].astype(np.int32)), pa.array(rel[b].astype(np.int32))], ["bucket", "context", "lo", "hi"])
+            own, many = np.unique(text[a], return_counts=True)
+            each = pa.StructArray.from_arrays([pa.array(rel[a].astype(np.int32)), pa.array(rel[b].astype(np.int32))], ["lo", "hi"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), each)
+            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in own], pa.int64()), pa.array([held[i][1] for i in own], pa.int64()), lists], ["bucket", "context", "ranges"])
 
         size, last = 0, None
         for batch in batches:
@@ -269,24 +295,44 @@ def _index(rows: DataFrame, length: int, parts: int) -> DataFrame:
         K.release()
 
     dealt = rows.select("bucket", "context", "starts", "data").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(marks, "bucket long, context long, lo int, hi int")
+    return dealt.mapInArrow(marks, f"bucket long, context long, ranges {RANGES}")
 
 
 def _joined(marks: DataFrame) -> DataFrame:
-    """Ranges of each context that touch made one."""
-    order = Window.partitionBy("bucket", "context").orderBy("lo", "hi")
-    new = F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
-    runs = marks.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("bucket", "context", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
-
+    """One row a context with its ranges in order, touching ones made one. A context has at most as many ranges as starts, whatever the
+    number of texts that it occurs in."""
 
-def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, sizes: tuple[int, ...], hot_bytes: int) -> DataFrame:
-    """bucket, context, lo, hi: ranges of starts of each context of ``live`` whose strings occur elsewhere in its bucket.
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            each = batch.column(2).flatten()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            lo, hi = (each.field(k).to_numpy().astype(np.int64) for k in range(2))
+            order = np.lexsort((lo, row))
+            row, lo, hi = row[order], lo[order], hi[order]
+            step = int(hi.max(initial=0)) + 3  # rows lie apart, so a running maximum stays in its row
+            reach = np.maximum.accumulate(hi + row * step)
+            new = np.ones(len(row), bool)
+            new[1:] = lo[1:] + row[1:] * step > reach[:-1] + 1
+            first = np.flatnonzero(new)
+            ends = reach[np.append(first[1:], len(row)) - 1] - row[first] * step
+            made = pa.StructArray.from_arrays([pa.array(lo[first].astype(np.int32)), pa.array(ends.astype(np.int32))], ["lo", "hi"])
+            at = np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), made)], ["bucket", "context", "ranges"])
+
+    every = marks.groupBy("bucket", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return every.mapInArrow(merge, f"bucket long, context long, ranges {RANGES}")
+
+
+def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, sizes: tuple[int, ...], hot_bytes: int, made: list[DataFrame]) -> DataFrame:
+    """bucket, context, ranges: those of the starts of each context of ``live`` whose strings occur elsewhere in its bucket.
 
     Buckets of up to ``hot_bytes`` get an index. Larger ones are split by ``_pieces`` and marked in the same way; at the last size, 1, a
-    bucket is one string, and counts decide.
+    bucket is one string, and counts decide. ``made`` gets the tables that are needed until the result is written.
     """
     parts = partitions(source.sparkSession)
+    whole = lambda n: F.array(F.struct(F.lit(0).alias("lo"), (n - 1).cast("int").alias("hi")))
     one = F.min(F.struct(*keys, "start", "starts", "anchor")).alias("one")
     kinds = live.groupBy("bucket", "context").agg(F.sum("copies").alias("copies"), F.max("again").alias("again"), one)
     kinds = cut(kinds.select("bucket", "context", "copies", "again", "one.*"), "context-kinds")
@@ -294,25 +340,34 @@ def _marks(source: DataFrame, keys: list[str], live: DataFrame, length: int, siz
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.col("again") & (F.col("copies") == 1)).alias("any"), F.min("copies").alias("fewest"), (size > hot_bytes).alias("hot"))
     mixed = cut(mixed.filter("(n > 1 and fewest = 1) or any").select("bucket", "hot"), "mixed-buckets")
     bytes_ = cut(_fetch(source, keys, kinds.join(mixed, "bucket"), length), "context-bytes")
+    made += [kinds, mixed, bytes_]
     marks = _index(bytes_.filter("not hot"), length, parts)
     hot = bytes_.filter("hot")
     if sizes and not hot.isEmpty():
         pieces = cut(_pieces(hot, length, sizes[0]), "context-pieces")
+        made.append(pieces)
         texts = hot.select(F.col("bucket").alias("p_bucket"), F.col("context").alias("p_context"), "data")
         if sizes[0] == 1:  # a bucket is one string: its copies decide
             twice = pieces.groupBy("bucket").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("bucket")
-            back = pieces.join(twice, "bucket", "left_semi").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+            back = pieces.join(twice, "bucket", "left_semi").withColumn("ranges", whole(F.lit(1)))
         else:
-            below = _marks(texts, ["p_bucket", "p_context"], pieces.withColumn("again", F.lit(False)), length, sizes[1:], hot_bytes)
-            back = pieces.select("p_bucket", "p_context", "start", "bucket", "context").join(below, ["bucket", "context"])
-        back = back.select(F.col("p_bucket").alias("bucket"), F.col("p_context").alias("context"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+            below = _marks(texts, ["p_bucket", "p_context"], pieces.withColumn("again", F.lit(False)), length, sizes[1:], hot_bytes, made)
+            back = pieces.select("p_bucket", "p_context", "places", "bucket", "context").join(below, ["bucket", "context"])
+        moved = F.flatten(F.transform("places", lambda p: F.transform("ranges", lambda r: F.struct((p + r["lo"]).alias("lo"), (p + r["hi"]).alias("hi")))))
+        back = back.select(F.col("p_bucket").alias("bucket"), F.col("p_context").alias("context"), moved.alias("ranges"))
         marks = marks.unionByName(_joined(back))
-    whole = kinds.filter("copies > 1").select("bucket", "context", F.lit(0).alias("lo"), (F.col("starts") - 1).alias("hi"))
-    return marks.join(whole, ["bucket", "context"], "left_anti").unionByName(whole)
+    repeated = kinds.filter("copies > 1").select("bucket", "context", whole(F.col("starts")).alias("ranges"))
+    return marks.join(repeated, ["bucket", "context"], "left_anti").unionByName(repeated)
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """Tells texts of one id apart."""
+    return F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int")
 
 
 def repeated_spans(docs: DataFrame, length: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """doc_id, lo, hi: byte spans (end excluded) that strings of ``length`` bytes with another occurrence cover; they may overlap.
+    """doc_id, text_key, ranges (first start, last start, context's start): what strings of ``length`` bytes with another occurrence cover,
+    of (doc_id, text_key, text) rows; they may overlap.
 
     Bucket lists and marks are tables of their own, so that joins with them have nothing but a scan on that side: small ones are
     broadcast within Spark's size bound, and for others a hot bucket's rows can be split while the query runs.
@@ -322,12 +377,14 @@ def repeated_spans(docs: DataFrame, length: int, hot_bytes: int = HOT_BYTES) ->
     buckets = cut(buckets, "buckets")
     live = cut(found.join(buckets, "bucket", "left_semi"), "live-contexts")
     drop(found)
-    texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("data"))
+    texts = docs.filter("text is not null").select("doc_id", "text_key", F.col("text").cast("binary").alias("data"))
     sizes = tuple(x for x in SPLITS if x < length - GRAM) if length - GRAM > 1 else (1,)
-    marks = _marks(texts, ["doc_id"], live.withColumns({"copies": F.lit(1), "anchor": F.lit(-1)}), length, sizes, hot_bytes)
-    marks = cut(marks, "marks")
-    hit = live.select("bucket", "context", "doc_id", "start").join(marks, ["bucket", "context"])
-    return hit.select("doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi"))
+    made = [buckets]
+    marks = cut(_marks(texts, ["doc_id", "text_key"], live.withColumns({"copies": F.lit(1), "anchor": F.lit(-1)}), length, sizes, hot_bytes, made), "marks")
+    drop(*made)
+    hit = live.select("bucket", "context", "doc_id", "text_key", "start").join(marks, ["bucket", "context"])
+    spans = F.transform("ranges", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] + length).alias("hi")))
+    return hit.select("doc_id", "text_key", spans.alias("spans"))
 
 
 def _cut_text(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -346,8 +403,8 @@ def _cut_text(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tu
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of lo, hi), kept (binary): each text without the bytes that repeated strings cover."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(rows, length, hot_bytes).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", text_key())
+    spans = repeated_spans(rows, length, hot_bytes).groupBy(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,23 +417,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     out.append((doc, len(data), len(data) - len(kept), [{"lo": a, "hi": b} for a, b in runs], kept))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), y) for x, y in zip(zip(*out), KINDS)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return rows.join(spans, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary")
+    return rows.join(spans, (F.col("doc_id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left").select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary")
 
 
 def word_codes(docs: DataFrame) -> DataFrame:
-    """doc_id, text of (doc_id, text) rows: ``WORD_BYTES`` ASCII signs of the hash of each word. Words are runs of letters and digits in
+    """doc_id, text_key, text of such rows: ``WORD_BYTES`` ASCII signs of the hash of each word. Words are runs of letters and digits in
     lower case, so runs of equal words are equal strings however long the words are, and whatever stands between them."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offs in K.documents(batches):
-            start, end, row = K.words(data, offs, K.NOT_WORD)
-            h = K.span_hash(K.prefix(K.LOWER[data]), start, end)
-            signs = (h[:, None] >> np.arange(0, 7 * WORD_BYTES, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
-            edges = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids))))) * WORD_BYTES
-            text = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(signs.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), text], ["doc_id", "text"])
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(1)
+            data, offs = K.utf8(batch.column(2))
+            for lo, hi, d, o in K.chunks(data, offs):
+                yield codes(ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), d, o)
+        K.release()
+
+    def codes(ids: pa.Array, keys: pa.Array, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+        start, end, row = K.words(data, offs, K.NOT_WORD)
+        h = K.span_hash(K.prefix(K.LOWER[data]), start, end)
+        signs = (h[:, None] >> np.arange(0, 7 * WORD_BYTES, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
+        edges = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids))))) * WORD_BYTES
+        text = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(signs.tobytes())])
+        return pa.RecordBatch.from_arrays([ids, keys, text], ["doc_id", "text_key", "text"])
 
-    return docs.mapInArrow(code, "doc_id long, text string")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(code, "doc_id long, text_key int, text string")
 
 
 def _of_words(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -391,12 +455,14 @@ def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     elsewhere are cut too, however short. Texts that lose everything go, with ``words`` those that lose every word; where a cut divides a
     character, its rest goes too. Rows without id are left out. The text is shuffled once."""
     rows = docs.filter(F.col(id_col).isNotNull())
-    source = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", text_key())
     spans = repeated_spans(source, length).withColumn("of_words", F.lit(False))
     if words:
         codes = cut(word_codes(source), "word-codes")
         spans = spans.unionByName(repeated_spans(codes, words * WORD_BYTES).withColumn("of_words", F.lit(True)))
-    lists = spans.groupBy(F.col("doc_id").alias("_s_id")).agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("_spans"))
+        drop(codes)
+    marked = F.transform("spans", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), F.col("of_words").alias("of_words")))
+    lists = spans.select("doc_id", "text_key", marked.alias("spans")).groupBy(F.col("doc_id").alias("_s_id"), F.col("text_key").alias("_s_key")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("_spans"))
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +485,8 @@ def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
                 arrays = [part.column(i) if i != at else pa.array(texts, part.schema.field(at).type) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:-1]).filter(pa.array(keep))
 
-    joined = rows.join(lists, rows[id_col] == lists["_s_id"], "left").select(*(rows[c] for c in rows.columns), "_spans")
+    own = (rows[id_col].cast("long") == lists["_s_id"]) & (text_key(rows[text_col].cast("string")) == lists["_s_key"])
+    joined = rows.join(lists, own, "left").select(*(rows[c] for c in rows.columns), "_spans")
     return joined.mapInArrow(apply, docs.schema)
 
 

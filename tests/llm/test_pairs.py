@@ -69,6 +69,22 @@ def test_join(spark, rows, n, t):
     assert got == brute_components(rows, n, t)
 
 
+def test_join_shared_id(spark):
+    """An id with several texts has the links of each; the fullest text gives the set size."""
+    words = lambda a, n=60: " ".join(f"w{a}x{i}" for i in range(n))
+    rows = [(5, words(1, 70)), (5, words(2)), (5, " "), (5, None), (2, words(1, 70)), (9, words(2)), (7, words(3)), (7, words(3)), (8, words(4)), (1, words(4) + " more")]
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)
+    for part in (df, df.repartition(4), df.orderBy("text")):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(part, 5).collect()}
+        assert got == {5: (66, 2), 2: (66, 2), 9: (56, 2), 7: (56, 7), 8: (56, 1), 1: (57, 1)}
+
+
+def test_frequency_code():
+    df = np.concatenate((np.arange(1, 20_000), 2 ** np.arange(15, 60)))
+    code = ngram_join._frequency_code(df).astype(np.int64)
+    assert (np.diff(code) >= 0).all() and (code[:4096] == df[:4096]).all() and code.max() < 1 << 15
+
+
 def test_join_empty(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -120,14 +136,43 @@ def test_repeats_hot_passage(spark):
 
 
 def test_repeats_shared_id(spark):
-    """Two texts with one id: both are cut, nothing fails."""
+    """Two texts with one id: each is cut by its own spans only."""
     rng = np.random.default_rng(6)
     text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     common = text(450)
-    rows = [(1, text(3000) + common + text(50)), (1, "short"), (2, text(700) + common), (2, text(900))]
-    out = runindex.remove_repeats(spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)).collect()
-    assert sorted(r["n_bytes"] for r in out) == sorted(len(x) for _, x in rows)
-    assert all(common[:400].encode() not in bytes(r["kept"]) for r in out)
+    rows = [(1, text(3000) + common + text(50)), (1, text(4000)), (1, "short"), (2, text(700) + common), (2, text(900)), (3, None), (3, "")]
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)
+    out = sorted((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in runindex.remove_repeats(df).collect())
+    kept = brute_repeats([(k, x) for k, (_, x) in enumerate(rows)], 400)
+    assert out == sorted((d, len(x or ""), kept[k]) for k, (d, x) in enumerate(rows)) and len(kept[0]) < 3100
+
+
+@pytest.mark.parametrize("length", [400, 204])
+def test_repeats_near_copies(spark, length):
+    """Near copies of one text, in buckets that the default does not split and in ones that it does: joins with marks make no more rows
+    than contexts, however many copies there are."""
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh "), 1200))
+    near = []
+    for _ in range(120):
+        x = list(base)
+        for at in rng.choice(len(x), 3, replace=False):
+            x[at] = "XYZ"[int(rng.integers(3))]
+        near.append("".join(x))
+    rows = list(enumerate([*near, *near[:10], base[100:900]]))
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)
+    want = brute_repeats(rows, length)
+    for hot in (0, 30_000, runindex.HOT_BYTES):
+        assert {r["doc_id"]: bytes(r["kept"]) for r in runindex.remove_repeats(df, length, hot_bytes=hot).collect()} == want
+
+
+def test_repeats_periodic(spark):
+    """Texts that repeat a sign or a line all along, over what an index holds: whole runs go, in reasonable time."""
+    line = "one line that is said again and again, always the same\n"
+    rows = [(0, "x" * 1_500_000), (1, line * 30_000), (2, "before " + line * 40 + " after"), (3, line * 7), (4, line * 9 + "y" * 399)]
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in runindex.remove_repeats(df).collect()}
+    assert got == {0: b"", 1: b"", 2: b"before  after", 3: (line * 7).encode() if len(line) * 7 < 400 else b"", 4: b"y" * 399}
 
 
 def test_repeats_empty(spark):
