@@ -37,6 +37,7 @@ from deskmill.llm.graph import components
 from deskmill.llm.store import cut, drop, partitions
 
 FLUSH = 3_000_000  # shingles in a block; 48 MB
+PART = 2_000_000  # shingles of a hash range; ranges grow in number with the corpus, not in size
 OCTAVE, SMALL = 512, 12  # frequencies to 2**SMALL order n-grams as they are, others by OCTAVE steps for each doubling
 
 
@@ -82,9 +83,10 @@ def apart(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: st
     return every, named.select(F.col("new_id").alias("u"), F.col("doc_id").alias("v"))
 
 
-def frequent(docs: DataFrame, classes: DataFrame, n: int, t: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rep, n, toks: for each class of ``classes`` (rep, n) that may have a partner, its shared n-grams in global order."""
-    parts = 2 * partitions(docs.sparkSession)
+def frequent(docs: DataFrame, classes: DataFrame, n: int, t: Fraction, id_col: str = "doc_id", text_col: str = "text", total: int = 0) -> DataFrame:
+    """rep, n, toks: for each class of ``classes`` (rep, n) that may have a partner, its shared n-grams in global order. ``total``: n-grams of
+    all documents, from which the number of ranges follows."""
+    parts = max(2 * partitions(docs.sparkSession), -(-total // PART))
     step = -(-(1 << 48) // parts)
     num, den = t.numerator, t.denominator
 
@@ -174,9 +176,9 @@ def frequent(docs: DataFrame, classes: DataFrame, n: int, t: Fraction, id_col: s
         return pa.table({"rep": pa.array(reps[live]), "n": pa.array(size[live]), "toks": lists})
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = rows.mapInArrow(blocks, "part int, ids binary, local binary, gaps binary, n long").groupBy("part").applyInArrow(count, "q long, d binary, g binary")
+    shared = rows.mapInArrow(blocks, "part int, ids binary, local binary, gaps binary, n long").repartition(parts, "part").groupBy("part").applyInArrow(count, "q long, d binary, g binary")
     info = classes.filter("n > 0").select("rep", "n", F.pmod("rep", F.lit(parts)).cast("long").alias("q"))
-    return shared.groupBy("q").cogroup(info.groupBy("q")).applyInArrow(collect, "rep long, n long, toks array<long>")
+    return shared.repartition(parts, "q").groupBy("q").cogroup(info.repartition(parts, "q").groupBy("q")).applyInArrow(collect, "rep long, n long, toks array<long>")
 
 
 def overlaps(pairs: DataFrame, fragments: DataFrame, t: Fraction) -> DataFrame:
@@ -237,7 +239,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, t: Fraction = Fraction(4, 5)
         id_col, text_col = "doc_id", "text"
         info = cut(shingle_sets(docs, n).distinct(), "sets")
     classes = cut(info.filter("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
-    sets = cut(frequent(docs, classes, n, t, id_col, text_col), "shared")
+    total = info.agg(F.sum("n_shingles")).first()[0] or 0
+    sets = cut(frequent(docs, classes, n, t, id_col, text_col, total), "shared")
     edges = links(sets, t)
     drop(sets)
     pairs = edges.select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -246,6 +249,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, t: Fraction = Fraction(4, 5)
         rep = lambda c: same_id.join(of.select(F.col("of_id").alias(c), F.col("rep").alias(f"rep_{c}")), c)
         pairs = pairs.unionByName(rep("u").join(rep("v"), ["u", "v"]).select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
     group = components(pairs)
+    drop(edges)
     named = classes.join(group, classes["rep"] == group["id"], "left").select("d1", "d2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     same = (info["d1"] == named["d1"]) & (info["d2"] == named["d2"]) & (info["n_shingles"] == named["n"])
     out = info.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
-from deskmill.llm.store import cut
+from deskmill.llm.store import cut, drop
 
 NAMES = ("log_words", "word_length", "word_spread", "long_words", "upper", "digits", "symbols", "stops", "commas", "shouts", "bars", "other", "non_ascii", "lines", "repeat_lines", "distinct_words", "top_word", "repeat_pairs", "first_upper", "entropy")
 FEATURES, BINS, SEED, FOLDS = 256, 1000, 7, 3
@@ -198,6 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame, trains: str, count: int = FEATU
                 yield pa.RecordBatch.from_arrays([pa.array(_bin(own)), batch.column(1)], ["bin", "y"])
 
     rows = known.mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.count("*").alias("w"), F.sum("y").alias("t")).orderBy("bin").collect()  # at most BINS rows
+    drop(known)
     at = np.array([r["bin"] for r in rows], float)
     value = isotonic(at, np.array([r["w"] for r in rows], float), np.array([r["t"] for r in rows], float))
 
