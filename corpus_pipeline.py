@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deskmill.llm import decontaminate, langid, ngram_join, packing, runindex
 from deskmill.llm.queries import table, vocabulary
-from deskmill.llm.store import cut
+from deskmill.llm.store import cut, drop
 
 PASSAGE_WORDS = 51
 #: Documents fit by 0.39 or more on sf0.1 and 0.33 on check_l; against sf0.1, texts in nine other languages by 0.01 to 0.29, a short Dutch one by 0.32.
@@ -65,6 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
