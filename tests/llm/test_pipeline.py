@@ -1,8 +1,14 @@
 """The pipeline's stages on planted cases, and run() end to end."""
 
 import re
+from fractions import Fraction
 
 import pytest
+from test_pairs import brute_components
+from test_rules import plain_grams, plain_ranks, smith_waterman
+from test_tokens import plain
+
+from deskmill.llm import langid
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +108,103 @@ def test_run(spark, planted):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "decontamination", "packing"]
 
 
+def plain_language(rows):
+    learned = {}
+    for _, text, lang, *_ in rows:
+        if lang:
+            for g, n in plain_grams(text).items():
+                learned.setdefault(lang, {}).setdefault(g, 0)
+                learned[lang][g] += n
+    profile = {k: plain_ranks(c, langid.SIZE) for k, c in learned.items()}
+    out = []
+    for r in rows:
+        own = plain_ranks(plain_grams(r[1]), langid.SIZE)
+        letters = any(map(str.isalpha, r[1] or ""))
+        if own and letters:
+            fit = 1 - min(sum(abs(p[g] - n) if g in p else langid.SIZE for g, n in own.items()) for p in profile.values()) / (len(own) * langid.SIZE)
+            if fit >= corpus_pipeline.LEAST_FIT or len(r[1]) < corpus_pipeline.SHORT_TEXT:
+                out.append(r)
+    return out
+
+
+def plain_passages(rows):
+    """Runs of 51 words, or of 400 bytes, that start anywhere else too are cut."""
+    spans, where, strings = [], {}, {}
+    for k, r in enumerate(rows):
+        data = r[1].encode()
+        spans.append([(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data)])
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in data[a:b]) for a, b in spans[-1]]
+        for i in range(len(words) - 50):
+            where.setdefault(tuple(words[i : i + 51]), []).append((k, i))
+        for i in range(len(data) - 399):
+            strings.setdefault(data[i : i + 400], []).append((k, i))
+    cover = [set() for _ in rows]
+    for v in where.values():
+        if len(v) > 1:
+            for k, i in v:
+                cover[k].update(range(spans[k][i][0], spans[k][i + 50][1]))
+    for v in strings.values():
+        if len(v) > 1:
+            for k, i in v:
+                cover[k].update(range(i, i + 400))
+    out = []
+    for r, c in zip(rows, cover):
+        kept = bytes(b for i, b in enumerate(r[1].encode()) if i not in c)
+        if re.search(rb"[0-9A-Za-z\x80-\xff]", kept) or not c:
+            out.append((r[0], kept.decode("utf-8", "ignore"), *r[2:]))
+    return out
+
+
+def test_run_plain(spark, tmp_path):
+    """run() against every stage recomputed plainly: ties, repeated rows, copies, passages, clashing columns, a long text."""
+    import numpy as np
+
+    rng = np.random.default_rng(31)
+    syllables = {"en": "the of and ing tion er th wh ly".split(), "fr": "le la eau ment é que oi aux ç".split()}
+    word = lambda k: "".join(rng.choice(syllables[k], int(rng.integers(1, 4))))
+    text = lambda k, n: " ".join(word(k) for _ in range(n)) + "."
+    items = [text("en", 30), text("fr", 45)]
+    passages = [text("en", 51), text("fr", 70), text("en", 50), text("en", 160)]
+    texts = [(text(k, int(rng.integers(1, 160))), k) for k in ("en", "fr") for _ in range(25)]
+    texts += [(f"{text('en', 60)} {p} {text('en', 40)}", "en") for p in passages for _ in range(2)] + [(passages[3], None)]
+    for x, k in texts[10:16]:
+        w = x.split()
+        for _ in range(3):
+            w[int(rng.integers(len(w)))] = "changed"
+            texts.append((" ".join(w), k))
+    edited = items[0].split()
+    edited[4], edited[17] = "x", "y"
+    texts += [(f"{text('en', 30)} {items[0]}", "en"), (" ".join(edited).upper(), None), (f"{items[1]} {text('fr', 20)}", "fr"), (text("fr", 3000), "fr")]
+    texts += [(None, "en"), ("", None), ("12 34 !!", None), ("Hi", None), ("ツ", None), ("Это русский текст о погоде и о людях которые там живут", None), texts[3], texts[3]]
+    rows = [(i * 3, x, k, "s", len(x or "")) for i, (x, k) in enumerate(texts)]
+    again = [*rows, rows[5], rows[60]]
+    d = str(tmp_path)
+    spark.createDataFrame([(*r, "clash", 7) for r in again], SCHEMA + ", keep_id string, bad_id int").repartition(5).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)) + [(0, items[1]), (5, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    left = plain_language(again)
+    least = brute_components([(r[0], r[1]) for r in left], 5, Fraction(4, 5))
+    left = [r for r in left if least[r[0]][1] == r[0]]
+    left = plain_passages(left)
+    score = lambda a, b: smith_waterman(a, b) / (2 * len(a))
+    words = lambda x: re.findall(r"[0-9a-z\x80-\U0010ffff]+", x.lower())
+    left = [r for r in left if all(score(words(i), words(r[1])) < 0.5 for i in items)]
+    want = {}
+    for r, ids in zip(left, plain("byte_bpe_50k.json", [r[1] for r in left], 0)):
+        want.setdefault(r[0], []).append(ids)
+
+    got = {}
+    for r in corpus_pipeline.run(spark, d).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["sequence_id"], r["ids"]))
+    assert set(got) == set(want)
+    for k, pieces in got.items():
+        if len(want[k]) == 1:
+            assert [x for _, _, ids in sorted(pieces) for x in ids] == want[k][0]
+        else:  # rows that repeat an id are packed each
+            assert sum(len(ids) for _, _, ids in pieces) == sum(map(len, want[k]))
+    assert len(rows) - len(left) > 40 and len(left) > 30
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
