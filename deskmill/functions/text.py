@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 SPLITS = ("train", "validation", "test")
 
 
+#: White space as Unicode has it, and the four ASCII separators, as one class that the matcher looks up by value.
+SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def clean(c: Column) -> Column:
     """Null to '', white space runs (Unicode) to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
 
 
 def fold(c: Column) -> Column:
@@ -86,3 +90,22 @@ def relevance(c: Column) -> Column:
     """A relevance label 0, 1 or 2 from text, else null."""
     v = F.trim(c).try_cast("double")
     return F.when(v.isin(0.0, 1.0, 2.0), v.cast("int"))
+
+
+def utc_text(at: Column) -> Column:
+    """A timestamp as ISO text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def format_metric(c: Column) -> Column:
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.3f", c.cast("double")))
+
+
+def format_percent(c: Column) -> Column:
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", 100.0 * c.cast("double")))
+
+
+def format_counts(counts: Column) -> Column:
+    """A map of counts as 'a=1, b=2' in the order of its keys, or 'none'."""
+    pairs = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string")))
+    return F.when(F.coalesce(F.size(counts), F.lit(0)) > 0, F.array_join(pairs, ", ")).otherwise("none")

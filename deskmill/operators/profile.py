@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.functions.text import clean, preview, safe_rate
+from deskmill.functions.text import preview, safe_rate
+from deskmill.operators import quantiles
 
 #: The contract's closed domains.
 PRIORITIES = ("low", "medium", "high")
@@ -89,20 +88,12 @@ def mention_examples(df: DataFrame, n: int = 5) -> DataFrame:
 QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p98": 0.98, "p99": 0.99}
 
 
-def describe(column: str, names: tuple[str, ...], *, count: bool = True, digits: int = 6) -> list[Column]:
-    """Aggregates with linear interpolation, rounded; null on no rows."""
-    made = {"min": F.min(column), "max": F.max(column), "mean": F.avg(column)} | {k: F.percentile(F.col(column).cast("double"), F.lit(q)) for k, q in QUANTILES.items()}
-    return [*[F.count(column).alias("n")] * count, *(F.round(made[k].cast("double"), digits).alias(k) for k in names)]
+def describe(df: DataFrame, keys: list[str], column: str, names: tuple[str, ...], *, digits: int = 6) -> DataFrame:
+    """keys, n and the named figures (min, max, mean, QUANTILES), exact with linear interpolation, rounded; null on no rows."""
+    found = quantiles.describe(df, keys, column, {k: QUANTILES[k] for k in names if k in QUANTILES})
+    return found.select(*keys, "n", *(F.round(k, digits).alias(k) for k in names))
 
 
 def missing(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(*(F.sum(blank(F.col(c)).cast("long")).alias(c) for c in columns))
     return one.unpivot([], columns, "column_name", "blank")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def collapsed_length(c: str) -> Column:
-    return F.length(clean(F.col(c))).cast("long")

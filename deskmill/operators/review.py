@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskmill.functions.text import blank_to_null, preview, utc_text
+
 #: Action to state.
 STATES = {"accept": "approved", "edit": "edited", "reroute": "edited", "reject": "rejected", "mark_insufficient": "rejected"}
 
@@ -18,8 +20,7 @@ def state_for(action: Column) -> Column:
 
 def valid(action: Column, draft: Column, queue: Column) -> Column:
     """An edit needs a text and a reroute a queue."""
-    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
-    return F.when(action == "edit", filled(draft)).when(action == "reroute", filled(queue)).otherwise(action.isin(*STATES))
+    return F.when(action == "edit", blank_to_null(draft).isNotNull()).when(action == "reroute", blank_to_null(queue).isNotNull()).otherwise(action.isin(*STATES))
 
 
 def states(actions: DataFrame) -> DataFrame:
@@ -45,3 +46,40 @@ def append(log: DataFrame, new: DataFrame) -> DataFrame:
     if new.filter("queue_confidence not between 0 and 1 or trim(coalesce(ticket_text, '')) = ''").limit(1).count():
         raise ValueError("queue_confidence or ticket_text is not valid")
     return log.unionByName(new)
+
+
+#: A review record's columns.
+RECORD = "analysis_id string, created_at timestamp, ticket_text string, ticket_hash string, predicted_queue string, queue_confidence double, evidence string, draft string, provider string, state string"
+
+
+def records(analyses: DataFrame) -> DataFrame:
+    """Pending records from analyses: hash of the raw text, evidence ids and provider metadata as JSON text, blank drafts as null."""
+    return analyses.select(
+        "analysis_id", "created_at", "ticket_text", F.sha2("ticket_text", 256).alias("ticket_hash"), "predicted_queue", "queue_confidence", F.to_json("evidence_ids").alias("evidence"), blank_to_null(F.col("draft")).alias("draft"), F.to_json("provider").alias("provider"), F.lit("pending").alias("state")
+    )
+
+
+def decoded(stored: DataFrame) -> DataFrame:
+    """Records with evidence ids as an array and provider metadata as a map; text that is not JSON becomes null."""
+    return stored.withColumns({"evidence_ids": F.from_json("evidence", "array<string>"), "provider_fields": F.from_json("provider", "map<string,string>")})
+
+
+def frame(stored: DataFrame, n: int = 100) -> DataFrame:
+    """The newest records as a review table: short text, UTC time, number of evidence ids."""
+    d = decoded(stored)
+    shown = d.select("analysis_id", "created_at", utc_text(F.col("created_at")).alias("created"), "state", "predicted_queue", F.round("queue_confidence", 3).alias("confidence"), F.coalesce(F.size("evidence_ids"), F.lit(0)).alias("n_evidence"), preview(F.col("ticket_text"), 180).alias("ticket"))
+    return shown.orderBy(F.desc("created_at"), F.desc("analysis_id")).limit(n).drop("created_at")
+
+
+def by_state(stored: DataFrame, state: str | None, n: int) -> DataFrame:
+    """Newest records, of one state if given."""
+    if state is not None and state not in ("pending", *STATES.values()):
+        raise ValueError(f"unknown review state {state}")
+    if n <= 0:
+        raise ValueError("the limit must be positive")
+    rows = stored if state is None else stored.filter(F.col("state") == state)
+    return rows.orderBy(F.desc("created_at"), F.desc("analysis_id")).limit(n)
+
+
+def one(stored: DataFrame, analysis_id: str) -> DataFrame:
+    return stored.filter(F.col("analysis_id") == analysis_id)

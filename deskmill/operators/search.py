@@ -1,55 +1,207 @@
-"""Retrieval: TF-IDF weights, dense and hybrid top-k, ranking metrics.
+"""Retrieval: TF-IDF vectors, lexical, dense and hybrid top-k, saved indexes.
 
-Query sets meet the corpus in blocks: a block of at most ``BLOCK`` query vectors goes to the tasks, each task keeps its k best per
-query, and a window picks k of k x tasks rows. There is no query x corpus table.
+Query sets meet the corpus in blocks: a block of queries of at most ``BLOCK_VALUES`` numbers goes to the tasks, each task keeps its k best
+per query, and a window picks k of k x tasks rows. There is no query x corpus table, and no term is joined: a task looks the block's terms
+up in its own rows, so a stop word that every document has makes no hot key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from deskmill.functions.text import classifier_text
+
+BLOCK_VALUES = 2_000_000  # numbers of a block of queries: vector entries and term weights
+BLOCK_QUERIES = 4096
+CELLS = 4_000_000  # of a task's score matrix at a time
+COMMON = 8  # terms of so many queries of a block are multiplied as a matrix
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+FILTERS = ("queue", "priority", "label")
 
 
 def metadata_filter(df: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
     for k, v in (wanted or {}).items():
-        if k not in ("queue", "priority", "label"):
+        if k not in FILTERS:
             raise ValueError(f"no metadata filter on {k}")
         df = df.filter(F.col(k) == F.lit(v))
     return df
 
 
-def terms(docs: DataFrame, text: str = "text", bigrams: bool = True) -> DataFrame:
-    """doc_id, term, tf of words of two or more letters, digits or underscores, and of pairs of neighbours."""
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("w"))
+def check_top_k(k: int) -> int:
+    if k <= 0:
+        raise ValueError("top_k must be positive")
+    return k
+
+
+def check_weight(w: float) -> float:
+    if not 0.0 <= w <= 1.0:
+        raise ValueError("the weight must be from 0 to 1")
+    return w
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------
+
+
+def terms(docs: DataFrame, text: str = "text", bigrams: bool = True, token: str = TOKEN) -> DataFrame:
+    """doc_id, term, tf of words of two or more letters, digits or underscores, and of pairs of neighbours.
+
+    Texts are dealt by doc_id before they are cut up, so counting terms moves texts once and their terms never.
+    """
+    words = docs.select("doc_id", text).repartition("doc_id").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(token), F.lit(0)).alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     bag = F.concat("w", pairs) if bigrams else F.col("w")
     return words.select("doc_id", F.explode(bag).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def idf(tf: DataFrame, rows: int, minimum: int = 1) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= minimum).withColumn("idf", F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0)
+def idf(tf: DataFrame, rows: int, minimum: int = 1, most: int | None = None) -> DataFrame:
+    """term, df, idf of terms in ``minimum`` documents or more; with ``most``, of so many of the most frequent ones (ties by term)."""
+    found = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= minimum)
+    if most:
+        found = found.orderBy(F.desc("total"), "term").limit(most)
+    return found.select("term", "df", (F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weights(tf: DataFrame, fitted: DataFrame, sublinear: bool = True) -> DataFrame:
-    """doc_id, term, df, w: unit-length vectors; terms outside the fitted ones go before the norm."""
+def vectors(tf: DataFrame, fitted: DataFrame, sublinear: bool = True) -> DataFrame:
+    """doc_id, terms, dfs, w: unit-length vectors, one row a document; terms outside the fitted ones go before the norm."""
     factor = (1.0 + F.log("tf")) if sublinear else F.col("tf").cast("double")
     raw = tf.join(fitted, "term").select("doc_id", "term", "df", (factor * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", "df", (F.col("raw") / F.col("norm")).alias("w"))
+    one = raw.groupBy("doc_id").agg(F.collect_list(F.struct("term", "df", "raw")).alias("t"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    pick = lambda f: F.transform("t", f)
+    return one.select("doc_id", pick(lambda x: x["term"]).alias("terms"), pick(lambda x: x["df"]).alias("dfs"), pick(lambda x: x["raw"] / F.col("norm")).alias("w"))
 
 
-def lexical_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, source_id, score over shared terms; a row is never its own answer."""
-    q = queries.select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("wq"))
-    c = corpus.select(F.col("doc_id").alias("source_id"), "term", F.col("w").alias("wc"))
-    return q.join(c, "term").filter("query_id <> source_id").groupBy("query_id", "source_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
+def weights(tf: DataFrame, fitted: DataFrame, sublinear: bool = True) -> DataFrame:
+    """doc_id, term, df, w: one row a term."""
+    zipped = F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"), F.col("w").alias("w"))
+    return vectors(tf, fitted, sublinear).select("doc_id", F.inline(zipped))
+
+
+# ---- blocks -------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Block:
+    """Some queries: their ids, vectors (dense) and terms (as postings by term number)."""
+
+    ids: np.ndarray
+    dense: np.ndarray | None = None
+    vocabulary: pa.Array | None = None
+    common: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # column of each term in ``matrix``, or -1
+    matrix: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    first: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    many: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    query: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    @classmethod
+    def of(cls, rows: list) -> Block:
+        made = cls(np.array([r["id"] for r in rows], np.int64))
+        if rows and "v" in rows[0]:
+            made.dense = np.array([r["v"] for r in rows], float)
+        if rows and "terms" in rows[0]:
+            names = pa.array([t for r in rows for t in r["terms"] or ()], pa.string())
+            coded = pc.dictionary_encode(names)
+            made.vocabulary = coded.dictionary
+            term = coded.indices.to_numpy()
+            query = np.repeat(np.arange(len(rows)), [len(r["terms"] or ()) for r in rows])
+            weight = np.array([x for r in rows for x in r["w"] or ()], float)
+            order = np.argsort(term, kind="stable")
+            made.query, made.weight = query[order], weight[order]
+            made.many = np.bincount(term, minlength=len(made.vocabulary))
+            made.first = np.cumsum(made.many) - made.many
+            often = np.flatnonzero(made.many >= COMMON)
+            made.common = np.full(len(made.vocabulary), -1, np.int64)
+            made.common[often] = np.arange(len(often))
+            made.matrix = np.zeros((len(often), len(rows)))
+            hit = made.common[term] >= 0
+            made.matrix[made.common[term[hit]], query[hit]] = weight[hit]
+        return made
+
+    def lexical(self, terms_: pa.ListArray, w: pa.ListArray) -> np.ndarray:
+        """Dot products of rows' term weights with every query."""
+        n, q = len(terms_), len(self.ids)
+        found = pc.index_in(terms_.flatten(), value_set=self.vocabulary)
+        size = pc.fill_null(pc.list_value_length(terms_), 0).to_numpy()
+        known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), size)[known]
+        term = found.drop_null().to_numpy().astype(np.int64)
+        x = w.flatten().to_numpy(zero_copy_only=False)[known]
+        column = self.common[term]
+        often = column >= 0
+        wide = np.zeros((n, self.matrix.shape[0]))
+        wide[row[often], column[often]] = x[often]
+        out = wide @ self.matrix if self.matrix.shape[0] else np.zeros((n, q))
+        row, term, x = row[~often], term[~often], x[~often]
+        many = self.many[term]
+        at = np.repeat(self.first[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cell = np.repeat(row, many) * q + self.query[at]
+        return out + np.bincount(cell, np.repeat(x, many) * self.weight[at], n * q).reshape(n, q)
+
+    def semantic(self, v: pa.ListArray) -> np.ndarray:
+        return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) @ self.dense.T
+
+
+def blocks(queries: DataFrame) -> Iterator[Block]:
+    """Query rows (id, and v or terms and w) in blocks of bounded size; one empty block without any."""
+    rows: list = []
+    size, made = 0, False
+    for r in queries.toLocalIterator():
+        rows.append(r.asDict())
+        size += sum(len(rows[-1].get(c) or ()) for c in ("v", "w"))
+        if size >= BLOCK_VALUES or len(rows) == BLOCK_QUERIES:
+            yield Block.of(rows)
+            rows, size, made = [], 0, True
+    if rows or not made:
+        yield Block.of(rows)
+
+
+Score = Callable[[Block, pa.RecordBatch], np.ndarray]
+
+
+def _lexical(block: Block, batch: pa.RecordBatch) -> np.ndarray:
+    return block.lexical(batch.column("terms"), batch.column("w"))
+
+
+def _semantic(block: Block, batch: pa.RecordBatch) -> np.ndarray:
+    return block.semantic(batch.column("v"))
+
+
+def _steps(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Ids and rows, few enough for CELLS scores."""
+    step = max(1, CELLS // max(1, len(block.ids), len(block.matrix)))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            if len(block.ids):
+                yield part.column("id").to_numpy().astype(np.int64), part
+
+
+def best(corpus: DataFrame, block: Block, k: int, score: Score) -> DataFrame:
+    """query_id, source_id, score: each task's k best rows for each query of the block; a row is never its own answer. Ties by id."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = len(block.ids)
+        ids, top = np.full((q, 0), 0, np.int64), np.full((q, 0), 0.0)
+        for own, part in _steps(block, batches):
+            s = np.round(score(block, part), 9).T
+            s[block.ids[:, None] == own[None, :]] = -np.inf
+            ids = np.concatenate((ids, np.broadcast_to(own, s.shape)), axis=1)
+            top = np.concatenate((top, s), axis=1)
+            order = np.lexsort((ids, -top), axis=1)[:, :k]
+            ids, top = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
+        keep = np.isfinite(top)
+        query = np.broadcast_to(block.ids[:, None], top.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[keep]), pa.array(top[keep])], ["query_id", "source_id", "score"])
+
+    return corpus.mapInArrow(scan, "query_id long, source_id long, score double")
 
 
 def top_k(scores: DataFrame, k: int, score: Column | None = None) -> DataFrame:
@@ -59,58 +211,203 @@ def top_k(scores: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return scores.withColumn("s", s).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "source_id", "rank", F.round("s", 6).alias("score"))
 
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, v) rows of both sides; dot products in double."""
+def _by_blocks(queries: DataFrame, k: int, one: Callable[[Block], DataFrame]) -> DataFrame:
     found = None
-    ids: list[int] = []
-    rows: list[list[float]] = []
-
-    def block() -> DataFrame:
-        q_ids, q = np.array(ids, np.int64), np.array(rows, float)
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b) or not len(q_ids):
-                    continue
-                c_ids = b["id"].to_numpy()
-                s = np.round(np.stack(b["v"].to_numpy()).astype(float) @ q.T, 9)
-                s[c_ids[:, None] == q_ids[None, :]] = -np.inf
-                order = np.argsort(c_ids, kind="stable")
-                pick = order[np.argsort(-s[order], axis=0, kind="stable")[:k]]
-                score = np.take_along_axis(s, pick, 0)
-                out = pd.DataFrame({"query_id": np.broadcast_to(q_ids, pick.shape).ravel(), "source_id": c_ids[pick].ravel(), "score": score.ravel()})
-                yield out[np.isfinite(out["score"])]
-
-        return corpus.mapInPandas(best, "query_id long, source_id long, score double")
+    for block in blocks(queries):
+        rows = one(block)
+        found = rows if found is None else found.unionByName(rows)
+    return top_k(found, check_top_k(k))
 
-    for r in queries.select("id", "v").toLocalIterator():
-        ids.append(r["id"])
-        rows.append(r["v"])
-        if len(ids) == BLOCK:
-            found = block() if found is None else found.unionByName(block())
-            ids, rows = [], []
-    last = block()
-    return top_k(last if found is None else found.unionByName(last), k)
 
+def lexical_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, terms, w) rows of both sides; rows that share no term score 0 and may fill k."""
+    rows = corpus.select("id", "terms", "w")
+    return _by_blocks(queries.select("id", "terms", "w"), k, lambda block: best(rows, block, k, _lexical))
 
-def min_max(scores: DataFrame, column: str) -> Column:
-    w = Window.partitionBy("query_id")
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return (F.col(column) - low) / F.when(high == low, 1.0).otherwise(high - low)
 
-
-def fuse(lexical: DataFrame, dense: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Scores of every dense pair; a missing lexical score is 0. Both are min-max scaled per query."""
-    both = dense.withColumnRenamed("score", "d").join(lexical.withColumnRenamed("score", "l"), ["query_id", "source_id"], "left").fillna(0.0, ["l"])
-    return both.select("query_id", "source_id", ((1 - weight) * min_max(both, "l") + weight * min_max(both, "d")).alias("score"))
-
-
-def ranking_metrics(ranked: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hit rates at 1, 3, 5 and MRR from (query_id, rank, relevant); queries without rows count as misses."""
-    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
-    all_q = queries.select("query_id").join(first, "query_id", "left")
-    hit = lambda k: F.round(F.coalesce(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), F.lit(0.0)), 6)
-    return all_q.agg(F.count("*").alias("n_queries"), hit(1).alias("recall_1"), hit(3).alias("recall_3"), hit(5).alias("recall_5"), F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))
+def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, v) rows of both sides; dot products in double."""
+    rows = corpus.select("id", "v")
+    return _by_blocks(queries.select("id", "v"), k, lambda block: best(rows, block, k, _semantic))
+
+
+def extents(corpus: DataFrame, block: Block) -> DataFrame:
+    """query_id, n, and the least, greatest and summed lexical (l) and dense (d) scores of each query over the corpus."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = len(block.ids)
+        n = np.zeros(q, np.int64)
+        low, high, total = np.full((2, q), np.inf), np.full((2, q), -np.inf), np.zeros((2, q))
+        for own, part in _steps(block, batches):
+            other = own[:, None] != block.ids[None, :]
+            n += other.sum(axis=0)
+            for i, s in enumerate((_lexical(block, part), _semantic(block, part))):
+                low[i] = np.minimum(low[i], np.where(other, s, np.inf).min(axis=0, initial=np.inf))
+                high[i] = np.maximum(high[i], np.where(other, s, -np.inf).max(axis=0, initial=-np.inf))
+                total[i] += np.where(other, s, 0.0).sum(axis=0)
+        some = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (block.ids, n, *low, *high, *total)], names)
+
+    names = ["query_id", "n", "low_l", "low_d", "high_l", "high_d", "sum_l", "sum_d"]
+    found = corpus.mapInArrow(scan, "query_id long, n long, " + ", ".join(f"{x} double" for x in names[2:]))
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"), *(F.min(x).alias(x) for x in names[2:4]), *(F.max(x).alias(x) for x in names[4:6]), *(F.sum(x).alias(x) for x in names[6:]))
+
+
+def _hybrid(block: Block, corpus: DataFrame, weight: float) -> Score:
+    """Both scores scaled to 0..1 by the query's extent over the whole corpus, and mixed."""
+    low, span = np.zeros((2, len(block.ids))), np.ones((2, len(block.ids)))
+    place = {int(x): i for i, x in enumerate(block.ids)}
+    for r in extents(corpus, block).collect():  # a row per query of the block
+        i = place[r["query_id"]]
+        for j, c in enumerate("ld"):
+            low[j, i] = r[f"low_{c}"]
+            span[j, i] = (r[f"high_{c}"] - r[f"low_{c}"]) or 1.0
+
+    def score(block: Block, batch: pa.RecordBatch) -> np.ndarray:
+        return (1 - weight) * ((_lexical(block, batch) - low[0]) / span[0]) + weight * ((_semantic(block, batch) - low[1]) / span[1])
+
+    return score
+
+
+def hybrid_top_k(corpus: DataFrame, queries: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+    """(id, v, terms, w) rows of both sides; a first scan finds each query's extents, a second its k best."""
+    check_weight(weight)
+    rows = corpus.select("id", "v", "terms", "w")
+    return _by_blocks(queries.select("id", "v", "terms", "w"), k, lambda block: best(rows, block, k, _hybrid(block, rows, weight)))
+
+
+# ---- indexes ------------------------------------------------------------------------------------------------------
+
+RESULT = "query_id long, source_id long, rank long, score double"
+
+
+@dataclass
+class LexicalIndex:
+    """Fitted terms (term, df, idf), document vectors (id, terms, w) and the number of rows fitted on."""
+
+    fitted: DataFrame
+    rows: DataFrame
+    count: int
+
+    @classmethod
+    def build(cls, docs: DataFrame, most: int | None = None) -> LexicalIndex:
+        """From (doc_id, text) rows; documents without a term have empty vectors."""
+        tf = terms(docs)
+        n = docs.count()
+        fitted = idf(tf, n, most=most)
+        own = vectors(tf, fitted).select(F.col("doc_id").alias("id"), "terms", "w")
+        every = docs.select(F.col("doc_id").alias("id")).join(own, "id", "left")
+        empty = lambda kind: F.array().cast(f"array<{kind}>")
+        return cls(fitted, every.select("id", F.coalesce("terms", empty("string")).alias("terms"), F.coalesce("w", empty("double")).alias("w")), n)
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        """Vectors of other texts by the fitted terms."""
+        return vectors(terms(docs), self.fitted).select(F.col("doc_id").alias("id"), "terms", "w")
+
+    def save(self, path: str) -> None:
+        self.fitted.write.mode("overwrite").parquet(f"{path}/fitted")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        write_config(self.rows.sparkSession, path, {"kind": "lexical", "count": self.count})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        config = read_config(spark, path, "lexical", ("fitted", "rows"))
+        return cls(spark.read.parquet(f"{path}/fitted"), spark.read.parquet(f"{path}/rows"), config["count"])
+
+    def retrieve(self, *, subject: str = "", body: str = "", query_text: str | None = None, k: int = 5, corpus: DataFrame | None = None, wanted: dict[str, str] | None = None) -> DataFrame:
+        """Ranked rows for one text; ``corpus`` (doc_id and metadata columns) with ``wanted`` narrows the rows before scoring. A blank
+        query gives an empty result."""
+        check_top_k(k)
+        spark = self.rows.sparkSession
+        text = F.lit(query_text) if query_text is not None else classifier_text(F.lit(subject), F.lit(body))
+        query = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), text.alias("text"))
+        rows = self.rows
+        if corpus is not None:
+            rows = rows.join(metadata_filter(corpus, wanted).select(F.col("doc_id").alias("id")), "id", "left_semi")
+        elif wanted:
+            raise ValueError("a metadata filter needs the corpus")
+        if query.filter(F.trim("text") == "").count():
+            return spark.createDataFrame([], RESULT)
+        own = query.select(F.col("doc_id").alias("id")).join(self.transform(query), "id", "left")
+        return lexical_top_k(rows, own, k)
+
+
+@dataclass
+class DenseIndex:
+    """Vectors (id, v) and how they were made."""
+
+    rows: DataFrame
+    config: dict
+
+    def save(self, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        write_config(self.rows.sparkSession, path, {"kind": "dense", **self.config})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DenseIndex:
+        config = read_config(spark, path, "dense", ("rows",))
+        rows = spark.read.parquet(f"{path}/rows")
+        wide = rows.filter(F.size("v") != config.get("dimensions", -1)).limit(1).count() if "dimensions" in config else 0
+        if wide:
+            raise ValueError(f"{path}: vectors do not have {config['dimensions']} numbers")
+        return cls(rows, {k: v for k, v in config.items() if k != "kind"})
+
+
+def write_config(spark: SparkSession, path: str, config: dict) -> None:
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def read_config(spark: SparkSession, path: str, kind: str, parts: tuple[str, ...]) -> dict:
+    """The saved configuration; an index of another kind, or one that lacks parts, is an error that names them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    has = lambda p: (x := jvm.org.apache.hadoop.fs.Path(f"{path}/{p}")).getFileSystem(conf).exists(x)
+    if missing := [p for p in ("config", *parts) if not has(p)]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    config = json.loads(spark.read.text(f"{path}/config", wholetext=True).first()[0])
+    if config.get("kind") != kind:
+        raise ValueError(f"{path} holds a {config.get('kind')} index, not a {kind} one")
+    return config
+
+
+def encode(df: DataFrame, embed: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 64, normalize: bool = True) -> DataFrame:
+    """df with ``v``: vectors of texts by ``embed`` (a list of texts to a matrix), ``batch`` texts a call, of unit length."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, batch):
+                part = b.slice(lo, batch)
+                m = np.asarray(embed([x or "" for x in part.column(text).to_pylist()]), np.float32)
+                if m.ndim != 2 or len(m) != part.num_rows:
+                    raise ValueError(f"{part.num_rows} texts gave vectors of shape {m.shape}")
+                if normalize:
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    m = m / np.where(norm == 0, 1, norm)
+                v = pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, v], names=[*part.schema.names, "v"])
+
+    return df.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", v array<float>")
+
+
+# ---- metrics ------------------------------------------------------------------------------------------------------
+
+
+def ranking_metrics(ranked: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Hit rates at 1, 3, 5 and MRR from (query_id, rank, relevant) per ``by`` columns, which both sides have; queries without rows count
+    as misses, and no queries at all give zeros (without ``by``)."""
+    keys = [*by, "query_id"]
+    first = ranked.groupBy(*keys).agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"), F.count("*").alias("got"))
+    all_q = queries.select(*keys).join(first, keys, "left")
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    hit = lambda k: zero(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)))
+    mean = [zero(F.avg(F.coalesce("got", F.lit(0)).cast("double"))).alias("mean_retrieved")] * bool(by)
+    return all_q.groupBy(*by).agg(F.count("*").alias("n_queries"), hit(1).alias("recall_1"), hit(3).alias("recall_3"), hit(5).alias("recall_5"), zero(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0)))).alias("mrr"), *mean)
+
+
+def select_method(metrics: DataFrame) -> DataFrame:
+    """The method of the best validation metrics: recall at 5, MRR, recall at 1, then the last name."""
+    order = (F.desc("recall_5"), F.desc("mrr"), F.desc("recall_1"), F.desc("method"))
+    return metrics.filter("split = 'validation'").orderBy(*order).limit(1).select("method", "recall_5", "mrr", "recall_1")
 
 
 def gold_metrics(labels: DataFrame) -> DataFrame:
@@ -127,12 +424,16 @@ THRESHOLDS = sorted({round(0.05 * i, 2) for i in range(16)} | {0.39})
 
 
 def evidence_thresholds(labels: DataFrame) -> DataFrame:
-    """For each threshold over the first-ranked rows: queries allowed, rates, precision, strong rate, false allowed."""
-    top = labels.filter("rank = 1")
-    grid = F.broadcast(labels.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold double"))
-    ok = F.col("score") >= F.col("threshold")
-    n = lambda c: F.sum(c.cast("long"))
-    a = top.crossJoin(grid).groupBy("threshold").agg(F.count("*").alias("n"), n(ok).alias("allowed"), n(ok & (F.col("label") > 0)).alias("right"), n(ok & (F.col("label") == 2)).alias("strong"))
+    """For each threshold over the first-ranked rows: queries allowed, rates, precision, strong rate, false allowed.
+
+    Rows are counted once, by the number of thresholds that they reach; sums over those few counts give every threshold.
+    """
+    reached = sum((F.col("score") >= t).cast("int") for t in THRESHOLDS)
+    counts = labels.filter("rank = 1").groupBy(reached.alias("reached")).agg(F.count("*").alias("c"), F.sum((F.col("label") > 0).cast("long")).alias("g"), F.sum((F.col("label") == 2).cast("long")).alias("s"))
+    grid = labels.sparkSession.createDataFrame([(i, t) for i, t in enumerate(THRESHOLDS, 1)], "place int, threshold double")
+    ok = F.col("reached") >= F.col("place")
+    n = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
+    a = F.broadcast(grid).crossJoin(counts).groupBy("threshold").agg(F.sum("c").alias("n"), n("c").alias("allowed"), n("g").alias("right"), n("s").alias("strong"))
     return a.select("threshold", "allowed", F.round(F.col("allowed") / F.col("n"), 6).alias("allowed_rate"), F.round(F.when(F.col("allowed") > 0, F.col("right") / F.col("allowed")), 6).alias("precision"), F.round(F.coalesce(F.try_divide("strong", "allowed"), F.lit(0.0)), 6).alias("strong_rate"), (F.col("allowed") - F.col("right")).alias("false_allowed"))
 
 

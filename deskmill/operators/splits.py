@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import classifier_text, fingerprint, row_id, word_count
+from deskmill.sources.store import cut
 
 SEED = 20261005
 VALIDATION, TEST = 0.15, 0.15
+DIGITS = 3  # of a hash, by which a stratum is counted
 
 
 def prepare(tickets: DataFrame) -> DataFrame:
@@ -33,17 +35,41 @@ def strata(groups: DataFrame, least: int = 3) -> DataFrame:
 
 
 def deal(groups: DataFrame, seed: int = SEED) -> DataFrame:
-    """group_id, stratum, split. Train first, then validation, then test, in the order of sha256('seed:group')."""
-    w = Window.partitionBy("stratum")
+    """group_id, stratum, split. Train first, then validation, then test, in the order of sha256('seed:group').
+
+    Groups are counted by the first digits of their hash; sums over those counts say where each split ends. Only the groups of the (at most
+    two) counts of a stratum that a split ends in are ordered, so no stratum is sorted in one task.
+    """
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "group_id"), 256)
-    g = groups.withColumns({"k": F.row_number().over(w.orderBy(order, "group_id")), "m": F.count("*").over(w)})
+    g = cut(groups.select("group_id", "stratum", order.alias("o"), F.substring(order, 1, DIGITS).alias("digits")), "group-order")
+    each = Window.partitionBy("stratum")
+    sizes = g.groupBy("stratum", "digits").agg(F.count("*").alias("n"))  # at most 16 ** DIGITS rows a stratum
+    sizes = sizes.withColumns({"m": F.sum("n").over(each), "before": F.coalesce(F.sum("n").over(each.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     share = lambda f: F.greatest(F.lit(1), F.bround(F.col("m") * f, 0).cast("int"))
     test = F.when(F.col("m") >= 3, share(TEST)).otherwise(0)
     validation = F.when(F.col("m") >= 3, share(VALIDATION)).when(F.col("m") == 2, 1).otherwise(0)
-    train = F.col("m") - test - validation
-    return g.select("group_id", "stratum", F.when(F.col("k") <= train, "train").when(F.col("k") <= train + validation, "validation").otherwise("test").alias("split"))
+    sizes = sizes.select("stratum", "digits", "n", "before", (F.col("m") - test - validation).alias("train"), (F.col("m") - test).alias("seen"))
+    placed = g.join(sizes, ["stratum", "digits"])
+    ends_inside = lambda c: (F.col("before") < F.col(c)) & (F.col(c) < F.col("before") + F.col("n"))
+    divided = ends_inside("train") | ends_inside("seen")
+    k = F.row_number().over(Window.partitionBy("stratum", "digits").orderBy("o", "group_id"))
+    both = placed.filter(~divided).withColumn("k", F.lit(1)).unionByName(placed.filter(divided).withColumn("k", k))
+    place = F.col("before") + F.col("k")
+    return both.select("group_id", "stratum", F.when(place <= F.col("train"), "train").when(place <= F.col("seen"), "validation").otherwise("test").alias("split"))
 
 
 def manifest(tickets: DataFrame) -> DataFrame:
     p = prepare(tickets)
-    return p.join(deal(strata(group_labels(p))), "group_id").select("doc_id", "ticket_row_id", "group_id", "split", "stratum", "subject", "body", "classifier_text", "queue", "priority", "char_length", "word_count")
+    groups = cut(group_labels(p), "text-groups")
+    return p.join(deal(strata(groups)), "group_id").select("doc_id", "ticket_row_id", "group_id", "split", "stratum", "subject", "body", "classifier_text", "queue", "priority", "char_length", "word_count")
+
+
+def check_fractions(train: float, validation: float, test: float) -> None:
+    """Split shares are positive and sum to one."""
+    if min(train, validation, test) <= 0:
+        raise ValueError("split fractions must be positive")
+    if abs(train + validation + test - 1.0) > 1e-9:
+        raise ValueError("split fractions must sum to 1")
+
+
+check_fractions(1 - VALIDATION - TEST, VALIDATION, TEST)

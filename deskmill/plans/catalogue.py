@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.functions import text as X
-from deskmill.operators import audit, classify, gates, ml, profile, review, search, splits
+from deskmill.operators import audit, classify, gates, profile, review, search, splits
+from deskmill.sources.store import cut
 from deskmill.sources.tables import table, tickets
 
 CORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -141,7 +143,7 @@ FIVE = ("min", "p25", "median", "mean", "p75", "max")
 
 @query(f"with {PREPARED} select queue, count(word_count) as n, {_Q('word_count', FIVE)} from prepared group by queue")
 def length_summary(spark, sf_dir):
-    return splits.prepare(tickets(spark, sf_dir)).groupBy("queue").agg(*profile.describe("word_count", FIVE))
+    return profile.describe(splits.prepare(tickets(spark, sf_dir)), ["queue"], "word_count", FIVE)
 
 
 @query(f"with {PREPARED}, k as (select array_to_string(list_slice(string_split({FOLD('classifier_text')}, ' '), 1, 12), ' ') as signature from prepared) select signature, count(*) as n from k group by signature having count(*) > 1")
@@ -257,8 +259,9 @@ TOKENS = r"""tokens as (select doc_id, regexp_extract_all(lower(coalesce(text, '
 ), fitted as (select term, count(*) as df, ln((1.0 + (select count(*) from documents)) / (1.0 + count(*))) + 1.0 as idf from tf group by term
 ), raw as (select doc_id, tf.term, df, (1.0 + ln(tf)) * idf as raw from tf join fitted on tf.term = fitted.term
 ), weights as (select doc_id, term, df, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as w from raw)"""
-LEXICAL = f"""{TOKENS}, lex as (
-  select q.doc_id as query_id, c.doc_id as source_id, sum(q.w * c.w) as score from weights q join weights c on q.term = c.term where q.doc_id % 50 = 0 and q.doc_id <> c.doc_id group by q.doc_id, c.doc_id)"""
+LEXICAL = f"""{TOKENS}, shared as (
+  select q.doc_id as query_id, c.doc_id as source_id, sum(q.w * c.w) as score from weights q join weights c on q.term = c.term where q.doc_id % 50 = 0 and q.doc_id <> c.doc_id group by q.doc_id, c.doc_id
+), lex as (select q.doc_id as query_id, c.doc_id as source_id, coalesce(s.score, 0) as score from documents q join documents c on q.doc_id % 50 = 0 and q.doc_id <> c.doc_id left join shared s on s.query_id = q.doc_id and s.source_id = c.doc_id)"""
 TOP = lambda t, k, extra="": f"(select query_id, source_id, row_number() over (partition by query_id order by round(score, 9) desc, source_id) as rank, round(round(score, 9), 6) as score from {t} {extra} qualify rank <= {k})"
 
 
@@ -279,23 +282,31 @@ def tfidf_weights(spark, sf_dir):
     return _weights(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("top"))
 
 
+def lexical_index(spark, sf_dir) -> search.LexicalIndex:
+    """Fitted on all documents and written once; queries and corpus are read from it."""
+    made = search.LexicalIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search.LexicalIndex(made.fitted, cut(made.rows, "lexical-index"), made.count)
+
+
 @query(f"with {LEXICAL} select * from {TOP('lex', 5)}")
 def lexical_topk(spark, sf_dir):
-    w = _weights(spark, sf_dir)
-    return search.top_k(search.lexical_scores(w.filter("doc_id % 50 = 0"), w), 5)
+    rows = lexical_index(spark, sf_dir).rows
+    return search.lexical_top_k(rows, rows.filter("id % 50 = 0"), 5)
 
 
 @query(f"with {LEXICAL} select * from {TOP('lex', 5, 'where source_id in (select doc_id from documents where source = chr(115) || chr(114) || chr(99) || chr(48))')}")
 def lexical_topk_filtered(spark, sf_dir):
     """Queries against one queue's documents: the filter is applied before scoring."""
-    w = _weights(spark, sf_dir)
-    own = search.metadata_filter(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("queue")), {"queue": "src0"}).select("doc_id")
-    return search.top_k(search.lexical_scores(w.filter("doc_id % 50 = 0"), w.join(own, "doc_id", "left_semi")), 5)
+    rows = lexical_index(spark, sf_dir).rows
+    own = search.metadata_filter(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("queue")), {"queue": "src0"}).select("id")
+    return search.lexical_top_k(rows.join(own, "id", "left_semi"), rows.filter("id % 50 = 0"), 5)
 
 
-@query(f"with {LEXICAL} select t.query_id, t.rank as candidate_rank, 'TP-' || t.source_id as candidate_evidence_id, {_CUT('c.text', 700, '...')} as candidate_excerpt, t.score as retrieval_score, '' as relevance_label from {TOP('lex', 5)} t join documents c on c.doc_id = t.source_id")
+@query(f"with {LEXICAL}, first as (select doc_id from documents where doc_id % 50 = 0 order by doc_id limit 20) select t.query_id, t.rank as candidate_rank, 'TP-' || t.source_id as candidate_evidence_id, {_CUT('c.text', 700, '...')} as candidate_excerpt, t.score as retrieval_score, '' as relevance_label from {TOP('lex', 5)} t join documents c on c.doc_id = t.source_id where t.query_id in (select doc_id from first)")
 def manual_template(spark, sf_dir):
-    top = lexical_topk(spark, sf_dir)
+    """Label rows for the first 20 queries."""
+    rows = lexical_index(spark, sf_dir).rows
+    top = search.lexical_top_k(rows, rows.filter("id % 50 = 0").orderBy("id").limit(20), 5)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
     return top.join(docs, "source_id").select("query_id", F.col("rank").alias("candidate_rank"), F.concat(F.lit("TP-"), "source_id").alias("candidate_evidence_id"), X.preview(F.col("text"), 700).alias("candidate_excerpt"), F.col("score").alias("retrieval_score"), F.lit("").alias("relevance_label"))
 
@@ -330,26 +341,23 @@ HYBRID = f"""{TOKENS}, vlong as (select vec_id, generate_subscripts(embedding, 1
 ), hybrid as (select query_id, source_id, 0.5 * ls + 0.5 * ds as score from scaled)"""
 
 
-def _pairs(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.posexplode("v").alias("i", "x"))
-    c = v.select(F.col("id").alias("source_id"), F.posexplode("v").alias("i", "y"))
-    dense = q.join(c, "i").filter("query_id <> source_id").groupBy("query_id", "source_id").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-    w = _weights(spark, sf_dir)
-    return search.lexical_scores(w.filter("doc_id % 50 = 0"), w), dense
+def hybrid_rows(spark, sf_dir) -> DataFrame:
+    """id, v, terms, w of every vector: the text is the document of the same id."""
+    return cut(_vectors(spark, sf_dir).select("id", "v").join(lexical_index(spark, sf_dir).rows, "id", "left"), "hybrid-rows")
 
 
 @query(f"with {HYBRID} select * from {TOP('hybrid', 5)}")
 def hybrid_topk(spark, sf_dir):
-    return search.top_k(search.fuse(*_pairs(spark, sf_dir)), 5)
+    rows = hybrid_rows(spark, sf_dir)
+    return search.hybrid_top_k(rows, rows.filter("id % 50 = 0"), 5)
 
 
 @query(f"with {HYBRID} select query_id, count(*) as n, round(avg(ls), 6) as mean_lexical, round(avg(ds), 6) as mean_dense from scaled group by query_id")
 def minmax_scores(spark, sf_dir):
-    lexical, dense = _pairs(spark, sf_dir)
-    both = dense.withColumnRenamed("score", "d").join(lexical.withColumnRenamed("score", "l"), ["query_id", "source_id"], "left").fillna(0.0, ["l"])
-    s = both.select("query_id", search.min_max(both, "l").alias("ls"), search.min_max(both, "d").alias("ds"))
-    return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("ls"), 6).alias("mean_lexical"), F.round(F.avg("ds"), 6).alias("mean_dense"))
+    rows = hybrid_rows(spark, sf_dir)
+    e = reduce(DataFrame.unionByName, (search.extents(rows, block) for block in search.blocks(rows.filter("id % 50 = 0"))))
+    scaled = lambda c: F.round((F.col(f"sum_{c}") / F.col("n") - F.col(f"low_{c}")) / F.when(F.col(f"high_{c}") == F.col(f"low_{c}"), 1.0).otherwise(F.col(f"high_{c}") - F.col(f"low_{c}")), 6)
+    return e.select("query_id", "n", scaled("l").alias("mean_lexical"), scaled("d").alias("mean_dense"))
 
 
 RANKED = f"""{DENSE}, top as {TOP('dense', 5)}, ranked as (
@@ -375,16 +383,6 @@ def retrieval_metrics(spark, sf_dir):
     return search.ranking_metrics(r, r.select("query_id").distinct())
 
 
-@query(f"""with {RANKED}, f as (select query_id, min(rank) filter (relevant) as first from ranked group by query_id), s as (select query_id, min(rank) filter (label = 2) as first from ranked group by query_id),
-m as (select 'same_label' as method, {_HITS}, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from f union all select 'strong_label', {_HITS}, round(avg(coalesce(1.0 / first, 0)), 6) from s)
-select method, recall_5, mrr, recall_1 from m order by recall_5 desc, mrr desc, recall_1 desc, method desc limit 1""")
-def method_selection(spark, sf_dir):
-    r = ranked(spark, sf_dir)
-    q = r.select("query_id").distinct()
-    m = search.ranking_metrics(r, q).withColumn("method", F.lit("same_label")).unionByName(search.ranking_metrics(r.withColumn("relevant", F.col("label") == 2), q).withColumn("method", F.lit("strong_label")))
-    return m.orderBy(F.desc("recall_5"), F.desc("mrr"), F.desc("recall_1"), F.desc("method")).limit(1).select("method", "recall_5", "mrr", "recall_1")
-
-
 @query(f"""with {RANKED}, i as (select *, row_number() over (partition by query_id order by label desc, rank) as ideal from ranked
 ), p as (select query_id, sum((2.0 ** label - 1) / log2(rank + 1)) as dcg, sum((2.0 ** label - 1) / log2(ideal + 1)) as best, min(rank) filter (label > 0) as first, count(*) filter (label = 0) as l0, count(*) filter (label = 1) as l1, count(*) filter (label = 2) as l2 from i group by query_id)
 select count(*) as n_queries, {_HITS}, round(avg(coalesce(1.0 / first, 0)), 6) as mrr, round(avg(case when best > 0 then dcg / best else 0 end), 6) as ndcg_5, cast(sum(l0) as bigint) as label_0, cast(sum(l1) as bigint) as label_1, cast(sum(l2) as bigint) as label_2 from p""")
@@ -412,8 +410,8 @@ _NINE = ("mean", "min", "p25", "median", "p75", "max")
 
 @query(f"with {RANKED} select 'candidate' as level, label, count(score) as n, {_Q('score', _NINE, 8)} from ranked group by label union all select 'top', label, count(score), {_Q('score', _NINE, 8)} from ranked where rank = 1 group by label")
 def score_distributions(spark, sf_dir):
-    r = ranked(spark, sf_dir)
-    part = lambda df, name: df.groupBy(F.lit(name).alias("level"), "label").agg(*profile.describe("score", _NINE, digits=8))
+    r = cut(ranked(spark, sf_dir), "ranked")
+    part = lambda df, name: profile.describe(df.withColumn("level", F.lit(name)), ["level", "label"], "score", _NINE, digits=8)
     return part(r, "candidate").unionByName(part(r.filter("rank = 1"), "top"))
 
 
@@ -450,15 +448,29 @@ def neardup_counts(spark, sf_dir):
 
 
 @query(f"""with {PAIRS}, each_ as (select doc_id, split, size, max(similarity) as top from (select left_doc_id as doc_id, left_split as split, left_size as size, similarity from pairs union all select right_doc_id, right_split, right_size, similarity from pairs) group by all
-), grid as (select * from (select unnest(['train', 'validation', 'test']) as split), (select unnest([0.9, 0.95, 0.98]::double[]) as t))
-select g.split, printf('>=%.2f', t) as threshold, cast(coalesce(sum(size), 0) as bigint) as n from grid g left join each_ e on e.split = g.split and top + 1e-12 >= t group by g.split, t""")
+), grid as (select * from (select unnest(['train', 'validation', 'test', 'total']) as split), (select unnest([0.9, 0.95, 0.98]::double[]) as t))
+select g.split, printf('>=%.2f', t) as threshold, cast(coalesce(sum(size), 0) as bigint) as n from grid g left join each_ e on (e.split = g.split or g.split = 'total') and top + 1e-12 >= t group by g.split, t""")
 def neardup_affected(spark, sf_dir):
     return audit.affected(pairs(spark, sf_dir))
 
 
-@query(f"with {PAIRS} select left_queue || ' | ' || right_queue as queues, left_queue = right_queue as same_queue, cast(sum(left_size * right_size) as bigint) as n from pairs group by all")
+_SIDE = lambda s, c: f"coalesce({s}_{c}, 'none')"
+_LABEL_PAIRS = lambda c: f"with {PAIRS} select {_SIDE('left', c)} || ' | ' || {_SIDE('right', c)} as labels, {_SIDE('left', c)} = {_SIDE('right', c)} as same, cast(sum(left_size * right_size) as bigint) as n from pairs group by all"
+
+
+@query(_LABEL_PAIRS("queue"))
 def neardup_label_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy(F.concat_ws(" | ", "left_queue", "right_queue").alias("queues"), (F.col("left_queue") == F.col("right_queue")).alias("same_queue")).agg(F.sum(F.col("left_size") * F.col("right_size")).alias("n"))
+    return audit.label_pairs(pairs(spark, sf_dir), "queue")
+
+
+@query(_LABEL_PAIRS("priority"))
+def neardup_priority_pairs(spark, sf_dir):
+    return audit.label_pairs(pairs(spark, sf_dir), "priority")
+
+
+@query(f"with {PAIRS} select left_doc_id, left_split, right_doc_id, right_split, similarity from pairs order by similarity desc, {_RANK('left_split')}, {_RANK('right_split')}, left_doc_id, right_doc_id limit 25")
+def neardup_samples(spark, sf_dir):
+    return audit.samples(pairs(spark, sf_dir)).select("left_doc_id", "left_split", "right_doc_id", "right_split", "similarity")
 
 
 _TEN = ("min", "p25", "median", "p75", "p90", "p95", "p98", "p99", "max")
@@ -466,7 +478,7 @@ _TEN = ("min", "p25", "median", "p75", "p90", "p95", "p98", "p99", "max")
 
 @query(f"with {PAIRS} select count(similarity) as n, {_Q('similarity', _TEN, 8)} from pairs")
 def neardup_distribution(spark, sf_dir):
-    return pairs(spark, sf_dir).agg(*profile.describe("similarity", _TEN, digits=8))
+    return profile.describe(pairs(spark, sf_dir), [], "similarity", _TEN, digits=8)
 
 
 @query(f"""with {MANIFEST}, s as (select {FOLD('subject')} as subject, queue, count(*) as n, count(*) filter (split = 'train') as a, count(*) filter (split = 'validation') as b, count(*) filter (split = 'test') as c from manifest where {FOLD('subject')} <> '' group by all
@@ -476,6 +488,14 @@ def repeated_subjects(spark, sf_dir):
     return audit.repeated_subjects(manifest(spark, sf_dir))
 
 
+REPEATED = CORE["repeated_subjects"][1]
+
+
+@query(f"select * from ({REPEATED}) order by pairs desc, rows desc, subject desc limit 25")
+def top_repeated_subjects(spark, sf_dir):
+    return audit.top_subjects(repeated_subjects(spark, sf_dir))
+
+
 @query()
 def high_similarity_pairs(spark, sf_dir):
     return audit.high_similarity_pairs(splits.prepare(tickets(spark, sf_dir)))
@@ -552,7 +572,7 @@ _CONF = ("min", "p25", "median", "mean", "p75", "p90", "p95", "max")
 
 @query(f"with {SCORES} select split, count(confidence) as n, {_Q('confidence', _CONF)} from pred group by split")
 def confidence_distribution(spark, sf_dir):
-    return _pred(spark, sf_dir).groupBy("split").agg(*profile.describe("confidence", _CONF))
+    return profile.describe(_pred(spark, sf_dir), ["split"], "confidence", _CONF)
 
 
 CURVE = f"""{SCORES}, grid as (select unnest({classify.GRID}::double[]) as threshold
@@ -581,18 +601,6 @@ def per_queue_confidence(spark, sf_dir):
     return classify.per_queue_confidence(_pred(spark, sf_dir), _labels(spark, sf_dir))
 
 
-@query(f"""with {SCORES}, top as (select mode as label from (select truth as mode, row_number() over (order by count(*) desc, truth) as k from scores where split = 'train' and label = 0 group by truth) where k = 1
-), m as (select 'centroid' as model, round(avg(case when truth = predicted then 1.0 else 0.0 end), 6) as accuracy from pred where split = 'validation' union all
-  select 'most_frequent', round(avg(case when truth = (select label from top) then 1.0 else 0.0 end), 6) from pred where split = 'validation')
-select model, accuracy from m order by accuracy desc, model desc limit 1""")
-def model_selection(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    top = e.filter(classify.vector_split(F.col("vec_id")) == "train").agg(F.mode("label", True).alias("top"))
-    v = _pred(spark, sf_dir).filter("split = 'validation'").crossJoin(F.broadcast(top))
-    acc = lambda name, c: v.agg(F.lit(name).alias("model"), F.round(F.avg((F.col("truth") == F.col(c)).cast("double")), 6).alias("accuracy"))
-    return acc("centroid", "predicted").unionByName(acc("most_frequent", "top")).orderBy(F.desc("accuracy"), F.desc("model")).limit(1)
-
-
 @query(f"with {TICKETS}, n as (select queue as label, count(*) as n from tickets group by queue) select label, n, round((select sum(n) from n) / ((select count(*) from n) * n), 6) as weight from n")
 def class_weights(spark, sf_dir):
     return classify.class_weights(tickets(spark, sf_dir), "queue")
@@ -600,8 +608,16 @@ def class_weights(spark, sf_dir):
 
 @query("select label, dense_rank() over (order by label) - 1 as index from (select distinct source as label from documents)")
 def label_encoder(spark, sf_dir):
-    labels = table(spark, sf_dir, "documents").select(F.col("source").alias("label")).distinct()  # as many rows as labels
-    return labels.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long").alias("index"))
+    return classify.encode_labels(table(spark, sf_dir, "documents").select(F.col("source").alias("label")))
+
+
+@query("""with e as (select label, dense_rank() over (order by label) - 1 as index from (select distinct source as label from documents where doc_id % 3 = 0))
+select d.doc_id, e.index, b.label as decoded from documents d left join e on e.label = d.source left join e b on b.index = e.index""")
+def label_round_trip(spark, sf_dir):
+    """Labels to indices and back; the encoder is fitted on a third of the rows, as on a training split."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    e = classify.encode_labels(docs.filter("doc_id % 3 = 0").select(F.col("source").alias("label")))
+    return classify.to_label(classify.to_index(docs, "source", e), "index", e, "decoded").select("doc_id", "index", "decoded")
 
 
 # ---- gates and drafts ---------------------------------------------------------------------------------------------
@@ -629,14 +645,6 @@ def drafts(spark, sf_dir):
     return gates.drafts(requests(spark, sf_dir)).select("id", "gate", "status", F.array_join("citations", ",").alias("citations"), "draft")
 
 
-@query(f"with {REQUESTS} select id, case when id % 100 = 0 then 'unknown_citation,unmentioned_citation' else '' end as violations from g")
-def draft_violations(spark, sf_dir):
-    """Every other draft is given a citation that is not in its evidence."""
-    made = gates.drafts(requests(spark, sf_dir))
-    made = made.withColumn("citations", F.when(F.col("id") % 100 == 0, F.array_append("citations", F.lit("TP-none"))).otherwise(F.col("citations")))
-    return gates.draft_violations(made).select("id", F.array_join("violations", ",").alias("violations"))
-
-
 @query(f"""with {REQUESTS} select id, concat_ws(',', 'human_review_required', case when confidence < 0.3 then 'low_confidence' end, case when len(evidence) = 0 then 'no_evidence' end, case when best < 0.39 then 'weak_evidence' end, case when gate <> 'pass' then 'draft_abstained' end) as reasons from g""")
 def analysis_reasons(spark, sf_dir):
     return gates.reasons(requests(spark, sf_dir))
@@ -683,66 +691,3 @@ def review_recent(spark, sf_dir):
 @query(f"with {ACTIONS} select state, count(*) as n, cast(sum(rejected_actions) as bigint) as rejected_actions from st group by state")
 def review_summary(spark, sf_dir):
     return review.states(actions(table(spark, sf_dir, "events"))).groupBy("state").agg(F.count("*").alias("n"), F.sum("rejected_actions").alias("rejected_actions"))
-
-
-# ---- gold query pool and training ---------------------------------------------------------------------------------
-
-POOL = f"""with {PREPARED}, s as (select doc_id, queue, word_count, row_number() over (partition by queue order by word_count, doc_id) as short, row_number() over (partition by queue order by word_count desc, doc_id) as long,
-  row_number() over (partition by queue order by doc_id) - 1 as k, count(*) over (partition by queue) as n from prepared)
-select doc_id, queue, word_count from s where short <= 4 or long <= 4 or n <= 4 or k in (0, round_even((n - 1) / 3.0, 0), round_even(2 * (n - 1) / 3.0, 0), n - 1)"""
-
-
-@query(POOL)
-def gold_query_pool(spark, sf_dir):
-    """Per queue the 4 shortest, the 4 longest and 4 evenly spaced by id."""
-    w = Window.partitionBy("queue")
-    p = splits.prepare(tickets(spark, sf_dir)).select("doc_id", "queue", "word_count")
-    p = p.withColumns({"short": F.row_number().over(w.orderBy("word_count", "doc_id")), "long": F.row_number().over(w.orderBy(F.desc("word_count"), "doc_id")), "k": F.row_number().over(w.orderBy("doc_id")) - 1, "n": F.count("*").over(w)})
-    spaced = F.array(*(F.bround(i * (F.col("n") - 1) / 3.0, 0).cast("int") for i in range(4)))
-    return p.filter((F.col("short") <= 4) | (F.col("long") <= 4) | (F.col("n") <= 4) | F.array_contains(spaced, F.col("k"))).select("doc_id", "queue", "word_count")
-
-
-@query()
-def gold_query_sample(spark, sf_dir):
-    """A greedy sample of 20 from the pool: rarer queues first, then the least filled (queue, length) groups. The pool has at most
-    12 rows per queue, so the greedy loop runs on the driver."""
-    pool = gold_query_pool(spark, sf_dir)
-    n = tickets(spark, sf_dir).groupBy("queue").agg(F.count("*").alias("queue_n"))
-    rows = sorted(pool.join(n, "queue").collect(), key=lambda r: (r["queue_n"], r["queue"], r["doc_id"]))
-    cut = sorted(r["word_count"] for r in rows)
-    group = lambda r: "short" if r["word_count"] <= cut[len(cut) // 4] else "long" if r["word_count"] >= cut[3 * len(cut) // 4] else "medium"
-    taken, filled = [], {}
-    while rows and len(taken) < 20:
-        best = min(rows, key=lambda r: (filled.get(("q", r["queue"]), 0), filled.get(("g", group(r)), 0), r["queue_n"], r["queue"], r["doc_id"]))
-        rows.remove(best)
-        taken.append((best["doc_id"], best["queue"], group(best)))
-        for key in (("q", best["queue"]), ("g", group(best))):
-            filled[key] = filled.get(key, 0) + 1
-    return spark.createDataFrame(sorted(taken), "doc_id long, queue string, length_group string")
-
-
-def _language_sets(spark, sf_dir):
-    m = manifest(spark, sf_dir).join(tickets(spark, sf_dir).select("doc_id", "language"), "doc_id")
-    return m.filter("split = 'train'"), m.filter("split = 'test'")
-
-
-@query()
-def ml_logreg_routes(spark, sf_dir):
-    """Logistic regression on the training split; predictions of the test split."""
-    train, test = _language_sets(spark, sf_dir)
-    model = ml.fit_logistic(train, "language", 20)
-    names = F.array(*map(F.lit, model.stages[-2].labels))
-    return model.transform(test).select("doc_id", F.col("language").alias("truth"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
-
-
-@query()
-def ml_svc_calibrated(spark, sf_dir):
-    """One-vs-rest SVC on the training split, sigmoids fitted on the validation split, normalised probabilities of the test split."""
-    from pyspark.ml.functions import vector_to_array
-
-    m = manifest(spark, sf_dir).join(tickets(spark, sf_dir).select("doc_id", "language"), "doc_id")
-    model = ml.fit_svc(m.filter("split = 'train'"), "language", 15)
-    names = F.array(*map(F.lit, model.stages[-2].labels))
-    scored = lambda s: model.transform(m.filter(F.col("split") == s)).select("doc_id", F.col("language").alias("truth"), F.posexplode(vector_to_array("rawPrediction")).alias("i", "margin")).select(F.col("doc_id").alias("vec_id"), "truth", F.element_at(names, F.col("i") + 1).alias("label"), "margin")
-    params = ml.sigmoid(scored("validation").withColumn("y", (F.col("truth") == F.col("label")).cast("double")))
-    return ml.calibrated(scored("test"), params)

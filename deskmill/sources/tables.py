@@ -56,8 +56,14 @@ def acquire(spark: SparkSession, path: str, out: str, sha256: str | None = None,
 
 
 def check_sha256(spark: SparkSession, path: str, expected: str) -> None:
-    """``sha256`` of one file; the file is one row, so it must fit an executor."""
-    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    """``sha256`` of one file of any size, streamed by the driver's JVM."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        found = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
     if found != expected.lower():
         raise ValueError(f"sha256 is {found}, not {expected}")
 

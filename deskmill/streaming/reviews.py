@@ -1,8 +1,9 @@
-"""The review reducer as a stream: the batch result kept up to date per micro-batch."""
+"""The review reducer as a stream: every micro-batch updates the states of the records that it touched."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from deskmill.operators.review import states
@@ -13,5 +14,18 @@ def review_states(actions: DataFrame) -> DataFrame:
     return states(actions)
 
 
-def writer(actions: DataFrame, checkpoint: str, name: str) -> DataStreamWriter:
-    return review_states(actions).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+def writer(actions: DataFrame, checkpoint: str, out: str) -> DataStreamWriter:
+    """Changed states appended under ``out`` as Parquet, one folder a micro-batch. A batch that is run again after a failure overwrites its
+    own folder, so nothing is written twice; nothing comes to the driver."""
+
+    def append(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/log/batch_id={batch}")
+
+    return review_states(actions).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint)
+
+
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """The latest state of each record, from the log."""
+    log = spark.read.parquet(f"{out}/log").drop("batch_id")
+    newest = log.groupBy("analysis_id").agg(F.max("batch").alias("batch"))
+    return log.join(newest, ["analysis_id", "batch"], "left_semi").drop("batch")
