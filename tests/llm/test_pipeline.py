@@ -202,7 +202,7 @@ def test_run_plain(spark, tmp_path):
             assert [x for _, _, ids in sorted(pieces) for x in ids] == want[k][0]
         else:  # rows that repeat an id are packed each
             assert sum(len(ids) for _, _, ids in pieces) == sum(map(len, want[k]))
-    assert len(rows) - len(left) > 40 and len(left) > 30
+    assert len(rows) - len(left) > 20 and len(left) > 30
 
 
 def test_empty(spark, tmp_path):
