@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from deskmill.operators import audit, contracts, gold, profile, reports, review, search, splits
 from deskmill.sources import tables
+from deskmill.sources.store import cut
 
 
 def acquire(spark: SparkSession, a: argparse.Namespace) -> dict:
-    out = tables.acquire(spark, a.source, a.out, a.sha256, a.minimum_rows)
+    out = tables.acquire(spark, a.source, a.out, a.sha256, a.minimum_rows, a.url, a.overwrite)
     return {"rows": out.count()}
 
 
@@ -22,8 +23,8 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> dict:
     from deskmill.plans.lifecycle import dataset_document
 
     raw = profile.require(tables.read_csv(spark, a.source), english_only=True)
-    keyed = raw.withColumn("doc_id", F.xxhash64(*raw.columns)) if a.key is None else raw.withColumn("doc_id", F.col(a.key).cast("long"))
-    made = splits.manifest(keyed.dropDuplicates(["doc_id"]))
+    key = F.monotonically_increasing_id() if a.key is None else F.col(a.key).cast("long")
+    made = splits.manifest(cut(raw.withColumn("doc_id", key), "keyed"))  # written once, so a row keeps its number
     made.write.mode("overwrite").parquet(f"{a.out}/prepared")
     prepared = spark.read.parquet(f"{a.out}/prepared")
     contracts.require(contracts.prepared_violations(prepared))
@@ -34,7 +35,7 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def leakage(spark: SparkSession, a: argparse.Namespace) -> dict:
-    prepared = audit.check_texts(spark.read.parquet(a.prepared))
+    prepared = audit.check_texts(tables.read_prepared(spark, a.prepared))
     pairs = audit.cross_split_pairs(prepared, min(audit.THRESHOLDS))
     pairs.write.mode("overwrite").parquet(f"{a.out}/pairs")
     found = spark.read.parquet(f"{a.out}/pairs")
@@ -63,9 +64,7 @@ def retrieve(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def score_labels(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Metrics and evidence thresholds of a label CSV."""
-    labels = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(a.labels)
-    gold.check_columns(labels.columns)
-    scored = gold.scored(labels.withColumn("candidate_rank", F.col("candidate_rank").cast("int")), a.split)
+    scored = gold.scored(tables.read_labels(spark, a.labels), a.split)
     thresholds = search.evidence_thresholds(scored)
     report = {"metrics": reports.nested(search.gold_metrics(scored)), "thresholds": reports.nested(thresholds, "threshold"), "selection": reports.nested(search.select_evidence(thresholds))}
     reports.write(spark, report, a.out)
@@ -75,7 +74,7 @@ def score_labels(spark: SparkSession, a: argparse.Namespace) -> dict:
 def train(spark: SparkSession, a: argparse.Namespace) -> dict:
     from deskmill.operators import training
 
-    made = training.run(spark.read.parquet(a.prepared), a.label, a.rounds)
+    made = training.run(tables.read_prepared(spark, a.prepared), a.label, a.rounds)
     training.save(made, a.out)
     return made.report["selected_model"]
 
@@ -85,7 +84,7 @@ def reviews(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 JOBS = {
-    "acquire": (acquire, {"--source": {}, "--out": {}, "--sha256": {"default": None, "required": False}, "--minimum-rows": {"type": int, "default": 1, "required": False}}),
+    "acquire": (acquire, {"--source": {}, "--out": {}, "--sha256": {"default": None, "required": False}, "--minimum-rows": {"type": int, "default": 1, "required": False}, "--url": {"default": None, "required": False}, "--overwrite": {"action": "store_true", "required": False}}),
     "prepare": (prepare, {"--source": {}, "--out": {}, "--key": {"default": None, "required": False}}),
     "leakage": (leakage, {"--prepared": {}, "--out": {}}),
     "index": (index, {"--prepared": {}, "--out": {}, "--most": {"type": int, "default": 100_000, "required": False}}),

@@ -46,10 +46,11 @@ def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def require(df: DataFrame, *, minimum_rows: int = 1, english_only: bool = False) -> DataFrame:
-    """The ticket contract, checked in one aggregate; raises on the first failure, in the contract's order."""
+def require(df: DataFrame, *, minimum_rows: int = 1, english_only: bool = False, queues: tuple[str, ...] | None = None) -> DataFrame:
+    """The ticket contract, checked in one aggregate; raises on the first failure, in the contract's order. ``queues``: the closed domain of
+    queues, where there is one."""
     checks = {"null_" + c: F.col(c).isNull() for c in REQUIRED}
-    checks |= {"empty_text": blank(F.col("subject")) & blank(F.col("body")), "language": ~F.col("language").isin("en") if english_only else ~F.col("language").isin(*LANGUAGES), "priority": ~F.col("priority").isin(*PRIORITIES), "type": ~F.col("type").isin(*TYPES)}
+    checks |= {"empty_text": blank(F.col("subject")) & blank(F.col("body")), "language": ~F.col("language").isin("en") if english_only else ~F.col("language").isin(*LANGUAGES), **({"queue": ~F.col("queue").isin(*queues)} if queues else {}), "priority": ~F.col("priority").isin(*PRIORITIES), "type": ~F.col("type").isin(*TYPES)}
     rows = df.count()
     if rows < max(1, minimum_rows):
         raise ValueError(f"{rows} rows, at least {max(1, minimum_rows)} are needed")
@@ -59,6 +60,23 @@ def require(df: DataFrame, *, minimum_rows: int = 1, english_only: bool = False)
     return df
 
 
+def contract_summary(df: DataFrame) -> dict:
+    """Counts of a table that meets the contract: rows, labels, nulls, blank texts, repeated rows and texts."""
+    from deskmill.operators.reports import nested
+
+    counts = lambda c: nested(value_counts(df, c).withColumnRenamed("value", c), c)
+    return {
+        "rows": df.count(), **{c: counts(c) for c in ("language", "queue", "priority", "type")}, "nulls": nested(null_counts(df), "column_name"), "blank": nested(missing(df, ["subject", "body"]), "column_name"),
+        "repeated_rows": nested(duplicates(df, df.columns)), "repeated_texts": nested(duplicates(df, ["subject", "body"])),
+    }
+
+
+def summary_text(summary: dict) -> str:
+    """The summary as one line a field."""
+    line = lambda v: ", ".join(f"{k}={line(x) if isinstance(x, dict) else x}" for k, x in v.items()) or "none"
+    return "\n".join(f"{k}: {line(v) if isinstance(v, dict) else v}" for k, v in summary.items())
+
+
 def check_features(columns: list[str]) -> None:
     """Only subject and body may be features."""
     if bad := [c for c in columns if c in PROHIBITED]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import urllib.request
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +48,19 @@ def check_columns(found: list[str], wanted: tuple[str, ...]) -> None:
         raise ValueError("columns are not in the contract's order")
 
 
-def acquire(spark: SparkSession, path: str, out: str, sha256: str | None = None, minimum_rows: int = 1) -> DataFrame:
-    """A local CSV, its checksum and contract checked; its English rows written as CSV."""
+def download(url: str, path: str) -> None:
+    """One GET into a local file, a minute at most between bytes."""
+    with urllib.request.urlopen(url, timeout=60) as source, open(path, "wb") as out:  # noqa: S310  the caller names the address
+        shutil.copyfileobj(source, out)
+
+
+def acquire(spark: SparkSession, path: str, out: str, sha256: str | None = None, minimum_rows: int = 1, url: str | None = None, overwrite: bool = False, get: Callable[[str, str], None] = download) -> DataFrame:
+    """A CSV, its checksum and contract checked; its English rows written as CSV. With ``url`` a file that is not there yet, or that is to
+    be overwritten, is fetched first by ``get``."""
     from deskmill.operators.profile import require
 
+    if url and (overwrite or not os.path.exists(path)):
+        get(url, path)
     if sha256:
         check_sha256(spark, path, sha256)
     frame = require(read_csv(spark, path), minimum_rows=minimum_rows)
@@ -68,6 +82,25 @@ def check_sha256(spark: SparkSession, path: str, expected: str) -> None:
         raise ValueError(f"sha256 is {found}, not {expected}")
 
 
+def read_prepared(spark: SparkSession, path: str) -> DataFrame:
+    """Prepared rows that meet their contract."""
+    from deskmill.operators import contracts
+
+    df = spark.read.parquet(path)
+    contracts.check_prepared_columns(df.columns, ("doc_id", "group_id", "split", "classifier_text", "queue"))
+    contracts.require(contracts.prepared_violations(df))
+    return df
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A label CSV: all columns as text but the rank, in the contract's order."""
+    from deskmill.operators import gold
+
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    gold.check_columns(spark.read.options(**options).csv(path).columns)
+    return spark.read.options(**options).schema(", ".join(f"{c} {'int' if c == 'candidate_rank' else 'string'}" for c in gold.LABEL_COLUMNS)).csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -333,7 +333,7 @@ def test_baselines(spark):
 def test_calibrated(spark, tmp_path):
     df = texts(spark)
     x = ml.features(df, ml.fit_terms(df)).join(df.select("doc_id", "queue"), "doc_id").cache()
-    model = ml.Calibrated.fit(x.filter("doc_id % 4 <> 0"), "queue", 5)
+    model = ml.Calibrated.fit(x.filter("doc_id % 4 <> 0"), "queue", 3)
     test = x.filter("doc_id % 4 = 0")
     scores = model.scores(test).cache()
     total = scores.groupBy("vec_id").agg(F.sum("p").alias("t"), F.count("*").alias("n")).collect()
@@ -377,7 +377,7 @@ def test_service(spark):
     x = ml.features(df, fitted).join(df.select("doc_id", "queue"), "doc_id")
     index = search.LexicalIndex.build(df.select("doc_id", F.col("classifier_text").alias("text")))
     corpus = df.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("subject"), F.col("classifier_text").alias("body"), F.lit("fixed").alias("answer"), "queue", F.lit("low").alias("priority"))
-    s = Service(ml.Calibrated.fit(x, "queue", 4), fitted, index, corpus)
+    s = Service(ml.Calibrated.fit(x, "queue", 2), fitted, index, corpus)
     asked = spark.createDataFrame([(1, "vpn tunnel", "remote w1 w2"), (2, " ", None), (3, "toner", "x" * 7000), (4, "mail", "inbox smtp mail")], "doc_id long, subject string, body string")
     got = {r["doc_id"]: r for r in s.analyze(asked, 0).collect()}
     assert sorted(got) == [1, 4] and got[1]["predicted"] == "vpn" and got[4]["predicted"] == "mail"
@@ -410,7 +410,7 @@ def test_training(spark, tmp_path):
 
     split = F.when(F.col("doc_id") % 5 == 0, "test").when(F.col("doc_id") % 5 == 1, "validation").otherwise("train")
     df = texts(spark).select("doc_id", split.alias("split"), F.lit("s").alias("subject"), F.col("classifier_text").alias("body"), "classifier_text", "queue")
-    made = training.run(df, "queue", 4)
+    made = training.run(df, "queue", 2)
     r = made.report
     assert r["selected_model"]["name"] != "dummy_most_frequent" and r["test_metrics"]["accuracy"] > 0.8
     assert set(r["validation_metrics"]) == set(ml.REGISTRY) and r["training_history"]["tfidf_logistic_regression"]
@@ -423,6 +423,42 @@ def test_training(spark, tmp_path):
         training.run(df.filter("split <> 'test'"))
 
 
+def test_acquire(spark, tmp_path):
+    from deskmill.operators import profile
+    from deskmill.sources import tables
+
+    row = dict.fromkeys(tables.TICKET_COLUMNS, "x") | {"type": "Incident", "priority": "low", "language": "en"}
+    lines = [",".join(tables.TICKET_COLUMNS), ",".join(row.values()), ",".join((row | {"subject": "", "language": "de"}).values()), ",".join(row.values())]
+    (tmp_path / "remote.csv").write_text("\n".join(lines) + "\n")
+    path, calls = str(tmp_path / "local.csv"), []
+
+    def get(url, to):
+        calls.append(url)
+        tables.download(url, to)
+
+    url = (tmp_path / "remote.csv").as_uri()
+    for overwrite, times in ((False, 1), (False, 1), (True, 2)):
+        assert tables.acquire(spark, path, str(tmp_path / "out"), url=url, overwrite=overwrite, get=get).count() == 2 and len(calls) == times
+    got = profile.contract_summary(tables.read_csv(spark, path))
+    assert got["rows"] == 3 and got["language"] == {"de": 1, "en": 2} and got["repeated_rows"]["extra_rows"] == 1 and got["nulls"]["subject"] == 1
+    assert "language: de=1, en=2" in profile.summary_text(got)
+    with pytest.raises(ValueError, match="queue"):
+        profile.require(tables.read_csv(spark, path), queues=("billing",))
+
+
+def test_label_files(spark, tmp_path):
+    from deskmill import __main__ as jobs
+    from deskmill.sources import tables
+
+    row = dict.fromkeys(gold.LABEL_COLUMNS, "x") | {"evaluation_split": "validation", "retrieval_score": "0.5"}
+    rows = [tuple((row | {"query_id": q, "candidate_rank": str(k), "relevance_label": str(int(k == 1))}).values()) for q in "ab" for k in (1, 2, 3)]
+    spark.createDataFrame(rows, list(gold.LABEL_COLUMNS)).coalesce(1).write.option("header", True).csv(str(tmp_path / "labels"))
+    assert tables.read_labels(spark, str(tmp_path / "labels")).schema["candidate_rank"].dataType.simpleString() == "int"
+    assert jobs.main(["score-labels", "--labels", str(tmp_path / "labels"), "--split", "validation", "--out", str(tmp_path / "report")])["mrr"] == 1.0
+    with pytest.raises(ValueError, match="other_split"):
+        jobs.main(["score-labels", "--labels", str(tmp_path / "labels"), "--split", "test", "--out", str(tmp_path / "report")])
+
+
 def test_checksum(spark, tmp_path):
     from deskmill.sources import tables
 
