@@ -85,11 +85,16 @@ def resolve(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     outcome = F.when(agree, "resolved").when(~agree, "validator_mismatch").otherwise("unverified")
     found = named.groupBy(*(F.col(c).alias(f"v_{c}") for c in same)).agg(F.max(F.struct(F.col("base.id").alias("id"), outcome.alias("outcome"))).alias("v"))  # one row for rows that are alike
     found = found.select(*(f"v_{c}" for c in same), F.when(F.col("v.outcome") == "resolved", F.col("v.id")).alias("base_id"), F.col("v.outcome").alias("found"))
-    bodies = r.filter(full).groupBy(F.col("record_id").alias("b_id")).agg(F.max_by(F.struct("status", "headers", "body"), F.struct("status", "body")).alias("b"))
+    content = F.struct("status", "headers", "body")
+    bodies = r.filter(full & F.col("url_key").isNotNull() & F.col("at").isNotNull())
+    if keys.filter("own is not null").groupBy("record_id").count().filter("count > 1").isEmpty():
+        bodies = bodies.select(F.col("record_id").alias("b_id"), content.alias("b"))
+    else:
+        bodies = bodies.groupBy(F.col("record_id").alias("b_id")).agg(F.max_by(content, F.struct("status", "body")).alias("b"))
     # only revisits are joined, so a body is shuffled once; responses pass as they are
     revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
     alike = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"v_{c}")) for c in same))
-    joined = r.filter(revisit).drop("status", "body").join(found, alike, "left").join(bodies, F.col("base_id") == F.col("b_id"), "left")
+    joined = r.filter(revisit).drop("status", "body").join(found, alike, "left").join(bodies, (F.coalesce("base_id", "record_id") == F.col("b_id")) & F.col("base_id").isNotNull(), "left")  # rows without a base are spread by their own id
     good = F.col("base_id").isNotNull()
     allowed = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k).isin(*PERMITTED))
     names = F.transform(F.map_keys(allowed), lambda k: F.lower(k))
