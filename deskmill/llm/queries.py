@@ -1,4 +1,4 @@
-"""The ten opN queries and their oracle SQL."""
+"""The opN queries and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import chat, decontaminate, huffman, langid, ngram_join, packing, quality, repetition, revisits, runindex
+from deskmill.llm import centroids, chat, decontaminate, divergence, huffman, langid, ngram_join, packing, quality, repetition, revisits, runindex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,14 +89,79 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, training).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "fit")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_packing, op4_warc_revisits, op5_quality_classifier, op6_decontamination, op7_suffix_dedup, op8_huffman_ids, op9_chat_snapshots, op10_language_id)}
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_packing, op4_warc_revisits, op5_quality_classifier, op6_decontamination, op7_suffix_dedup, op8_huffman_ids, op9_chat_snapshots, op10_language_id, op12_centroid_clustering, op13_source_divergence)}
 
 _CANON = r"""
   regexp_replace(lower(regexp_replace(regexp_extract(u, '^[^/?]*'), ':(80|443)$', '')), '^www[.]', '')
   || regexp_replace(regexp_replace(regexp_extract(regexp_replace(u, '^[^/?]*', ''), '^[^?]*'), '\.html$', ''), '/+$', '')
   || case when q <> '' then '?' || q else '' end"""
 
+def _lloyd(rounds: int = 3, k: int = 16) -> str:
+    """Lloyd's rounds in SQL, every distance of every round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} as (
+  select x.row, x.vec_id, x.v, c.c, cast(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from kept x cross join c{r} c
+), a{r} as (
+  select row, any_value(vec_id) as vec_id, any_value(v) as v, cast(min(d) as bigint) as d, arg_min(c, (d, c)) as c from d{r} group by row
+)""")
+        if r < rounds:
+            steps.append(f"""s{r} as (
+  select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(64)) as i from a{r}) group by c, i
+), m{r} as (
+  select c, list(cast((s - ((s % n + n) % n)) // n as bigint) order by i) as v from s{r} group by c
+), c{r + 1} as (
+  select c{r}.c, coalesce(m{r}.v, c{r}.v) as v from c{r} left join m{r} using (c)
+)""")
+    return f"""
+with kept as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v from kept where vec_id is not null qualify c < {k}
+), {", ".join(steps)}
+select vec_id, cast(a{rounds}.c as integer) as cluster, d as distance, cast(sum(d) over (partition by a{rounds}.c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on a{rounds}.c = c{rounds}.c"""
+
+
 ORACLES = {
+    "op12_centroid_clustering": _lloyd(),
+    "op13_source_divergence": r"""
+with d as (
+  select row_number() over () as row, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents
+), w as (
+  select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (
+  select lang, term, count(*) as n from w group by lang, term having count(distinct row) >= 30
+), langs as (
+  select lang, count(*) as v, sum(n) as total from kept group by lang
+), c as (
+  select lang, source, term, count(*) as n from w join kept using (lang, term) group by lang, source, term
+), g as (
+  select lang, source, coalesce(sum(c.n), 0) as total from (select distinct lang, source from d) left join c using (lang, source) group by lang, source
+), p as (
+  select g.lang, g.source, kept.term, coalesce(c.n, 0) as n,
+    cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v) as bigint) as p,
+    cast(1 + (1000000000::hugeint * (kept.n + 5)) // (langs.total + 5 * v) as bigint) as q
+  from g join kept using (lang) join langs using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term
+), far as (
+  select a.lang, a.source, b.source as item, cast(sum(abs(a.p - b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join far on far.lang = a.lang and far.source = a.source and far.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from p where n > 0 and p > q
+)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from parts qualify part = 'pair' or rank <= 50""",
     "op4_warc_revisits": rf"""
 with records as (
   select page_id * 3 as record_id, 'response' as kind, url, 1700000000 + page_id as s, '"' || md5(html) || '"' as etag, html as body, 1 as copy from pages
