@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import centroids, chat, decontaminate, divergence, huffman, langid, ngram_join, packing, quality, repetition, revisits, runindex
+from deskmill.llm import centroids, chat, decontaminate, divergence, huffman, langid, ngram_join, packing, pagetext, quality, repetition, revisits, runindex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, training).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "fit")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -97,7 +101,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_packing, op4_warc_revisits, op5_quality_classifier, op6_decontamination, op7_suffix_dedup, op8_huffman_ids, op9_chat_snapshots, op10_language_id, op12_centroid_clustering, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_packing, op4_warc_revisits, op5_quality_classifier, op6_decontamination, op7_suffix_dedup, op8_huffman_ids, op9_chat_snapshots, op10_language_id, op11_html_extraction, op12_centroid_clustering, op13_source_divergence)}
 
 _CANON = r"""
   regexp_replace(lower(regexp_replace(regexp_extract(u, '^[^/?]*'), ':(80|443)$', '')), '^www[.]', '')
@@ -133,7 +137,24 @@ select vec_id, cast(a{rounds}.c as integer) as cluster, d as distance, cast(sum(
 from a{rounds} join c{rounds} on a{rounds}.c = c{rounds}.c"""
 
 
+#: White space as str.split() has it.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 ORACLES = {
+    # Right for pages like these, whose main text is all of one article element: the model is held to it, not made by it.
+    "op11_html_extraction": rf"""
+with articles as (
+  select row_number() over () as row, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as a from pages
+), blocks as (
+  select row, unnest(string_split_regex(a, '</?(p|h1)>')) as b, generate_subscripts(string_split_regex(a, '</?(p|h1)>'), 1) as i from articles
+), plain as (
+  select row, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') as b from blocks
+), clean as (
+  select row, i, trim(regexp_replace(b, '{_WHITE}', ' ', 'g')) as b from plain
+), texts as (
+  select row, string_agg(b, chr(10) order by i) as text from clean where b <> '' group by row
+)
+select page_id, url, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from articles left join texts using (row)""",
     "op12_centroid_clustering": _lloyd(),
     "op13_source_divergence": r"""
 with d as (
