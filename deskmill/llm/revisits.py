@@ -11,7 +11,7 @@ joined back by record id. URLs of more than ``HOT_ROWS`` records are cut into ti
 each range goes on to the next ones. No cross join, no collect.
 
 Rows: a null URL or time resolves to nothing ('no_base'). Of responses at the same time the greatest record_id counts. Responses with other
-statuses than 200 are no base. Every row gives one row: records that repeat an id, time, URL and validators get the same answer, and of
+statuses than 200 and records of other or no type are no base and pass as they are, with an outcome of their own. Every row gives one row: records that repeat an id, time, URL and validators get the same answer, and of
 responses that share an id the one with the greatest status and body is the base. Bodies of any length are moved, never cut. Extra columns
 are not read. An empty table gives an empty result.
 """
@@ -70,7 +70,7 @@ def _bases(keys: DataFrame, hot_rows: int) -> DataFrame:
 def resolve(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """record_id, url_key, record_type, base_id, outcome, status, headers, body.
 
-    outcome: 'full' (a response), 'resolved', 'validator_mismatch', 'unverified' (no validator that both have), or 'no_base'; base, body and
+    outcome: 'full' (a response of status 200), 'other_status' (another response), 'other_type' (no response, no revisit), 'resolved', 'validator_mismatch', 'unverified' (no validator that both have), or 'no_base'; base, body and
     status of unresolved revisits are null.
     """
     r = records.select("record_id", "record_type", canonical_url(F.col("url")).alias("url_key"), "at", "status", "etag", "last_modified", "headers", "body")
@@ -103,5 +103,6 @@ def resolve(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "record_id", "url_key", "record_type", "base_id", F.coalesce("found", F.lit("no_base")).alias("outcome"),
         F.when(good, F.col("b.status")).alias("status"), F.when(good, F.map_concat(kept, allowed)).otherwise(F.col("headers")).alias("headers"), F.when(good, F.col("b.body")).alias("body"),
     )
-    rest = r.filter(~revisit).select("record_id", "url_key", "record_type", F.lit(None).cast(r.schema["record_id"].dataType).alias("base_id"), F.lit("full").alias("outcome"), "status", "headers", "body")
+    kind = F.when(full, "full").when(F.col("record_type") == "response", "other_status").otherwise("other_type")
+    rest = r.filter(~revisit).select("record_id", "url_key", "record_type", F.lit(None).cast(r.schema["record_id"].dataType).alias("base_id"), kind.alias("outcome"), "status", "headers", "body")
     return rest.unionByName(resolved)
