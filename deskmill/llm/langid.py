@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
@@ -89,7 +89,8 @@ def profiles(rows: DataFrame, size: int = SIZE) -> DataFrame:
         K.release()
 
     total = rows.mapInArrow(counts, "lang string, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    return total.withColumn("rank", F.expr("row_number() over (partition by lang order by count desc, gram) - 1")).filter(F.col("rank") < size).select("lang", "gram", "rank")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))
+    return total.withColumn("place", first).filter(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))  # each task sends its first ones only
 
 
 def identify(docs: DataFrame, training: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
