@@ -33,7 +33,7 @@ from deskmill.llm.tokens import Encoder
 
 SENTENCE, WORD, HARD = 4, 12, 24  # penalties, in ids of padding
 SHORT = 32  # what a sequence of a power of two below the full size costs, as it takes a place of its own
-GRID = 16  # ids of a document of which one word end is a candidate; the README has the padding at other values
+GRID = 4  # ids of a document of which one word end is a candidate; README has the padding at other values
 
 
 class Cuts:
