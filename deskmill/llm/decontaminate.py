@@ -1,8 +1,12 @@
-"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
-
-1. Every word of the items is looked up in the corpus once, for its frequency there.
-2. An alignment that scores the share asked for matches at least ``need`` of an item's ``m`` words. Its seeds are the ``m - need + few``
-   words that are rarest in the corpus, so any such alignment holds ``few`` of them, whichever words an edit destroyed.
+"""Benchmark decontamination: rare n-grams as seeds, then Smith-Waterman alignment.
+
+1. A seed is a gapped 2-gram: two words in order, next to each other or with one word between. Every one of the items is looked up in the
+   corpus once, for its frequency there.
+2. Between two words of an item that an alignment matches one after the other, ``a`` words of the item and ``b`` of the text may be left out, which
+   costs max(a, b). So an alignment of ``score`` leaves two or more out at no more than half of what it may lose, and at least
+   ceil(score / 2) - 1 of an item's words start a gapped 2-gram that the text has too: they survive. Of the ``m - 1`` words that can
+   start one, an item offers the 2-grams of the rarest ones, so many that ``few`` of any surviving set are among them. Where none need
+   survive (items of one or two words), its seeds are single words, of which an alignment holds ``need``.
 3. A second scan finds texts with ``few`` seeds of an item within the longest span of such an alignment. Everything that an alignment
    with them can reach makes one window of the text.
 4. A window whose words cannot reach the score in any order is left out; with the others the item is aligned word by word. All
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
+HITS = 1_000_000  # (place in the text, item) rows that are expanded at a time
 WINDOW_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -58,15 +63,21 @@ class Items:
         self.first = np.cumsum(self.size) - self.size
         score = np.maximum(np.ceil(2 * self.size * least - 1e-9).astype(np.int64), 1)  # matches count 2, everything else costs 1
         need = (score + 1) // 2
-        self.few = np.minimum(need, self.size // 8 + 1)
+        survive = (score + 1) // 2 - 1
+        self.paired = survive > 0
+        self.few = np.minimum(np.where(self.paired, survive, need), self.size // 8 + 1)
         self.span = 3 * self.size - score  # all words matched, and so many more between them that the score is just reached
-        self.seeds = self.size - need + self.few
+        self.seeds = np.where(self.paired, self.size - 1 - survive, self.size - need) + self.few  # words that start them, or single words
         self.score, self.need = score, need
         key = np.sort(_of_item(self.word, self.row))
         at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         self.kind, self.times = key[at], np.diff(np.append(at, len(key)))  # words of each item, and how often it has them
-        long = self.size[self.row] >= n
-        self._keep(self.word[long], self.row[long])
+        long = (self.size >= n)[self.row]
+        pair, at = pairs(self.word, self.row)
+        ok = (long & self.paired[self.row])[at]
+        single = np.flatnonzero(long & ~self.paired[self.row])
+        self.gram, self.start = np.concatenate((pair[ok], self.word[single])), np.concatenate((at[ok], single))
+        self._keep(self.gram, self.row[self.start])
 
     def _keep(self, word: np.ndarray, item: np.ndarray) -> None:
         order = np.lexsort((item, word))
@@ -76,13 +87,30 @@ class Items:
         self.seed, self.item = word[new], item[new]
 
     def keep_rare(self, every: np.ndarray, times: np.ndarray) -> None:
-        """Keep the rarest ``seeds`` words of each item; ``times``: how often each of the sorted words ``every`` occurs in the corpus."""
-        long = np.flatnonzero(np.isin(self.row, self.item))
-        word, item = self.word[long], self.row[long]
-        order = np.lexsort((word, times[np.searchsorted(every, word)], item))
-        word, item = word[order], item[order]
-        keep = np.arange(len(item)) - np.searchsorted(item, item) < self.seeds[item]
-        self._keep(word[keep], item[keep])
+        """Keep the n-grams of the ``seeds`` words of each item whose n-grams are rarest; ``times``: how often each of the sorted n-grams
+        ``every`` occurs in the corpus."""
+        if not len(self.gram):
+            return
+        often = np.bincount(self.start, times[np.searchsorted(every, self.gram)], len(self.word))
+        word = np.unique(self.start)
+        word = word[np.lexsort((word, often[word], self.row[word]))]
+        item = self.row[word]
+        rare = np.zeros(len(self.word), bool)
+        rare[word[np.arange(len(item)) - np.searchsorted(item, item) < self.seeds[item]]] = True
+        keep = rare[self.start]
+        self._keep(self.gram[keep], self.row[self.start[keep]])
+
+
+def pairs(word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of two words of a row in order, with at most one between, and the place of the first, by place."""
+    out, at = [], []
+    for gap in (1, 2):
+        ok = np.flatnonzero(row[gap:] == row[:-gap]) if len(row) > gap else np.empty(0, np.int64)
+        out.append(K.mix(word[ok] * np.uint64(0x9E3779B97F4A7C15) + word[ok + gap]))
+        at.append(ok)
+    at_all = np.concatenate(at)
+    order = np.argsort(at_all, kind="stable")
+    return np.concatenate(out)[order], at_all[order]
 
 
 def _hits(word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +123,29 @@ def _hits(word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, at[hit]
 
 
+def expanded(doc: np.ndarray, items: np.ndarray, first: np.ndarray, many: np.ndarray, most: int = HITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hit, item) for hit k of document doc[k] and each of items[first[k] : first[k] + many[k]], in pieces of whole documents of about
+    ``most`` rows. A document with more is given for a share of the items at a time; one item's rows in one document stay together."""
+    edges = np.concatenate(([0], np.cumsum(many)))
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else np.empty(0, np.int64)
+    lo = 0
+    while lo < len(doc):
+        k = int(np.searchsorted(edges[ends], edges[lo] + most, "right")) - 1
+        hi = int(ends[max(k, int(np.searchsorted(ends, lo, "right")))])
+        shares = -(-int(edges[hi] - edges[lo]) // most)
+        for share in range(shares):
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            a = lo
+            while a < hi:
+                b = min(hi, max(a + 1, int(np.searchsorted(edges, edges[a] + most, "right")) - 1))
+                item, hit = items[K.expand(first[a:b], many[a:b])], np.repeat(np.arange(a, b), many[a:b])
+                mine = item % shares == share
+                found.append((hit[mine], item[mine]))
+                a = b
+            yield np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        lo = hi
+
+
 def reachable(items: Items, item: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Whether word[lo:hi], put in any order, could reach its item's score. Two bounds: a span scores at most MATCH for each word
     that the item has and MISMATCH for each other; and a word matches at most as often as the item has it."""
@@ -199,52 +250,63 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.
 
 def _matches(rows: DataFrame, items: Items, least: float) -> DataFrame:
     every = np.unique(items.seed)
+    singles = bool((~items.paired)[items.item].any())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(every), np.int64)
         for _, data, offs in K.documents(batches, lower=True):
-            total += np.bincount(_hits(_words(data, offs)[0], every)[1], minlength=len(every))
+            word, row = _words(data, offs)
+            total += np.bincount(_hits(pairs(word, row)[0], every)[1], minlength=len(every))
+            if singles:
+                total += np.bincount(_hits(word, every)[1], minlength=len(every))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["word", "times"])
 
-    if len(every):  # at most BLOCK_WORDS rows
+    if len(every):  # at most 2 * BLOCK_WORDS rows
         times = np.zeros(len(every), np.int64)
         for r in rows.mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times")).collect():
             times[r["word"]] = r["times"]
         items.keep_rare(every, times)
 
+    def windows(word: np.ndarray, row: np.ndarray, hit: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, item and words [lo, hi) of what alignments with ``few`` seeds can reach, from (place, item) hits of whole documents."""
+        key = row[hit].astype(np.int64) * len(items.ids) + item
+        order = np.lexsort((hit, key))
+        key, item, hit = key[order], item[order], hit[order]
+        last = np.arange(len(hit)) + items.few[item] - 1  # the hit that makes them enough
+        start = np.flatnonzero(last < len(hit))
+        start = start[(key[last[start]] == key[start]) & (hit[last[start]] - hit[start] < items.span[item[start]])]
+        key, item, doc = key[start], item[start], row[hit[start]]
+        lo = np.maximum(hit[last[start]] - items.span[item] + 1, np.searchsorted(row, doc))
+        hi = np.minimum(hit[start] + items.span[item], np.searchsorted(row, doc, "right"))
+        new = np.ones(len(lo), bool)  # windows of one item that start near each other are one
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] > lo[:-1] + items.size[item[1:]] // 4 + 4)
+        head = np.flatnonzero(new)
+        if len(head):
+            hi = np.maximum.reduceat(hi, head)
+        return doc[head], item[head], lo[head], hi
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, first, many = np.unique(items.seed, return_index=True, return_counts=True)
         for ids, data, offs in K.documents(batches, lower=True):
             word, row = _words(data, offs)
-            hit, at = _hits(word, seeds)
-            if not len(hit):
-                continue
-            item = items.item[K.expand(first[at], many[at])]  # every item that has the seed
-            hit = np.repeat(hit, many[at])
-            key = row[hit].astype(np.int64) * len(items.ids) + item
-            order = np.argsort(key, kind="stable")
-            key, item, hit = key[order], item[order], hit[order]
-            last = np.arange(len(hit)) + items.few[item] - 1  # the hit that makes them enough
-            start = np.flatnonzero(last < len(hit))
-            start = start[(key[last[start]] == key[start]) & (hit[last[start]] - hit[start] < items.span[item[start]])]
-            if not len(start):
-                continue
-            word_from = np.searchsorted(row, np.arange(len(ids)))
-            word_to = np.searchsorted(row, np.arange(len(ids)), "right")
-            key, item, doc = key[start], item[start], row[hit[start]]
-            lo = np.maximum(hit[last[start]] - items.span[item] + 1, word_from[doc])
-            hi = np.minimum(hit[start] + items.span[item], word_to[doc])
-            new = np.ones(len(lo), bool)  # windows of one item that start near each other are one
-            new[1:] = (key[1:] != key[:-1]) | (lo[1:] > lo[:-1] + items.size[item[1:]] // 4 + 4)
-            head = np.flatnonzero(new)
-            hi = np.maximum.reduceat(hi, head)
-            doc, item, lo = doc[head], item[head], lo[head]
-            ok = reachable(items, item, word, lo, hi)
-            doc, item, lo, hi = doc[ok], item[ok], lo[ok], hi[ok]
-            score, begin, end = align(items, item, word, lo, hi)
-            share = score / (MATCH * items.size[item])
-            ok = share >= least
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[ok]]), pa.array(items.ids[item[ok]]), pa.array(share[ok]), pa.array(begin[ok] - word_from[doc[ok]]), pa.array(end[ok] - word_from[doc[ok]])], ["doc_id", "item_id", "score", "start_word", "end_word"])
+            gram, place = pairs(word, row)
+            found, at = _hits(gram, seeds)
+            hit = place[found]
+            if singles:
+                alone, more = _hits(word, seeds)
+                order = np.argsort(np.concatenate((hit, alone)), kind="stable")
+                hit, at = np.concatenate((hit, alone))[order], np.concatenate((at, more))[order]
+            for part, item in expanded(row[hit], items.item, first[at], many[at]):
+                doc, item, lo, hi = windows(word, row, hit[part], item)
+                if not len(doc):
+                    continue
+                ok = reachable(items, item, word, lo, hi)
+                doc, item, lo, hi = doc[ok], item[ok], lo[ok], hi[ok]
+                score, begin, end = align(items, item, word, lo, hi)
+                share = score / (MATCH * items.size[item])
+                ok = share >= least
+                base = np.searchsorted(row, doc[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[ok]]), pa.array(items.ids[item[ok]]), pa.array(share[ok]), pa.array(begin[ok] - base), pa.array(end[ok] - base)], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
     return rows.mapInArrow(scan, "doc_id long, item_id long, score double, start_word long, end_word long")
