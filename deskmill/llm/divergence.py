@@ -100,9 +100,12 @@ def sketch(docs: DataFrame, least: int, cells: int = WIDTH) -> np.ndarray:
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             kinds, times = np.unique(h[new], return_counts=True)
             for k in range(DEPTH):
-                more = np.bincount(_cells(kinds, k, cells), np.minimum(times, least), cells)
-                part = total[k * cells : (k + 1) * cells]
-                np.copyto(part, np.minimum(part + more, least).astype(np.uint16))
+                cell = _cells(kinds, k, cells) + k * cells
+                order = np.argsort(cell)
+                cell = cell[order]
+                head = np.flatnonzero(np.diff(cell, prepend=-1))
+                more = np.add.reduceat(times[order], head) if len(head) else head
+                total[cell[head]] = np.minimum(total[cell[head]] + more, least)
         yield _ranges(total)
 
     def _ranges(total: np.ndarray) -> pa.RecordBatch:

@@ -287,6 +287,57 @@ def test_decontamination_edits(spark):
     assert all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+def test_decontamination_stretched(spark):
+    """Alignments with as little left in one piece as their score allows: a word put between every two, every other word gone."""
+    rng = np.random.default_rng(12)
+    items = [[f"q{x}" for x in rng.permutation(200)[: int(rng.integers(3, 40))]] for _ in range(30)]
+    other = lambda n: [f"z{x}" for x in rng.integers(0, 500, n)]
+    texts = []
+    for w in items:
+        texts.append([y for x in w for y in (x, *other(1))][:-1])
+        texts.append([x for k, x in enumerate(w) if k % 3])
+        k = int(rng.integers(1, len(w)))
+        texts.append([*w[:k], *other(len(w) // 2), *w[k:]])
+        texts.append([x if rng.random() < 0.7 else f"z{x}" for x in w])
+        texts.append([*other(30), *(x for x in w if rng.random() < 0.75), *other(5)])
+    rows = [(i, " ".join(x), None, "s", 1) for i, x in enumerate(texts)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    want = {(i, j): smith_waterman(w, x) / (2 * len(w)) for i, x in enumerate(texts) for j, w in enumerate(items)}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v >= 0.5}
+    assert len(got) > 90 and sum(0.5 <= v < 0.55 for v in want.values()) > 25
+
+
+def test_decontamination_pieces():
+    """Hits are expanded in bounded pieces: every row once, an item's rows in a document together, also where one document has very many."""
+    rng = np.random.default_rng(13)
+    doc = np.sort(rng.integers(0, 12, 3000))
+    doc[800:2500] = 5
+    items = np.concatenate([np.arange(n) for n in rng.integers(1, 60, 80)])
+    start = np.flatnonzero(items == 0)
+    size = np.diff(np.append(start, len(items)))
+    kind = rng.integers(0, 80, 3000)
+    first, many = start[kind], size[kind]
+    pieces = list(decontaminate.expanded(np.sort(doc), items, first, many, most=2000))
+    assert sum(len(h) for h, _ in pieces) == many.sum() and max(len(h) for h, _ in pieces) < 5000
+    rows = sorted((int(h), int(i)) for a, b in pieces for h, i in zip(a, b))
+    assert rows == sorted((k, int(i)) for k in range(3000) for i in items[first[k] : first[k] + many[k]])
+    where = {}
+    for n, (a, b) in enumerate(pieces):
+        for d, i in set(zip(np.sort(doc)[a].tolist(), b.tolist())):
+            assert where.setdefault((d, i), n) == n
+    assert list(decontaminate.expanded(doc[:0], items, first[:0], many[:0])) == []
+
+
+def test_revisits_types(spark):
+    """Only responses of status 200 are full; others keep an outcome of their own and are no base."""
+    t = datetime(2024, 1, 1)
+    rows = [(i, kind, "http://a.org/x", t.replace(hour=i), status, None, None, {}, "b") for i, (kind, status) in enumerate([("response", 404), ("response", None), ("request", 200), (None, 200), ("warcinfo", None), ("revisit", 304), ("response", 200), ("revisit", 304)])]
+    records = spark.createDataFrame(rows, "record_id long, record_type string, url string, at timestamp, status int, etag string, last_modified string, headers map<string,string>, body string")
+    got = {r["record_id"]: (r["outcome"], r["body"]) for r in revisits.resolve(records).collect()}
+    assert got == {0: ("other_status", "b"), 1: ("other_status", "b"), 2: ("other_type", "b"), 3: ("other_type", "b"), 4: ("other_type", "b"), 5: ("no_base", None), 6: ("full", "b"), 7: ("unverified", None)}
+
+
 def test_revisits(spark):
     t = lambda s: datetime(2024, 1, 1, 0, 0, s)
     full = lambda i, url, s, tag, body, status=200, mod=None: (i, "response", url, t(s), status, tag, mod, {"ETag": tag or "", "Content-Type": "text/html", "Date": "old"}, body, "x")
