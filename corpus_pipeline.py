@@ -27,10 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """The document with the least id of each group of near copies (five-word shingles, similarity 0.8 or more). One row of it stays:
+    of rows that repeat an id the one with the fullest text, as the join reads them."""
     found = ngram_join.jaccard_components(docs, 5, Fraction(4, 5))
     keep = found.filter("component_id = doc_id").select(F.col("doc_id").alias("keep_id"))
-    return docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi")
+    kept = docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi")
+    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id")), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    again = kept["doc_id"] == repeated["again_id"]
+    filled = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+", ""))
+    one = kept.join(repeated, again, "left_semi").groupBy(F.col("doc_id").alias("again_id")).agg(F.max_by(F.struct(*docs.columns), F.struct(filled, F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("r"))
+    return kept.join(repeated, again, "left_anti").unionByName(one.select("r.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
