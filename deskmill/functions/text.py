@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
 
 
-#: White space as Unicode has it, and the four ASCII separators, as one class that the matcher looks up by value.
-SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: White space as Unicode has it, and the four ASCII separators.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _odd_folds() -> dict[str, str]:
+    """Full case folding of every character that lower case alone does not fold, or that old Unicode versions do not have."""
+    old = unicodedata.ucd_3_2_0
+    folds = ((c, c.casefold()) for c in map(chr, range(128, sys.maxunicode + 1)))
+    return {c: f for c, f in folds if f != c.lower() or c in "\u03a3\u0130" or (f != c and (old.category(c) == "Cn" or len(f) > 1))}
+
+
+def _class_of(characters: Iterable[str]) -> str:
+    codes = sorted(map(ord, characters))
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
+_FOLDS = _odd_folds()
+#: Latin text is told by the first part alone.
+_ODD = f"[\\xb5\\xdf\\x{{100}}-\\x{{10ffff}}&&{_class_of(_FOLDS)}]"
 
 
 def clean(c: Column) -> Column:
@@ -17,14 +45,25 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
 
 
+def fold_clean(t: Column) -> Column:
+    """Full Unicode case folding. Texts without a character that folds otherwise than to lower case, nearly all, go the short way."""
+    one = F.map_from_arrays(F.array(*map(F.lit, _FOLDS)), F.array(*map(F.lit, _FOLDS.values())))
+    each = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(one, x), F.lower(x)))
+    return F.when(F.regexp_like(t, F.lit(_ODD)), F.array_join(each, "")).otherwise(F.lower(t))
+
+
 def fold(c: Column) -> Column:
-    """Cleaned, lower case, and the one full case folding that lower() lacks in Latin text."""
-    return F.replace(F.lower(clean(c)), F.lit("ß"), F.lit("ss"))
+    """Cleaned and case folded."""
+    return _let(clean(c), fold_clean)
 
 
 def classifier_text(subject: Column, body: Column) -> Column:
-    part = lambda c: F.nullif(clean(c), F.lit(""))
-    return F.concat_ws("\n\n", part(subject), part(body))
+    return join_clean(clean(subject), clean(body))
+
+
+def join_clean(subject: Column, body: Column, between: str = "\n\n") -> Column:
+    """What is not empty of two cleaned texts."""
+    return F.array_join(F.filter(F.array(subject, body), lambda x: x != ""), between)
 
 
 def fingerprint(text: Column) -> Column:
@@ -32,13 +71,16 @@ def fingerprint(text: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    t = clean(c)
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda w: w != "")).cast("long")
+
+
+def word_count_clean(t: Column) -> Column:
+    """Words of a cleaned text: its spaces and one."""
+    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def preview(c: Column, limit: int, mark: str = "...") -> Column:
-    t = clean(c)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - len(mark))), F.lit(mark)))
+    return _let(clean(c), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - len(mark))), F.lit(mark))))
 
 
 def prefix_signature(c: Column, tokens: int = 12) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import blank_to_null, preview, utc_text
+from deskmill.sources.keyed import Keyed
 
 #: Action to state.
 STATES = {"accept": "approved", "edit": "edited", "reroute": "edited", "reject": "rejected", "mark_insufficient": "rejected"}
@@ -59,6 +60,44 @@ def records(analyses: DataFrame) -> DataFrame:
     )
 
 
+#: What a review adds to a record.
+REVIEWED = "action string, final_queue string, final_draft string, notes string, reviewed_at timestamp"
+
+
+def store(spark: SparkSession, path: str) -> Keyed:
+    """The review records under ``path``, by analysis_id; a new folder is an empty store."""
+    return Keyed(spark, path, f"{RECORD}, {REVIEWED}", "analysis_id")
+
+
+def create(kept: Keyed, new: DataFrame) -> int:
+    """New pending records; an id that is taken, also by a writer at the same time, is an error. Returns the version."""
+    version = kept.version()
+    names = new.sparkSession.createDataFrame([], kept.schema)
+    full = new.select(*new.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in names.schema if f.name not in new.columns))
+    old = kept.read(version)
+    append(old.select(*new.columns), new)
+    return kept.commit(full, version)
+
+
+def submit(kept: Keyed, actions: DataFrame, version: int | None = None) -> int:
+    """Review actions (analysis_id, action, queue, draft, notes, at), one a record, applied to pending records as of ``version``, by
+    default the latest. An unknown record, one that is not pending, or an action that is not valid is an error; so is a record that moved since
+    that version (``Conflict``). Returns the new version."""
+    version = kept.version() if version is None else version
+    a = actions.select(*(F.col(c).alias(f"a_{c}") for c in ("analysis_id", "action", "queue", "draft", "notes", "at")))
+    joined = a.join(kept.read(version), F.col("a_analysis_id") == F.col("analysis_id"), "left")
+    problem = (
+        F.when(F.col("analysis_id").isNull(), "unknown record").when(F.col("state") != "pending", "not pending")
+        .when(~F.coalesce(valid(F.col("a_action"), F.col("a_draft"), F.col("a_queue")), F.lit(False)), "not valid")
+    )
+    wrong = joined.select("a_analysis_id", problem.alias("problem")).filter("problem is not null").orderBy("a_analysis_id").first()
+    if wrong:
+        raise ValueError(f"{wrong['a_analysis_id']}: {wrong['problem']}")
+    queue = F.when(F.col("a_action") == "reroute", F.col("a_queue")).when(F.col("a_action") == "accept", F.col("predicted_queue"))
+    moved = {"state": state_for(F.col("a_action")), "action": F.col("a_action"), "final_queue": queue, "final_draft": F.when(F.col("a_action") == "edit", F.col("a_draft")).when(F.col("a_action") == "accept", F.col("draft")), "notes": blank_to_null(F.col("a_notes")), "reviewed_at": F.col("a_at")}
+    return kept.commit(joined.withColumns(moved), version)
+
+
 def decoded(stored: DataFrame) -> DataFrame:
     """Records with evidence ids as an array and provider metadata as a map; text that is not JSON becomes null."""
     return stored.withColumns({"evidence_ids": F.from_json("evidence", "array<string>"), "provider_fields": F.from_json("provider", "map<string,string>")})

@@ -1,14 +1,19 @@
 """Retrieval: TF-IDF vectors, lexical, dense and hybrid top-k, saved indexes.
 
-Query sets meet the corpus in blocks: a block of queries of at most ``BLOCK_VALUES`` numbers goes to the tasks, each task keeps its k best
-per query, and a window picks k of k x tasks rows. There is no query x corpus table, and no term is joined: a task looks the block's terms
-up in its own rows, so a stop word that every document has makes no hot key.
+Lexical search goes through ``Blocks``: documents that are alike stand in one block, and an inverted list says how heavy each term can be in
+each block that has it. Queries are joined with those bounds, so a block whose documents cannot enter a query's top k is never read for it;
+what is left is scored block by block. Queries, like documents, are rows all the way: none pass the driver.
+
+Dense and hybrid search take a block of queries of at most ``BLOCK_VALUES`` numbers at a time to all rows: each task keeps its k best per query,
+and a window picks k of k x tasks rows. A block's result is written before the next block is read, so the driver holds one.
+
+There is no query x corpus table. A task looks terms up in its own rows, so a stop word that every document has makes no hot key.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,10 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import classifier_text
+from deskmill.sources.store import cut
 
 BLOCK_VALUES = 2_000_000  # numbers of a block of queries: vector entries and term weights
 BLOCK_QUERIES = 4096
 CELLS = 4_000_000  # of a task's score matrix at a time
+BLOCK_ROWS = 256  # documents of a block of the lexical index
+LEADS = 1000  # groups of documents with one leading term that get blocks of their own
+FIRST = 2  # blocks that are scored before any can be left out
+SLICE = 2048  # queries that meet a block of documents at a time
 COMMON = 8  # terms of so many queries of a block are multiplied as a matrix
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 FILTERS = ("queue", "priority", "label")
@@ -174,7 +184,7 @@ def _semantic(block: Block, batch: pa.RecordBatch) -> np.ndarray:
     return block.semantic(batch.column("v"))
 
 
-def _steps(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+def _steps(block: Block, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Ids and rows, few enough for CELLS scores."""
     step = max(1, CELLS // max(1, len(block.ids), len(block.matrix)))
     for batch in batches:
@@ -184,24 +194,28 @@ def _steps(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np
                 yield part.column("id").to_numpy().astype(np.int64), part
 
 
+_FOUND = pa.schema([("query_id", pa.int64()), ("source_id", pa.int64()), ("score", pa.float64())])
+
+
+def _best(block: Block, batches: Iterable[pa.RecordBatch], k: int, score: Score) -> Iterator[pa.RecordBatch]:
+    q = len(block.ids)
+    ids, top = np.full((q, 0), 0, np.int64), np.full((q, 0), 0.0)
+    for own, part in _steps(block, batches):
+        s = np.round(score(block, part), 9).T
+        s[block.ids[:, None] == own[None, :]] = -np.inf
+        ids = np.concatenate((ids, np.broadcast_to(own, s.shape)), axis=1)
+        top = np.concatenate((top, s), axis=1)
+        order = np.lexsort((ids, -top), axis=1)[:, :k]
+        ids, top = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
+    keep = np.isfinite(top)
+    query = np.broadcast_to(block.ids[:, None], top.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[keep]), pa.array(top[keep])], schema=_FOUND)
+
+
 def best(corpus: DataFrame, block: Block, k: int, score: Score) -> DataFrame:
     """query_id, source_id, score: each task's k best rows for each query of the block; a row is never its own answer. Ties by id."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = len(block.ids)
-        ids, top = np.full((q, 0), 0, np.int64), np.full((q, 0), 0.0)
-        for own, part in _steps(block, batches):
-            s = np.round(score(block, part), 9).T
-            s[block.ids[:, None] == own[None, :]] = -np.inf
-            ids = np.concatenate((ids, np.broadcast_to(own, s.shape)), axis=1)
-            top = np.concatenate((top, s), axis=1)
-            order = np.lexsort((ids, -top), axis=1)[:, :k]
-            ids, top = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
-        keep = np.isfinite(top)
-        query = np.broadcast_to(block.ids[:, None], top.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[keep]), pa.array(top[keep])], ["query_id", "source_id", "score"])
-
-    return corpus.mapInArrow(scan, "query_id long, source_id long, score double")
+    return corpus.mapInArrow(lambda batches: _best(block, batches, k, score), "query_id long, source_id long, score double")
 
 
 def top_k(scores: DataFrame, k: int, score: Column | None = None) -> DataFrame:
@@ -212,17 +226,107 @@ def top_k(scores: DataFrame, k: int, score: Column | None = None) -> DataFrame:
 
 
 def _by_blocks(queries: DataFrame, k: int, one: Callable[[Block], DataFrame]) -> DataFrame:
-    found = None
-    for block in blocks(queries):
-        rows = one(block)
+    check_top_k(k)
+    waiting = blocks(queries)
+    found, block = None, next(waiting)
+    for following in waiting:
+        rows = cut(top_k(one(block), k), "query-block")  # the block before goes once its rows are written
         found = rows if found is None else found.unionByName(rows)
-    return top_k(found, check_top_k(k))
+        block = following
+    last = top_k(one(block), k)
+    return last if found is None else found.unionByName(last)
+
+
+# ---- lexical search by blocks -------------------------------------------------------------------------------------
+
+def _hashed() -> Column:
+    """(h, x) of each term: its hash and its weight."""
+    return F.zip_with("terms", "w", lambda t, x: F.struct(F.xxhash64(t).alias("h"), x.alias("x")))
+
+
+
+@dataclass
+class Blocks:
+    """``rows``: id, terms, w and the block of each document; ``bounds``: the 64-bit hash of a term (h), block and the greatest weight (top)
+    of the term there. Terms that share a hash share a bound, which is one for both.
 
+    A document's block is told by its leading term (the most common one it has, so languages and kinds of text part), the size of its
+    vector (short vectors have heavy terms), and, where so many agree in both, a hash of its id: a block has about ``BLOCK_ROWS`` documents.
+    """
+
+    rows: DataFrame
+    bounds: DataFrame
+
+    @classmethod
+    def build(cls, rows: DataFrame, size: int = BLOCK_ROWS) -> Blocks:
+        """From (id, terms, w) rows and, if there is one, their ``lead``; null vectors are empty."""
+        lead = F.coalesce("lead", F.lit("")) if "lead" in rows.columns else F.lit("")
+        band = F.floor(2 * F.log2(1.0 + F.size("terms"))).cast("long")
+        text, number = F.array().cast("array<string>"), F.array().cast("array<double>")
+        own = rows.select("id", F.coalesce("terms", text).alias("terms"), F.coalesce("w", number).alias("w"), lead.alias("lead")).withColumn("band", band)
+        known = own.groupBy("lead", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= size / 4).orderBy(F.desc("n"), "lead", "band").limit(LEADS)
+        known = known.select(F.col("lead").alias("k_lead"), F.col("band").alias("k_band"), F.lit(True).alias("known"))  # at most LEADS rows
+        named = own.join(F.broadcast(known), (F.col("lead") == F.col("k_lead")) & (F.col("band") == F.col("k_band")), "left")
+        named = named.select("id", "terms", "w", F.when(F.col("known"), F.col("lead")).alias("lead"), "band")
+        sizes = named.groupBy("lead", "band").agg(F.ceil(F.count("*") / size).alias("parts")).select(F.col("lead").alias("s_lead"), F.col("band").alias("s_band"), "parts")  # LEADS rows, and one a band
+        same = F.col("lead").eqNullSafe(F.col("s_lead")) & (F.col("band") == F.col("s_band"))
+        block = F.xxhash64("lead", "band", F.pmod(F.xxhash64("id"), F.col("parts")))
+        placed = cut(named.join(F.broadcast(sizes), same).select("id", "terms", "w", block.alias("block")), "lexical-blocks")
+        tops = placed.select("block", F.inline(_hashed())).groupBy("h", "block").agg(F.max("x").alias("top"))
+        return cls(placed, cut(tops, "block-bounds"))
+
+    def only(self, ids: DataFrame) -> Blocks:
+        """The documents of ``ids`` (id); bounds stay right, if not as narrow."""
+        return Blocks(self.rows.join(ids.select("id"), "id", "left_semi"), self.bounds)
 
-def lexical_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, terms, w) rows of both sides; rows that share no term score 0 and may fill k."""
-    rows = corpus.select("id", "terms", "w")
-    return _by_blocks(queries.select("id", "terms", "w"), k, lambda block: best(rows, block, k, _lexical))
+    def save(self, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        self.bounds.write.mode("overwrite").parquet(f"{path}/bounds")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Blocks:
+        return cls(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/bounds"))
+
+    def reach(self, queries: DataFrame) -> DataFrame:
+        """query_id, block, bound: what a document of the block can score at most, for blocks that share a term with the query."""
+        asked = queries.select(F.col("id").alias("query_id"), F.inline(_hashed()))
+        return asked.join(self.bounds, "h").groupBy("query_id", "block").agg(F.sum(F.col("x") * F.col("top")).alias("bound"))
+
+    def score(self, pairs: DataFrame, queries: DataFrame, k: int, slices: int) -> DataFrame:
+        """query_id, source_id, score: the k best of each block for each query that ``pairs`` (query_id, block) names for it."""
+        part = F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("slice")
+        cells = pairs.select("query_id", "block", part)
+        asked = cells.join(queries.select(F.col("id").alias("query_id"), "terms", "w"), "query_id").select(F.col("block").alias("q_block"), F.col("slice").alias("q_slice"), F.col("query_id").alias("id"), "terms", "w")
+        corpus = self.rows.join(cells.select("block", "slice").distinct(), "block")
+
+        def best_of(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+            block = Block.of(wanted.select(["id", "terms", "w"]).to_pylist())
+            found = list(_best(block, docs.combine_chunks().to_batches(), k, _lexical)) if docs.num_rows and len(block.ids) else []
+            return pa.Table.from_batches(found, _FOUND)
+
+        return corpus.groupBy("block", "slice").cogroup(asked.groupBy("q_block", "q_slice")).applyInArrow(best_of, "query_id long, source_id long, score double")
+
+
+def lexical_top_k(corpus: DataFrame | Blocks, queries: DataFrame, k: int) -> DataFrame:
+    """(id, terms, w) rows of both sides, or an index of the corpus; rows that share no term score 0 and may fill k.
+
+    The blocks that promise most to a query are scored first; its k-th best score there is what others have to reach. Blocks whose bound
+    is below it hold none of the k best.
+    """
+    check_top_k(k)
+    index = corpus if isinstance(corpus, Blocks) else Blocks.build(corpus)
+    text, number = F.array().cast("array<string>"), F.array().cast("array<double>")
+    asked = cut(queries.select("id", F.coalesce("terms", text).alias("terms"), F.coalesce("w", number).alias("w")), "queries")
+    slices = max(1, -(-asked.count() // SLICE))
+    reach = cut(index.reach(asked).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))), "block-reach")
+    first = cut(index.score(reach.filter(F.col("place") <= FIRST), asked, k, slices), "first-blocks")
+    seen = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
+    left = reach.filter(F.col("place") > FIRST).join(seen, "query_id", "left").filter(F.col("bound") + 1e-8 >= F.coalesce("least", F.lit(0.0)))
+    rest = index.score(left, asked, k, slices)
+    low = index.rows.select("id").orderBy("id").limit(k + 1)  # of rows without a shared term those with the least ids, and one more for the query itself
+    nothing = asked.select(F.col("id").alias("query_id")).crossJoin(F.broadcast(low.select(F.col("id").alias("source_id")))).filter("query_id <> source_id").withColumn("score", F.lit(0.0))  # k + 1 rows
+    every = first.unionByName(rest).unionByName(nothing).groupBy("query_id", "source_id").agg(F.max("score").alias("score"))
+    return top_k(every, k)
 
 
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -292,13 +396,14 @@ class LexicalIndex:
     @classmethod
     def build(cls, docs: DataFrame, most: int | None = None) -> LexicalIndex:
         """From (doc_id, text) rows; documents without a term have empty vectors."""
-        tf = terms(docs)
+        tf = cut(terms(docs), "index-terms")
         n = docs.count()
-        fitted = idf(tf, n, most=most)
-        own = vectors(tf, fitted).select(F.col("doc_id").alias("id"), "terms", "w")
+        fitted = cut(idf(tf, n, most=most), "index-fitted")
+        lead = F.array_max(F.zip_with("dfs", "terms", lambda d, t: F.struct(d.alias("df"), t.alias("term"))))["term"]
+        own = vectors(tf, fitted).select(F.col("doc_id").alias("id"), "terms", "w", lead.alias("lead"))
         every = docs.select(F.col("doc_id").alias("id")).join(own, "id", "left")
         empty = lambda kind: F.array().cast(f"array<{kind}>")
-        return cls(fitted, every.select("id", F.coalesce("terms", empty("string")).alias("terms"), F.coalesce("w", empty("double")).alias("w")), n)
+        return cls(fitted, every.select("id", F.coalesce("terms", empty("string")).alias("terms"), F.coalesce("w", empty("double")).alias("w"), "lead"), n)
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """Vectors of other texts by the fitted terms."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskmill.functions.text import classifier_text, fingerprint, row_id, word_count
+from deskmill.functions.text import clean, fold_clean, join_clean, row_id, word_count_clean
 from deskmill.sources.store import cut
 
 SEED = 20261005
@@ -15,9 +15,9 @@ DIGITS = 3  # of a hash, by which a stratum is counted
 
 def prepare(tickets: DataFrame) -> DataFrame:
     """doc_id, ticket id, group id (fingerprint), text, lengths and labels."""
-    text = classifier_text(F.col("subject"), F.col("body"))
-    t = tickets.withColumn("classifier_text", text)
-    return t.select("doc_id", row_id(F.col("doc_id")).alias("ticket_row_id"), fingerprint(F.col("classifier_text")).alias("group_id"), "subject", "body", "classifier_text", "queue", "priority", F.length("classifier_text").cast("long").alias("char_length"), word_count(F.col("classifier_text")).alias("word_count"))
+    t = tickets.select("*", clean(F.col("subject")).alias("_subject"), clean(F.col("body")).alias("_body"))  # cleaned once; the rest needs no pattern
+    t = t.select("*", join_clean(F.col("_subject"), F.col("_body")).alias("classifier_text"), join_clean(F.col("_subject"), F.col("_body"), " ").alias("_line"))
+    return t.select("doc_id", row_id(F.col("doc_id")).alias("ticket_row_id"), F.sha2(fold_clean(F.col("_line")), 256).alias("group_id"), "subject", "body", "classifier_text", "queue", "priority", F.length("classifier_text").cast("long").alias("char_length"), word_count_clean(F.col("_line")).alias("word_count"))
 
 
 def group_labels(prepared: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def deal(groups: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def manifest(tickets: DataFrame) -> DataFrame:
-    p = prepare(tickets)
+    p = cut(prepare(tickets), "prepared")  # texts are derived once
     groups = cut(group_labels(p), "text-groups")
     return p.join(deal(strata(groups)), "group_id").select("doc_id", "ticket_row_id", "group_id", "split", "stratum", "subject", "body", "classifier_text", "queue", "priority", "char_length", "word_count")
 

@@ -288,25 +288,29 @@ def lexical_index(spark, sf_dir) -> search.LexicalIndex:
     return search.LexicalIndex(made.fitted, cut(made.rows, "lexical-index"), made.count)
 
 
+def lexical_blocks(spark, sf_dir) -> search.Blocks:
+    return search.Blocks.build(search.LexicalIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text")).rows)
+
+
 @query(f"with {LEXICAL} select * from {TOP('lex', 5)}")
 def lexical_topk(spark, sf_dir):
-    rows = lexical_index(spark, sf_dir).rows
-    return search.lexical_top_k(rows, rows.filter("id % 50 = 0"), 5)
+    index = lexical_blocks(spark, sf_dir)
+    return search.lexical_top_k(index, index.rows.filter("id % 50 = 0"), 5)
 
 
 @query(f"with {LEXICAL} select * from {TOP('lex', 5, 'where source_id in (select doc_id from documents where source = chr(115) || chr(114) || chr(99) || chr(48))')}")
 def lexical_topk_filtered(spark, sf_dir):
     """Queries against one queue's documents: the filter is applied before scoring."""
-    rows = lexical_index(spark, sf_dir).rows
+    index = lexical_blocks(spark, sf_dir)
     own = search.metadata_filter(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("queue")), {"queue": "src0"}).select("id")
-    return search.lexical_top_k(rows.join(own, "id", "left_semi"), rows.filter("id % 50 = 0"), 5)
+    return search.lexical_top_k(index.only(own), index.rows.filter("id % 50 = 0"), 5)
 
 
 @query(f"with {LEXICAL}, first as (select doc_id from documents where doc_id % 50 = 0 order by doc_id limit 20) select t.query_id, t.rank as candidate_rank, 'TP-' || t.source_id as candidate_evidence_id, {_CUT('c.text', 700, '...')} as candidate_excerpt, t.score as retrieval_score, '' as relevance_label from {TOP('lex', 5)} t join documents c on c.doc_id = t.source_id where t.query_id in (select doc_id from first)")
 def manual_template(spark, sf_dir):
     """Label rows for the first 20 queries."""
-    rows = lexical_index(spark, sf_dir).rows
-    top = search.lexical_top_k(rows, rows.filter("id % 50 = 0").orderBy("id").limit(20), 5)
+    index = lexical_blocks(spark, sf_dir)
+    top = search.lexical_top_k(index, index.rows.filter("id % 50 = 0").orderBy("id").limit(20), 5)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
     return top.join(docs, "source_id").select("query_id", F.col("rank").alias("candidate_rank"), F.concat(F.lit("TP-"), "source_id").alias("candidate_evidence_id"), X.preview(F.col("text"), 700).alias("candidate_excerpt"), F.col("score").alias("retrieval_score"), F.lit("").alias("relevance_label"))
 

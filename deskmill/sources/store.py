@@ -30,10 +30,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``by``: a column whose values get folders of their own, so a filter on it reads those only."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.write.option("compression", "zstd")
+    (made.partitionBy(by) if by else made).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
     out._deskmill_path = path
     return out
 

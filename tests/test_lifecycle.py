@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import sys
+import unicodedata
 
 import numpy as np
 import pytest
@@ -14,9 +16,10 @@ from deskmill.sources import svg
 # ---- quantiles and splits -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
-def test_quantiles(spark, monkeypatch, buckets):
-    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "MARGIN", 5.0 / accuracy)
     rng = np.random.default_rng(3)
     groups = {"a": rng.normal(size=777), "b": rng.integers(0, 4, 500).astype(float), "c": np.array([2.5]), None: np.array([1.0, 9.0])}
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
@@ -34,6 +37,26 @@ def test_quantiles(spark, monkeypatch, buckets):
     assert len(none) == 1 and none[0]["n"] == 0 and none[0]["median"] is None
 
 
+def test_quantiles_order_few_values(spark):
+    """Of 200,000 values only those near a wanted rank are told apart, in one scan after the first."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    plan = quantiles.describe(df, [], "v", {"p25": 0.25, "p99": 0.99})
+    values = np.arange(200_000) * 7919 % 200_003
+    got = plan.collect()[0]
+    assert [got["p25"], got["p99"]] == np.quantile(values, [0.25, 0.99]).tolist()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.split("Initial Plan")[0].count("Range (0, 200000") == 1  # the first scan is done; its figures are a table of one row
+
+
+def test_full_case_folding(spark):
+    """Equal to Python's casefold on every code point that its Unicode version assigns, alone and in a word."""
+    points = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) not in ("Cs", "Cn", "Co")]
+    df = spark.createDataFrame([(c, f"aB{c}Z") for c in points], "c string, w string")
+    got = df.select("c", X.fold_clean(F.col("c")).alias("f"), X.fold_clean(F.col("w")).alias("g")).collect()
+    assert [r["c"] for r in got if r["f"] != r["c"].casefold() or r["g"] != f"ab{r['c'].casefold()}z"] == []
+    assert spark.createDataFrame([(" Straße\u2003ΌΣΟΣ\t",)], "t string").select(X.fold(F.col("t"))).first()[0] == "strasse όσοσ"
+
+
 @pytest.mark.parametrize("digits", [1, 3])
 def test_deal_is_the_hash_order(spark, monkeypatch, digits):
     monkeypatch.setattr(splits, "DIGITS", digits)
@@ -58,6 +81,58 @@ def test_fractions():
         audit.check_thresholds((0.9, 1.2))
 
 
+# ---- near duplicates across splits --------------------------------------------------------------------------------
+
+
+def _manifest(spark, texts):
+    rows = [(i, f"g{i}", ("train", "validation", "test")[i % 3], "q", None, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, group_id string, split string, queue string, priority string, classifier_text string")
+
+
+@pytest.mark.parametrize("hot", [2, 10, 10_000])
+def test_cross_split_pairs(spark, monkeypatch, hot):
+    """All pairs of the threshold, however many terms count as hot, with ranges of a few texts."""
+    monkeypatch.setattr(audit, "RANGE", 7)
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.zipf(1.5, n) % 60]
+    texts = [word(int(rng.integers(3, 40))) for _ in range(60)]
+    texts.append(["alone", "here"])  # so copies are in another split
+    for k in range(60):
+        w = list(texts[k])
+        w[int(rng.integers(len(w)))] = "changed"
+        texts.append(w if k % 2 else [*w, "more"])
+    texts = [" ".join([*t, f"u{i % 61}"]) for i, t in enumerate(texts)]
+    m = _manifest(spark, texts)
+    got = {(r["left_doc_id"], r["right_doc_id"]): r["similarity"] for r in audit.cross_split_pairs(m, 0.8, hot).collect()}
+    bag = [t.split() for t in texts]
+    bag = [b + [f"{x} {y}" for x, y in zip(b, b[1:])] for b in bag]
+    df = {}
+    for b in bag:
+        for t in set(b):
+            df[t] = df.get(t, 0) + 1
+    vec = []
+    for b in bag:
+        x = {t: b.count(t) * (np.log((1 + len(bag)) / (1 + df[t])) + 1) for t in set(b)}
+        norm = np.sqrt(sum(y * y for y in x.values()))
+        vec.append({t: y / norm for t, y in x.items()})
+    want = {}
+    for i in range(len(bag)):
+        for j in range(i + 1, len(bag)):
+            s = sum(y * vec[j].get(t, 0) for t, y in vec[i].items())
+            if s >= 0.8 and i % 3 != j % 3:
+                want[(i, j) if i % 3 < j % 3 else (j, i)] = s
+    assert len(want) > 20 and got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_hot_term_makes_no_pairs(spark):
+    """A term that 50,000 texts offer: of 1.25 billion pairs only those that can reach the threshold become rows."""
+    n = 50_000
+    offered = spark.range(n).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, ("train", "validation", "test"))), (F.col("id") % 3 + 1).cast("int")).alias("split"), F.lit("the").alias("term"), F.lit(0.4).alias("x"), F.when(F.col("id") % 10_000 < 2, 0.9).otherwise(0.7).alias("after"), F.lit(0.85).alias("left"))
+    found = audit.candidates(offered, 0.9, hot=2000).collect()
+    near = [i for i in range(n) if i % 10_000 < 2]
+    assert sorted(map(tuple, found)) == [(a, b) for a in near for b in near if a < b and a % 3 != b % 3]
+
+
 # ---- retrieval ----------------------------------------------------------------------------------------------------
 
 DOCS = [(1, "printer does not print pages"), (2, "cannot log in to the portal"), (3, "printer prints blank pages"), (4, None), (5, "portal login fails after reset"), (6, "")]
@@ -84,6 +159,48 @@ def test_lexical_index(spark, tmp_path):
         search.LexicalIndex.load(spark, str(tmp_path))
 
 
+def test_lexical_blocks(spark, monkeypatch):
+    """Block bounds leave out what cannot enter the top k, and only that: equal to scoring everything, with ties, zero scores and filters."""
+    monkeypatch.setattr(search, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(search, "FIRST", 1)
+    rng = np.random.default_rng(10)
+    kinds = [[f"{k}{x}" for x in range(120)] for k in "abcd"]
+    texts = [" ".join([f"lead{i % 4}", *rng.choice(kinds[i % 4], int(rng.integers(1, 30)))]) for i in range(600)]
+    texts += [texts[7]] * 6 + ["", None, "zzz"]
+    index = search.LexicalIndex.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    made = search.Blocks.build(index.rows, 16)
+    queries = made.rows.filter("id % 9 = 0 or id > 604")
+    vec = {r["id"]: dict(zip(r["terms"], r["w"])) for r in made.rows.collect()}
+    asked = [r["id"] for r in queries.collect()]
+
+    def best(ids):
+        out = {}
+        for q in asked:
+            s = {i: round(sum(x * vec[i].get(t, 0.0) for t, x in vec[q].items()), 9) for i in ids if i != q}
+            out[q] = [(i, round(s[i], 6)) for i in sorted(s, key=lambda i: (-s[i], i))[:4]]
+        return out
+
+    def found(df):
+        out = {q: [] for q in asked}
+        for r in df.orderBy("query_id", "rank").collect():
+            out[r["query_id"]].append((r["source_id"], r["score"]))
+        return out
+
+    assert found(search.lexical_top_k(made, queries, 4)) == best(list(vec))
+    few = [i for i in vec if i % 5 == 0]
+    assert found(search.lexical_top_k(made.only(spark.createDataFrame([(i,) for i in few], "id long")), queries, 4)) == best(few)
+    reach = made.reach(queries)
+    least = {q: v[-1][1] for q, v in best(list(vec)).items()}
+    rows = reach.collect()
+    blocks = {r["id"]: r["block"] for r in made.rows.collect()}
+    bound = {(r["query_id"], r["block"]): r["bound"] for r in rows}
+    for q in asked:  # a bound is one
+        for i, v in vec.items():
+            assert sum(x * v.get(t, 0.0) for t, x in vec[q].items()) <= bound.get((q, blocks[i]), 0.0) + 1e-9
+    skipped = sum(r["bound"] < least[r["query_id"]] for r in rows) + len(asked) * len(set(blocks.values())) - len(rows)
+    assert skipped > 0.5 * len(asked) * len(set(blocks.values()))
+
+
 def test_lexical_scores_in_blocks(spark, monkeypatch):
     """Blocks, the split of common and rare terms, and chunks of rows do not change scores."""
     rng = np.random.default_rng(1)
