@@ -1,8 +1,8 @@
 """The neural comparison model: word embedding, one convolution, maximum over places, a softmax; trained data-parallel.
 
 Parameters live on the driver (their size is that of the model: vocabulary x embedding) and go to the tasks as a broadcast. An epoch deals the
-rows into steps by a hash of their id; in a step every task sums the gradient of its rows, blocks of the gradient are added up by
-block over all tasks, and the driver takes one Adam step. Embedding gradients have a row per word that occurred only.
+rows into steps by a hash of their id; in a step every task sums the gradient of its rows, these are added up piece by piece over all tasks
+(pieces of words that did not occur are not sent), and the driver takes one Adam step.
 
 Everything random comes from the seed: first values, and dropout from a hash of seed, step, row and unit. So a run does not depend on how rows
 are dealt to tasks, but for the order in which floats are added.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from deskmill.operators import classify, ml, reports
 from deskmill.operators.search import read_config, write_config
+from deskmill.operators.sums import summed
 from deskmill.sources.store import cut, drop
 
 #: The model's sizes and regularisation.
@@ -28,7 +29,6 @@ DROP_WORDS, DROP_TOP = 0.20, 0.40
 L2_WORDS, L2_KERNEL = 1e-6, 1e-5
 EPOCHS, PATIENCE, STEPS, RATE, SEED = 12, 2, 8, 5e-3, 42
 ROWS = 128  # of a task's forward pass
-BLOCK = 512  # words of the vocabulary in a block of the embedding's gradient
 
 
 @dataclass
@@ -121,13 +121,11 @@ def step_gradient(rows: DataFrame, model: Model, step: int, dropout: bool = True
     """Loss and gradient summed over (doc_id, ids, y, w) rows, and how many they are."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(model.p)  # as large as the model
-    seed, names = model.seed, ("kernel", "bias", "top", "shift")
+    seed = model.seed
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def totals(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         p = sent.value
-        loss, count = 0.0, 0
-        total = {k: np.zeros_like(p[k]) for k in names}
-        words: dict[int, np.ndarray] = {}
+        total = {"loss": np.zeros(2), **{k: np.zeros_like(x) for k, x in p.items()}}
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 doc, ids, y, w = _columns(batch.slice(lo, ROWS))
@@ -135,37 +133,16 @@ def step_gradient(rows: DataFrame, model: Model, step: int, dropout: bool = True
                 if dropout:
                     masks = tuple((_random(seed + k, step, doc, size) >= rate) / (1 - rate) for k, (size, rate) in enumerate(((p["words"].shape[1], DROP_WORDS), (p["top"].shape[0], DROP_TOP))))
                 part, g, which, own = gradient(p, ids, y, w, masks)
-                loss, count = loss + part, count + len(doc)
-                for k in names:
-                    total[k] += g[k]
-                for b in np.unique(which // BLOCK):
-                    mine = which // BLOCK == b
-                    held = words.setdefault(int(b), np.zeros((BLOCK, own.shape[1])))
-                    held[which[mine] % BLOCK] += own[mine]
-        if count:
-            out = [("loss", np.array([loss, count])), *total.items(), *((f"words {b}", x) for b, x in words.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out]), pa.array([x.astype("<f8").tobytes() for _, x in out], pa.binary())], ["name", "numbers"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column("name").to_pylist(), batch.column("numbers")):
-                own = np.frombuffer(x.as_buffer(), "<f8")
-                held[k] = held[k] + own if k in held else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["name", "numbers"])
+                total["loss"] += (part, len(doc))
+                for k, x in g.items():
+                    total[k] += x
+                total["words"][which] += own
+        return total
 
-    kind = "name string, numbers binary"
-    found = {r["name"]: np.frombuffer(r["numbers"], "<f8") for r in rows.mapInArrow(add, kind).repartition("name").mapInArrow(merge, kind).collect()}  # as large as the model
+    found = summed(rows, totals, {"loss": (2,), **{k: x.shape for k, x in model.p.items()}})
     sent.unpersist()
-    g = {k: found[k].reshape(model.p[k].shape) if k in found else np.zeros_like(model.p[k]) for k in names}
-    g["words"] = np.zeros_like(model.p["words"])
-    for k, x in found.items():
-        if k.startswith("words "):
-            b = int(k.split()[1]) * BLOCK
-            part = g["words"][b : b + BLOCK]
-            part += x.reshape(BLOCK, -1)[: len(part)]
-    loss, count = found.get("loss", np.zeros(2))
-    return float(loss), int(count), g
+    loss, count = found.pop("loss")
+    return float(loss), int(count), found
 
 
 @dataclass

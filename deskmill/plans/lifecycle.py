@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.functions import text as X
-from deskmill.operators import classify, contracts, gates, gold, ml, profile, reports, review, search, splits
-from deskmill.plans.catalogue import _CUT, _SPLIT, CLEAN, DENSE, FIVE, LEXICAL, MANIFEST, PER_CLASS, PREPARED, REQUESTS, SCORES, TICKETS, TOP, _labels, _pred, _scores, _vectors, lexical_index, manifest, query, requests
+from deskmill.operators import classify, contracts, gates, gold, ml, neural, profile, reports, review, search, splits
+from deskmill.plans.catalogue import _CUT, _SPLIT, CLEAN, DENSE, FIVE, LEXICAL, MANIFEST, PER_CLASS, PREPARED, REQUESTS, SCORES, TICKETS, TOP, _labels, _pred, _scores, _vectors, lexical_blocks, manifest, query, requests
 from deskmill.sources.store import cut
 from deskmill.sources.tables import table, tickets
 
@@ -247,8 +247,8 @@ _MARGINS = f"""{LEXICAL}, two as {TOP('lex', 2)}, margins as (select query_id, m
 @query(f"""with {_MARGINS} select *, case when top_score >= (select quantile_cont(top_score, 0.5) from margins) and margin >= (select quantile_cont(margin, 0.5) from margins) then 'easy' else 'ambiguous' end as difficulty_group from margins""")
 def query_difficulty(spark, sf_dir):
     """Best score, its lead over the next one, and the group that both make."""
-    rows = lexical_index(spark, sf_dir).rows
-    return gold.difficulty_groups(cut(gold.margins(search.lexical_top_k(rows, rows.filter("id % 50 = 0"), 2)), "margins"))
+    index = lexical_blocks(spark, sf_dir)
+    return gold.difficulty_groups(cut(gold.margins(search.lexical_top_k(index, index.rows.filter("id % 50 = 0"), 2)), "margins"))
 
 
 @query()
@@ -268,15 +268,15 @@ def gold_query_sample(spark, sf_dir):
 
 _LABELLED = f"""{DENSE}, top as {TOP('dense', 5)}, lab as (
   select query_id // 10 + rank + 1 as file_row, case when query_id % 150 = 0 then 'test' else 'validation' end as evaluation_split, query_id, case when source_id % 41 = 3 then 1 else rank end as candidate_rank,
-    case source_id % 23 when 1 then null when 2 then ' ' when 3 then '3' when 4 then 'yes' when 5 then '1.0' else cast(source_id % 3 as varchar) end as relevance_label, score as retrieval_score from top)"""
+    case when query_id % 250 = 0 and rank = 2 then null else case source_id % 23 when 1 then null when 2 then ' ' when 3 then '3' when 4 then 'yes' when 5 then '1.0' else cast(source_id % 3 as varchar) end end as relevance_label, score as retrieval_score from top)"""
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    """Label rows with planted faults."""
+    """Label rows with planted faults; the second candidate of every fifth query always lacks its label."""
     v = _vectors(spark, sf_dir)
     top = search.dense_top_k(v.select("id", "v"), v.filter("id % 50 = 0").select("id", "v"), 5)
     code = F.col("source_id") % 23
-    value = F.when(code == 1, None).when(code == 2, " ").when(code == 3, "3").when(code == 4, "yes").when(code == 5, "1.0").otherwise((F.col("source_id") % 3).cast("string"))
+    value = F.when((F.col("query_id") % 250 == 0) & (F.col("rank") == 2), None).when(code == 1, None).when(code == 2, " ").when(code == 3, "3").when(code == 4, "yes").when(code == 5, "1.0").otherwise((F.col("source_id") % 3).cast("string"))
     return cut(top.select(
         (F.floor(F.col("query_id") / 10) + F.col("rank") + 1).alias("file_row"), F.when(F.col("query_id") % 150 == 0, "test").otherwise("validation").alias("evaluation_split"), "query_id",
         F.when(F.col("source_id") % 41 == 3, 1).otherwise(F.col("rank")).alias("candidate_rank"), value.alias("relevance_label"), F.col("score").alias("retrieval_score"),
@@ -298,21 +298,23 @@ def gold_missing_labels(spark, sf_dir):
 # ---- model metrics and their shown forms --------------------------------------------------------------------------
 
 _MODELS = f"""{SCORES}, dummy as (select truth as label from scores where split = 'train' and label = (select min(label) from labels_) group by truth order by count(*) desc, truth limit 1
-), models as (select 'centroid' as model, split, truth, predicted from pred union all select 'most_frequent', split, truth, (select label from dummy) from pred
-), k as (select m.model, m.split, l.label, count(*) filter (truth = l.label) as support, count(*) filter (truth = l.label and predicted = l.label) as tp, count(*) filter (predicted = l.label) as called from models m, labels_ l group by all
+), tops as (select truth as label from scores where split = 'train' and label = (select min(label) from labels_) group by truth order by count(*) desc, truth limit 3
+), models as (select 'centroid' as model, split, truth, predicted, in3 from pred union all select 'most_frequent', split, truth, (select label from dummy), truth in (select label from tops) from pred
+), k as (select m.model, m.split, l.label, count(*) filter (truth = l.label) as support, count(*) filter (truth = l.label and predicted = l.label) as tp, count(*) filter (predicted = l.label) as called, count(*) filter (truth = l.label and in3) as near from models m, labels_ l group by all
 ), f as (select *, coalesce(2.0 * tp / nullif(called + support, 0), 0) as f1 from k
-), mm as (select model, split, round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1 from f group by model, split)"""
+), mm as (select model, split, round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1, round(sum(near) / sum(support), 6) as top3_accuracy from f group by model, split)"""
 
 
 def model_frames(spark, sf_dir) -> DataFrame:
-    """model, split, accuracy, macro_f1, weighted_f1 of the centroid model and of the most frequent label."""
+    """model, split, accuracy, macro_f1, weighted_f1, top3_accuracy of the centroid model and of the most frequent labels."""
     scores = _scores(spark, sf_dir)
     labels = _labels(spark, sf_dir)
     pred = cut(classify.predictions(scores), "predictions")
-    top = pred.filter("split = 'train'").agg(F.mode("truth", True).alias("top"))  # one row
+    often = pred.filter("split = 'train'").groupBy("truth").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "truth").limit(3)
+    top = often.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "truth"))), lambda x: x["truth"]).alias("top"))  # one row
     held = pred.filter("split <> 'train'")
-    dummy = held.crossJoin(F.broadcast(top)).withColumn("predicted", F.col("top")).drop("top")
-    one = lambda df, model, split: classify.summary(df.filter(F.col("split") == split), labels).select(F.lit(model).alias("model"), F.lit(split).alias("split"), "accuracy", "macro_f1", "weighted_f1")
+    dummy = held.crossJoin(F.broadcast(top)).withColumns({"predicted": F.col("top")[0], "top3": F.col("top")}).drop("top")
+    one = lambda df, model, split: classify.summary(df.filter(F.col("split") == split), labels).select(F.lit(model).alias("model"), F.lit(split).alias("split"), "accuracy", "macro_f1", "weighted_f1", "top3_accuracy")
     return cut(reduce(DataFrame.unionByName, (one(df, m, s) for m, df in (("centroid", held), ("most_frequent", dummy)) for s in ("validation", "test"))), "model-metrics")
 
 
@@ -342,12 +344,12 @@ def deployment_decision(spark, sf_dir):
 
 
 @query(f"""with {_MODELS}, best as (select model from mm where split = 'validation' order by macro_f1 desc, weighted_f1 desc, accuracy desc, model desc limit 1)
-select mm.model, best.model is not null as selected, macro_f1, weighted_f1, accuracy as top3_accuracy from mm left join best on best.model = mm.model where split = 'test'""")
+select mm.model, best.model is not null as selected, macro_f1, weighted_f1, top3_accuracy from mm left join best on best.model = mm.model where split = 'test'""")
 def model_comparison(spark, sf_dir):
-    """Test figures of each model and whether validation chose it (with the accuracy where a model has no top three)."""
+    """Test figures of each model and whether validation chose it."""
     m = model_frames(spark, sf_dir)
     best = classify.select_model(m.filter("split = 'validation'"))
-    return reports.comparison_rows(m.filter("split = 'test'").withColumnRenamed("accuracy", "top3_accuracy"), best)
+    return reports.comparison_rows(m.filter("split = 'test'"), best)
 
 
 @query(f"""with {PER_CLASS}, s as (select (select round(avg(case when truth = predicted then 1.0 else 0.0 end), 6) from pred) as accuracy, round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1, (select round(avg(case when in3 then 1.0 else 0.0 end), 6) from pred) as top3,
@@ -544,3 +546,20 @@ def ml_svc_calibrated(spark, sf_dir):
     x = ml.features(rows, fitted).join(rows.select("doc_id", "language", "split"), "doc_id")
     model = ml.Calibrated.fit(x.filter("split <> 'test'"), "language", 8)
     return model.scores(x.filter("split = 'test'")).select("vec_id", "truth", "label", "p")
+
+
+@query()
+def conv1d_comparison(spark, sf_dir):
+    """The convolutional model beside the most frequent class, on both held-out splits; a few epochs over all labelled texts."""
+    rows = labelled_texts(spark, sf_dir)
+    fitted, _, report = neural.train_and_evaluate(rows, "language", epochs=3, steps=4, rate=1e-2)
+    often = rows.filter("split = 'train'").agg(F.mode("language", True).alias("m")).first()["m"]  # one value
+    names = spark.createDataFrame([(c,) for c in fitted.model.classes], "label string")
+
+    def dummy(split: str) -> dict:
+        held = rows.filter(F.col("split") == split).select("doc_id", F.col("language").alias("truth"))
+        found = held.crossJoin(F.broadcast(names)).select(F.col("doc_id").alias("vec_id"), F.lit(split).alias("split"), "truth", "label", (F.col("label") == often).cast("double").alias("p"))  # a row a class
+        pred = classify.predictions(found)
+        return {**reports.nested(classify.summary(pred, names)), **reports.nested(classify.calibration(found, pred))}
+
+    return neural.comparison(spark, {"conv1d": report["metrics"], "most_frequent": {s: dummy(s) for s in ("validation", "test")}})

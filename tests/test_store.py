@@ -157,3 +157,53 @@ def test_early_stopping(spark, monkeypatch):
     assert all(np.allclose(short.model.p[k], v) for k, v in fitted.model.p.items())
     with pytest.raises(ValueError, match="no training rows"):
         neural.fit(x.limit(0), x, ["x"], 100)
+
+
+# ---- support vectors ----------------------------------------------------------------------------------------------
+
+
+def _classes(spark, n, k, seed):
+    """Rows around k centres in 12 places, as sparse vectors with balanced weights."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(k, 12)) * 2
+    y = rng.integers(0, k, n)
+    x = centre[y] + rng.normal(size=(n, 12))
+    x[rng.random((n, 12)) < 0.3] = 0
+    rows = [(i, Vectors.sparse(12, {int(j): float(v) for j, v in enumerate(x[i]) if v}), float(y[i]), float(rng.uniform(0.5, 2))) for i in range(n)]
+    return spark.createDataFrame(rows, ["doc_id", "features", "y", "w"]).repartition(3), x, y
+
+
+def test_svc_in_one_pass(spark, monkeypatch):
+    """Each class is fitted as if it were alone, in as many passes as one; predictions are those of one-vs-rest."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    rows, x, y = _classes(spark, 300, 5, 3)
+    passes = []
+    real = ml.hinge
+    monkeypatch.setattr(ml, "hinge", lambda *a: (passes.append(1), real(*a))[1])
+    model = ml.Svc(20, 1e-2).fit(rows)
+    together = len(passes)
+    margin = x @ model.w[:-1] + model.w[-1]
+    for c in (0, 3):
+        passes.clear()
+        alone = ml.Svc(20, 1e-2).fit(rows.withColumn("y", F.when(F.col("y") == c, 0.0).otherwise(1.0)), 1)
+        assert np.allclose(x @ alone.w[:-1, 0] + alone.w[-1, 0], margin[:, c], atol=2e-2)
+        assert together <= 2 * len(passes) + 10  # not a multiple of the classes
+    other = OneVsRest(classifier=LinearSVC(maxIter=60, regParam=1e-3), labelCol="y", weightCol="w").fit(rows).transform(rows).select("doc_id", "prediction").collect()
+    same = np.mean([margin[r["doc_id"]].argmax() == r["prediction"] for r in other])
+    assert same > 0.95 and np.mean(margin.argmax(1) == y) > 0.85
+
+
+def test_hinge_slope(spark):
+    rows, x, y = _classes(spark, 40, 3, 4)
+    w = np.random.default_rng(1).normal(size=(13, 3)) * 0.2
+    value, slope = ml.hinge(rows, w)
+    for at in [(0, 0), (5, 1), (12, 2), (3, 2)]:
+        up, down = w.copy(), w.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        assert slope[at] == pytest.approx((ml.hinge(rows, up)[0][at[1]] - ml.hinge(rows, down)[0][at[1]]) / 2e-5, abs=1e-6)
+    with pytest.raises(ValueError, match="no training rows"):
+        ml.Svc().fit(rows.limit(0))
