@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from deskmill.llm import kernels as K
 from deskmill.llm.store import cut, drop
+from deskmill.operators.sums import summed
 
 NAMES = ("log_words", "word_length", "word_spread", "long_words", "upper", "digits", "symbols", "stops", "commas", "shouts", "bars", "other", "non_ascii", "lines", "repeat_lines", "distinct_words", "top_word", "repeat_pairs", "first_upper", "entropy")
 FEATURES, BINS, SEED, FOLDS = 256, 1000, 7, 3
@@ -107,26 +108,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, of_batch, width: int) -> np.ndarray:
-    """Sum over all rows of a vector of ``width``: per partition, then over at most 16 groups, then on the driver."""
+    """Sum over all rows of a vector of ``width``."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def totals(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
                 total += of_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+        return {"v": total}
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_buffer(), float)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
-
-    out = np.zeros(width)
-    for r in rows.mapInArrow(first, "v binary").repartition(16).mapInArrow(again, "v binary").collect():
-        out += np.frombuffer(r["v"], float)
-    return out
+    return summed(rows, totals, {"v": (width,)})["v"]
 
 
 class Projection:
