@@ -33,7 +33,7 @@ from deskmill.llm.tokens import Encoder
 
 SENTENCE, WORD, HARD = 4, 12, 24  # penalties, in ids of padding
 SHORT = 32  # what a sequence of a power of two below the full size costs, as it takes a place of its own
-GRID = 4  # ids of a document of which one word end is a candidate; README has the padding at other values
+GRID = 8  # ids of a document of which one word end is a candidate; README has the padding at other values
 
 
 class Cuts:
@@ -49,17 +49,24 @@ class Cuts:
         """More cuts, by place."""
         size, place, cost, back, queue = self.size, self.place, self.cost, self.back, self.queue
         n = len(place)
-        every = np.array(place + places, np.int64)
-        at = np.searchsorted(every, every[n:, None] - self.powers)  # cuts a power of two before each cut
-        j, k = np.nonzero(every[at] == every[n:, None] - self.powers)
-        short: list[int] = at[j, k].tolist()
-        ends = np.searchsorted(j, np.arange(1, len(places) + 1)).tolist()
-        done = 0
+        if not places:
+            return
+        every = np.array(place + places, np.int64) - place[0]
+        which = np.full(every[-1] + 1, -1, np.int32)  # the cut at a place
+        which[every] = np.arange(len(every), dtype=np.int32)
+        at = every[n:, None] - self.powers
+        found = which[at.clip(0)]  # cuts a power of two before each cut
+        found[at < 0] = -1
+        short: list[int] = found[found >= 0].tolist()
+        ends = np.cumsum((found >= 0).sum(axis=1)).tolist()
+        keys = [c + p for c, p in zip(cost, place)]  # a cut's cost with its place
+        done, m = 0, n
         for p, penalty, end in zip(places, penalties, ends):
-            while place[queue[0]] < p - size:
+            far = p - size
+            while place[queue[0]] < far:
                 queue.popleft()
             i = queue[0]
-            best = cost[i] + place[i] + size - p
+            best = keys[i] - far
             if done < end:
                 for h in short[done:end]:
                     if cost[h] + SHORT < best:
@@ -67,11 +74,13 @@ class Cuts:
                 done = end
             best += penalty
             key = best + p
-            while queue and cost[queue[-1]] + place[queue[-1]] >= key:
+            while queue and keys[queue[-1]] >= key:
                 queue.pop()
-            queue.append(len(place))
+            queue.append(m)
+            m += 1
             place.append(p)
             cost.append(best)
+            keys.append(key)
             back.append(i)
 
     def decided(self) -> list[int]:
