@@ -58,8 +58,20 @@ def index(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def retrieve(spark: SparkSession, a: argparse.Namespace) -> dict:
-    found = search.LexicalIndex.load(spark, a.index).retrieve(query_text=a.text, k=a.k)
-    return {"found": [r.asDict() for r in found.orderBy("rank").collect()]}
+    clock = search.Clock()
+    found = search.LexicalIndex.load(spark, a.index).retrieve(query_text=a.text, k=a.k, clock=clock).orderBy("rank").collect()
+    return {"found": [r.asDict() for r in found], "ms": clock.ms()}
+
+
+def train_neural(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """The convolutional comparison model, its vocabulary and its report."""
+    from deskmill.operators import neural
+
+    fitted, vocabulary, report = neural.train_and_evaluate(spark.read.parquet(a.prepared), epochs=a.epochs)
+    fitted.model.save(spark, f"{a.out}/model")
+    vocabulary.write.mode("overwrite").parquet(f"{a.out}/vocabulary")
+    reports.write(spark, report, f"{a.out}/report")
+    return report["metrics"]
 
 
 def score_labels(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -90,6 +102,7 @@ JOBS = {
     "index": (index, {"--prepared": {}, "--out": {}, "--most": {"type": int, "default": 100_000, "required": False}}),
     "retrieve": (retrieve, {"--index": {}, "--text": {}, "--k": {"type": int, "default": 5, "required": False}}),
     "train": (train, {"--prepared": {}, "--out": {}, "--label": {"default": "queue", "required": False}, "--rounds": {"type": int, "default": None, "required": False}}),
+    "train-neural": (train_neural, {"--prepared": {}, "--out": {}, "--epochs": {"type": int, "default": 12, "required": False}}),
     "score-labels": (score_labels, {"--labels": {}, "--split": {}, "--out": {}}),
     "reviews": (reviews, {"--records": {}, "--limit": {"type": int, "default": 100, "required": False}}),
 }

@@ -13,13 +13,14 @@ There is no query x corpus table. A task looks terms up in its own rows, so a st
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import classifier_text
@@ -194,28 +195,55 @@ def _steps(block: Block, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np
                 yield part.column("id").to_numpy().astype(np.int64), part
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("source_id", pa.int64()), ("score", pa.float64())])
+@dataclass
+class Clock:
+    """Time that tasks spend on scoring, as metrics observed in the jobs that spend it: no job runs for the clock's sake. Rows carry the
+    milliseconds of their task in a column ``ms`` (on its first row), which ``watch`` sums up and takes off."""
+
+    seen: list[Observation] = field(default_factory=list)
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], F.sum("ms").alias("ms")).drop("ms")
+
+    def ms(self) -> float:
+        """Milliseconds of all tasks, once the rows have been read."""
+        return sum(o.get.get("ms") or 0.0 for o in self.seen)
+
+
+def once(ms: float, rows: int) -> pa.Array:
+    out = np.zeros(rows)
+    out[:1] = ms
+    return pa.array(out)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("source_id", pa.int64()), ("score", pa.float64()), ("ms", pa.float64())])
+_FOUND_SQL = "query_id long, source_id long, score double, ms double"
 
 
 def _best(block: Block, batches: Iterable[pa.RecordBatch], k: int, score: Score) -> Iterator[pa.RecordBatch]:
     q = len(block.ids)
     ids, top = np.full((q, 0), 0, np.int64), np.full((q, 0), 0.0)
+    spent = 0.0
     for own, part in _steps(block, batches):
+        began = time.perf_counter()
         s = np.round(score(block, part), 9).T
         s[block.ids[:, None] == own[None, :]] = -np.inf
         ids = np.concatenate((ids, np.broadcast_to(own, s.shape)), axis=1)
         top = np.concatenate((top, s), axis=1)
         order = np.lexsort((ids, -top), axis=1)[:, :k]
         ids, top = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
+        spent += time.perf_counter() - began
     keep = np.isfinite(top)
     query = np.broadcast_to(block.ids[:, None], top.shape)
-    yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[keep]), pa.array(top[keep])], schema=_FOUND)
+    yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[keep]), pa.array(top[keep]), once(1000 * spent, int(keep.sum()))], schema=_FOUND)
 
 
-def best(corpus: DataFrame, block: Block, k: int, score: Score) -> DataFrame:
+def best(corpus: DataFrame, block: Block, k: int, score: Score, clock: Clock | None = None) -> DataFrame:
     """query_id, source_id, score: each task's k best rows for each query of the block; a row is never its own answer. Ties by id."""
 
-    return corpus.mapInArrow(lambda batches: _best(block, batches, k, score), "query_id long, source_id long, score double")
+    found = corpus.mapInArrow(lambda batches: _best(block, batches, k, score), _FOUND_SQL)
+    return clock.watch(found) if clock else found.drop("ms")
 
 
 def top_k(scores: DataFrame, k: int, score: Column | None = None) -> DataFrame:
@@ -292,7 +320,7 @@ class Blocks:
         asked = queries.select(F.col("id").alias("query_id"), F.inline(_hashed()))
         return asked.join(self.bounds, "h").groupBy("query_id", "block").agg(F.sum(F.col("x") * F.col("top")).alias("bound"))
 
-    def score(self, pairs: DataFrame, queries: DataFrame, k: int, slices: int) -> DataFrame:
+    def score(self, pairs: DataFrame, queries: DataFrame, k: int, slices: int, clock: Clock | None = None) -> DataFrame:
         """query_id, source_id, score: the k best of each block for each query that ``pairs`` (query_id, block) names for it."""
         part = F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("slice")
         cells = pairs.select("query_id", "block", part)
@@ -304,10 +332,11 @@ class Blocks:
             found = list(_best(block, docs.combine_chunks().to_batches(), k, _lexical)) if docs.num_rows and len(block.ids) else []
             return pa.Table.from_batches(found, _FOUND)
 
-        return corpus.groupBy("block", "slice").cogroup(asked.groupBy("q_block", "q_slice")).applyInArrow(best_of, "query_id long, source_id long, score double")
+        found = corpus.groupBy("block", "slice").cogroup(asked.groupBy("q_block", "q_slice")).applyInArrow(best_of, _FOUND_SQL)
+        return clock.watch(found) if clock else found.drop("ms")
 
 
-def lexical_top_k(corpus: DataFrame | Blocks, queries: DataFrame, k: int) -> DataFrame:
+def lexical_top_k(corpus: DataFrame | Blocks, queries: DataFrame, k: int, clock: Clock | None = None) -> DataFrame:
     """(id, terms, w) rows of both sides, or an index of the corpus; rows that share no term score 0 and may fill k.
 
     The blocks that promise most to a query are scored first; its k-th best score there is what others have to reach. Blocks whose bound
@@ -319,20 +348,20 @@ def lexical_top_k(corpus: DataFrame | Blocks, queries: DataFrame, k: int) -> Dat
     asked = cut(queries.select("id", F.coalesce("terms", text).alias("terms"), F.coalesce("w", number).alias("w")), "queries")
     slices = max(1, -(-asked.count() // SLICE))
     reach = cut(index.reach(asked).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))), "block-reach")
-    first = cut(index.score(reach.filter(F.col("place") <= FIRST), asked, k, slices), "first-blocks")
+    first = cut(index.score(reach.filter(F.col("place") <= FIRST), asked, k, slices, clock), "first-blocks")
     seen = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
     left = reach.filter(F.col("place") > FIRST).join(seen, "query_id", "left").filter(F.col("bound") + 1e-8 >= F.coalesce("least", F.lit(0.0)))
-    rest = index.score(left, asked, k, slices)
+    rest = index.score(left, asked, k, slices, clock)
     low = index.rows.select("id").orderBy("id").limit(k + 1)  # of rows without a shared term those with the least ids, and one more for the query itself
     nothing = asked.select(F.col("id").alias("query_id")).crossJoin(F.broadcast(low.select(F.col("id").alias("source_id")))).filter("query_id <> source_id").withColumn("score", F.lit(0.0))  # k + 1 rows
     every = first.unionByName(rest).unionByName(nothing).groupBy("query_id", "source_id").agg(F.max("score").alias("score"))
     return top_k(every, k)
 
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, clock: Clock | None = None) -> DataFrame:
     """(id, v) rows of both sides; dot products in double."""
     rows = corpus.select("id", "v")
-    return _by_blocks(queries.select("id", "v"), k, lambda block: best(rows, block, k, _semantic))
+    return _by_blocks(queries.select("id", "v"), k, lambda block: best(rows, block, k, _semantic, clock))
 
 
 def extents(corpus: DataFrame, block: Block) -> DataFrame:
@@ -373,11 +402,11 @@ def _hybrid(block: Block, corpus: DataFrame, weight: float) -> Score:
     return score
 
 
-def hybrid_top_k(corpus: DataFrame, queries: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+def hybrid_top_k(corpus: DataFrame, queries: DataFrame, k: int, weight: float = 0.5, clock: Clock | None = None) -> DataFrame:
     """(id, v, terms, w) rows of both sides; a first scan finds each query's extents, a second its k best."""
     check_weight(weight)
     rows = corpus.select("id", "v", "terms", "w")
-    return _by_blocks(queries.select("id", "v", "terms", "w"), k, lambda block: best(rows, block, k, _hybrid(block, rows, weight)))
+    return _by_blocks(queries.select("id", "v", "terms", "w"), k, lambda block: best(rows, block, k, _hybrid(block, rows, weight), clock))
 
 
 # ---- indexes ------------------------------------------------------------------------------------------------------
@@ -419,7 +448,7 @@ class LexicalIndex:
         config = read_config(spark, path, "lexical", ("fitted", "rows"))
         return cls(spark.read.parquet(f"{path}/fitted"), spark.read.parquet(f"{path}/rows"), config["count"])
 
-    def retrieve(self, *, subject: str = "", body: str = "", query_text: str | None = None, k: int = 5, corpus: DataFrame | None = None, wanted: dict[str, str] | None = None) -> DataFrame:
+    def retrieve(self, *, subject: str = "", body: str = "", query_text: str | None = None, k: int = 5, corpus: DataFrame | None = None, wanted: dict[str, str] | None = None, clock: Clock | None = None) -> DataFrame:
         """Ranked rows for one text; ``corpus`` (doc_id and metadata columns) with ``wanted`` narrows the rows before scoring. A blank
         query gives an empty result."""
         check_top_k(k)
@@ -434,7 +463,7 @@ class LexicalIndex:
         if query.filter(F.trim("text") == "").count():
             return spark.createDataFrame([], RESULT)
         own = query.select(F.col("doc_id").alias("id")).join(self.transform(query), "id", "left")
-        return lexical_top_k(rows, own, k)
+        return lexical_top_k(rows, own, k, clock)
 
 
 @dataclass

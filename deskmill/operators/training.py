@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import SPLITS
-from deskmill.operators import classify, ml, profile, reports
+from deskmill.operators import classify, ml, profile, reports, search
 from deskmill.sources import svg
 from deskmill.sources.store import cut
 
@@ -67,14 +67,15 @@ def run(prepared: DataFrame, label: str = "queue", rounds: int | None = None, mi
     final_terms = ml.fit_terms(both)
     y = ml.features(rows, final_terms).join(rows.select("doc_id", "split", label), "doc_id")
     final = ml.Calibrated.fit(y.filter("split <> 'test'"), label, rounds or 20)
-    scores = cut(final.scores(y.filter("split = 'test'")), "test-scores")
+    clock = search.Clock()
+    scores = cut(final.scores(y.filter("split = 'test'"), clock), "test-scores")
     test, pred = _metrics(scores, names)
     at = classify.coverage_curve(pred, names).filter(F.abs(F.col("threshold") - threshold["threshold"]) < 1e-9)
     report = {
         "labels": [r["label"] for r in names.orderBy("label").collect()], "class_distribution": {s: reports.nested(profile.distribution(df, label).withColumnRenamed("value", "label"), "label") for s, df in part.items()},
         "label_mentions": _mentions(part["train"]) if label == "queue" else {}, "validation_metrics": validation, "training_history": histories, "selected_model": {"name": chosen, "final": "calibrated_linear_svc", "calibration": f"sigmoid, {ml.FOLDS} folds"},
         "calibrated_validation": {**seen, "threshold": threshold, "curve": reports.nested(curve, "threshold")},
-        "test_metrics": {**test, "calibration": reports.nested(classify.calibration(scores, pred)), "at_threshold": reports.nested(at), "bins": reports.nested(classify.bins(pred), "bin"), "per_class": reports.nested(classify.per_queue_confidence(pred, names), "label"), "confusion": reports.nested(classify.confusion(pred), "truth", "predicted")},
+        "test_metrics": {**test, "ms_per_row": clock.ms() / max(1, test["n"]), "calibration": reports.nested(classify.calibration(scores, pred)), "at_threshold": reports.nested(at), "bins": reports.nested(classify.bins(pred), "bin"), "per_class": reports.nested(classify.per_queue_confidence(pred, names), "label"), "confusion": reports.nested(classify.confusion(pred), "truth", "predicted")},
     }
     return Trained(final, final_terms, report)
 

@@ -124,6 +124,32 @@ def test_cross_split_pairs(spark, monkeypatch, hot):
     assert len(want) > 20 and got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
 
 
+def test_close_pairs(spark):
+    """Every pair that difflib finds similar is kept, and few others reach Python."""
+    import difflib
+
+    rng = np.random.default_rng(6)
+    start = "one two three four five six seven eight"
+    texts = []
+    for k in range(12):
+        body = [f"{chr(97 + int(x))}{int(y)}" for x, y in zip(rng.integers(0, 26, 40), rng.integers(0, 10, 40))]
+        texts.append(f"{start} {' '.join(body)}")
+        if k % 2:
+            body[3] = "é\U0001f600"
+            texts.append(f"{start} {' '.join(body)}")
+    texts += [f"{start} {'z' * 300}", "other start here"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, classifier_text string")
+    ids = {t: i for i, t in enumerate(texts)}
+    inside = sorted(t for t in texts if t.startswith(start))
+    every = [(x, y) for i, x in enumerate(inside) for y in inside[i + 1 :]]
+    ratio = {(ids[x], ids[y]): difflib.SequenceMatcher(None, x, y).ratio() for x, y in every}
+    got = {(r["left_id"], r["right_id"]): r["ratio"] for r in audit.high_similarity_pairs(rows).collect()}
+    assert got == {k: pytest.approx(v) for k, v in ratio.items() if v >= 0.92} and len(got) >= 6
+    near = audit.close_pairs(rows.select(F.lit("b").alias("block"), "doc_id", F.col("classifier_text").alias("text")), 0.92)
+    quick = {k for k in ratio if (m := difflib.SequenceMatcher(None, texts[k[0]], texts[k[1]])).real_quick_ratio() >= 0.92 and m.quick_ratio() >= 0.92}
+    assert {(r["left_id"], r["right_id"]) for r in near.collect()} == quick and len(quick) < len(every) / 2
+
+
 def test_hot_term_makes_no_pairs(spark):
     """A term that 50,000 texts offer: of 1.25 billion pairs only those that can reach the threshold become rows."""
     n = 50_000
@@ -201,6 +227,23 @@ def test_lexical_blocks(spark, monkeypatch):
     assert skipped > 0.5 * len(asked) * len(set(blocks.values()))
 
 
+def test_clock(spark):
+    """Scoring time is observed in the job that scores: more than nothing, and no more than all tasks had of the wall clock."""
+    import time
+
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(4000)], "id long, v array<double>").repartition(4).cache()
+    v.count()
+    clock, began = search.Clock(), time.perf_counter()
+    got = search.dense_top_k(v, v.filter("id < 400"), 5, clock).collect()
+    wall = 1000 * (time.perf_counter() - began)
+    assert len(got) == 2000 and set(got[0].asDict()) == {"query_id", "source_id", "rank", "score"}
+    assert 1 < clock.ms() < 4 * wall
+    index, clock = search.LexicalIndex.build(docs(spark)), search.Clock()
+    rows = search.lexical_top_k(index.rows, index.rows, 2, clock).collect()
+    assert len(rows) == 12 and clock.ms() > 0
+
+
 def test_lexical_scores_in_blocks(spark, monkeypatch):
     """Blocks, the split of common and rare terms, and chunks of rows do not change scores."""
     rng = np.random.default_rng(1)
