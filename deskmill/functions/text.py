@@ -36,8 +36,9 @@ def _class_of(characters: Iterable[str]) -> str:
 
 
 _FOLDS = _odd_folds()
+_FOLDS.pop("ß")  # so common that it has a way of its own
 #: Latin text is told by the first part alone.
-_ODD = f"[\\xb5\\xdf\\x{{100}}-\\x{{10ffff}}&&{_class_of(_FOLDS)}]"
+_ODD = f"[\\xb5\\x{{100}}-\\x{{10ffff}}&&{_class_of(_FOLDS)}]"
 
 
 def clean(c: Column) -> Column:
@@ -46,9 +47,12 @@ def clean(c: Column) -> Column:
 
 
 def fold_clean(t: Column) -> Column:
-    """Full Unicode case folding. Texts without a character that folds otherwise than to lower case, nearly all, go the short way."""
+    """Full Unicode case folding. Texts without a character that folds otherwise than to lower case, nearly all, go the short way; in the
+    others only such characters are looked up."""
+    t = F.replace(t, F.lit("ß"), F.lit("ss"))
     one = F.map_from_arrays(F.array(*map(F.lit, _FOLDS)), F.array(*map(F.lit, _FOLDS.values())))
-    each = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(one, x), F.lower(x)))
+    runs = F.regexp_extract_all(t, F.lit(f"{_ODD}|[^{_ODD[1:]}+"), F.lit(0))
+    each = F.transform(runs, lambda x: F.when(F.regexp_like(F.substring(x, 1, 1), F.lit(_ODD)), F.try_element_at(one, x)).otherwise(F.lower(x)))
     return F.when(F.regexp_like(t, F.lit(_ODD)), F.array_join(each, "")).otherwise(F.lower(t))
 
 
