@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -50,7 +51,7 @@ def fold_clean(t: Column) -> Column:
     """Full Unicode case folding. Texts without a character that folds otherwise than to lower case, nearly all, go the short way; in the
     others only such characters are looked up."""
     t = F.replace(t, F.lit("ß"), F.lit("ss"))
-    one = F.map_from_arrays(F.array(*map(F.lit, _FOLDS)), F.array(*map(F.lit, _FOLDS.values())))
+    one = F.from_json(F.lit(json.dumps(_FOLDS)), "map<string,string>")  # one literal
     runs = F.regexp_extract_all(t, F.lit(f"{_ODD}|[^{_ODD[1:]}+"), F.lit(0))
     each = F.transform(runs, lambda x: F.when(F.regexp_like(F.substring(x, 1, 1), F.lit(_ODD)), F.try_element_at(one, x)).otherwise(F.lower(x)))
     return F.when(F.regexp_like(t, F.lit(_ODD)), F.array_join(each, "")).otherwise(F.lower(t))

@@ -291,15 +291,15 @@ class Blocks:
         lead = F.coalesce("lead", F.lit("")) if "lead" in rows.columns else F.lit("")
         band = F.floor(2 * F.log2(1.0 + F.size("terms"))).cast("long")
         text, number = F.array().cast("array<string>"), F.array().cast("array<double>")
-        own = rows.select("id", F.coalesce("terms", text).alias("terms"), F.coalesce("w", number).alias("w"), lead.alias("lead")).withColumn("band", band)
-        known = own.groupBy("lead", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= size / 4).orderBy(F.desc("n"), "lead", "band").limit(LEADS)
-        known = known.select(F.col("lead").alias("k_lead"), F.col("band").alias("k_band"), F.lit(True).alias("known"))  # at most LEADS rows
-        named = own.join(F.broadcast(known), (F.col("lead") == F.col("k_lead")) & (F.col("band") == F.col("k_band")), "left")
-        named = named.select("id", "terms", "w", F.when(F.col("known"), F.col("lead")).alias("lead"), "band")
-        sizes = named.groupBy("lead", "band").agg(F.ceil(F.count("*") / size).alias("parts")).select(F.col("lead").alias("s_lead"), F.col("band").alias("s_band"), "parts")  # LEADS rows, and one a band
-        same = F.col("lead").eqNullSafe(F.col("s_lead")) & (F.col("band") == F.col("s_band"))
-        block = F.xxhash64("lead", "band", F.pmod(F.xxhash64("id"), F.col("parts")))
-        placed = cut(named.join(F.broadcast(sizes), same).select("id", "terms", "w", block.alias("block")), "lexical-blocks")
+        own = cut(rows.select("id", F.coalesce("terms", text).alias("terms"), F.coalesce("w", number).alias("w"), lead.alias("lead")).withColumn("band", band), "lexical-rows")
+        counts = cut(own.groupBy("lead", "band").agg(F.count("*").alias("n")), "lexical-leads")
+        parts = lambda n: F.ceil(n / F.lit(size))
+        known = counts.filter(F.col("n") >= size / 4).orderBy(F.desc("n"), "lead", "band").limit(LEADS).select(F.col("lead").alias("k_lead"), F.col("band").alias("k_band"), parts(F.col("n")).alias("k_parts"))
+        same = lambda: (F.col("lead") == F.col("k_lead")) & (F.col("band") == F.col("k_band"))
+        pooled = counts.join(F.broadcast(known), same(), "left_anti").groupBy(F.col("band").alias("p_band")).agg(parts(F.sum("n")).alias("p_parts"))  # a row a band
+        block = F.xxhash64(F.when(F.col("k_parts").isNotNull(), F.col("lead")), "band", F.pmod(F.xxhash64("id"), F.coalesce("k_parts", "p_parts")))
+        named = own.join(F.broadcast(known), same(), "left").join(F.broadcast(pooled), F.col("band") == F.col("p_band"), "left")  # at most LEADS rows
+        placed = named.select("id", "terms", "w", block.alias("block"))
         tops = placed.select("block", F.inline(_hashed())).groupBy("h", "block").agg(F.max("x").alias("top"))
         return cls(placed, cut(tops, "block-bounds"))
 

@@ -325,7 +325,7 @@ def model_metrics(spark, sf_dir):
 
 @query(f"with {_MODELS} select model, accuracy, macro_f1, weighted_f1 from mm where split = 'validation' order by macro_f1 desc, weighted_f1 desc, accuracy desc, model desc limit 1")
 def model_selection(spark, sf_dir):
-    return classify.select_model(model_frames(spark, sf_dir).filter("split = 'validation'").drop("split"))
+    return classify.select_model(model_frames(spark, sf_dir).filter("split = 'validation'").drop("split", "top3_accuracy"))
 
 
 @query(f"""with {_MODELS}, u as (unpivot (select model, split, accuracy, macro_f1, weighted_f1 from mm) on accuracy, macro_f1, weighted_f1 into name metric value v)
