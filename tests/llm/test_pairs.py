@@ -69,6 +69,50 @@ def test_join(spark, rows, n, t):
     assert got == brute_components(rows, n, t)
 
 
+@pytest.mark.parametrize("sizes", [ngram_join.Sizes(400, 150, 3, 5, 8), ngram_join.Sizes(900, 100, 4, 7, 10**9), ngram_join.Sizes(part=10**9, hot=2)])
+def test_join_divided(spark, rows, sizes):
+    """Small blocks, ranges dealt in two steps and hot n-grams change no result, with repeated rows too."""
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows + rows[:60:3]], SCHEMA)
+    t = Fraction(85, 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df.repartition(3), 4, t, sizes=sizes).collect()}
+    assert got == brute_components(rows, 4, t)
+
+
+def test_join_hot(spark):
+    """A phrase in every document: no group of entries grows with the documents that share it."""
+    rng = np.random.default_rng(12)
+    count = 20_000
+    words = rng.integers(0, 5000, (count, 12))
+    rows = [(i, "one phrase for all " + " ".join(f"w{x}" for x in w)) for i, w in enumerate(words)]
+    rows += [(count + i, rows[i][1]) for i in range(3)]
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA).repartition(8)
+    sizes = ngram_join.Sizes(flush=20_000, part=5000, wide=16, hot=2000)
+    t = Fraction(85, 100)
+    seen = ngram_join.shingle_sets(df, 4, sizes=sizes).cache()
+    total = seen.filter("gram is null").agg({"n_shingles": "sum"}).first()[0]
+    grams, often = ngram_join.hot_ngrams(seen, total, sizes)
+    assert len(grams) == 1 and 0.9 * count < often[0] <= len(rows)
+    ranges = ngram_join.Ranges.of(total, 8, sizes)
+    assert ranges.inner > 1
+    for hot, most in (((grams, often), 12_000), ((grams[:0], often[:0]), count)):
+        largest = ngram_join.dealt(df, 4, ranges, hot, sizes=sizes).groupBy("part").agg({"n": "sum"}).agg({"sum(n)": "max"}).first()[0]
+        assert largest < most if len(hot[0]) else largest >= most
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df, 4, t, sizes=sizes).collect()}
+    assert got == {d: d - count if d >= count else d for d, _ in rows}
+
+
+def test_join_long_text(spark):
+    """A text of megabytes is one set, and links with its copy."""
+    rng = np.random.default_rng(13)
+    words = [f"t{x}" for x in rng.integers(0, 50_000, 400_000)]
+    other = words[:1000] + ["new"] + words[1001:]
+    rows = [(3, " ".join(words)), (1, " ".join(other)), (2, " ".join(words[:2000]))]
+    df = spark.createDataFrame([(d, x, None, "s", 1) for d, x in rows], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, 4, Fraction(85, 100)).collect()}
+    sets = {d: len(set(zip(*(x.split()[k:] for k in range(4))))) for d, x in rows}
+    assert got == {3: (sets[3], 1), 1: (sets[1], 1), 2: (sets[2], 2)}
+
+
 def test_join_shared_id(spark):
     """An id with several texts has the links of each; the fullest text gives the set size."""
     words = lambda a, n=60: " ".join(f"w{a}x{i}" for i in range(n))
