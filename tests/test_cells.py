@@ -55,3 +55,37 @@ def test_queries_stay_off_the_driver(spark, monkeypatch):
         for c, s in (("l", lexical), ("d", dense)):
             own = np.delete(s[q], q)
             assert np.allclose([e[q][f"low_{c}"], e[q][f"high_{c}"], e[q][f"sum_{c}"]], [own.min(), own.max(), own.sum()])
+
+
+def test_vectors_by_parts(spark, monkeypatch):
+    """Weights of texts in many small parts equal a plain computation; with rows that only are weighed, and few that come out; no join of all
+    terms of all documents is in the plan."""
+    monkeypatch.setattr(search, "PART_CHARACTERS", 60)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 12))) % 40 + 10) or None for _ in range(80)]
+    rows = [(i, t, i % 4 != 1, i % 3 != 0) for i, t in enumerate(texts)]
+    bag = [(t or "").split() for t in texts]
+    bag = [b + [f"{x} {y}" for x, y in zip(b, b[1:])] for b in bag]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fit boolean, keep boolean")
+
+    def want(fit, keep):
+        df = {}
+        for i in filter(fit, range(80)):
+            for t in set(bag[i]):
+                df[t] = df.get(t, 0) + 1
+        n = sum(map(fit, range(80)))
+        out = {}
+        for i in filter(keep, range(80)):
+            x = {t: (1 + np.log(bag[i].count(t))) * (np.log((1 + n) / (1 + df[t])) + 1) for t in set(bag[i]) if t in df}
+            norm = np.sqrt(sum(y * y for y in x.values()))
+            out[i] = {t: (df[t], round(y / norm, 9)) for t, y in x.items()}
+        return out
+
+    got = lambda d: {r["id"]: {t: (f, round(w, 9)) for t, f, w in zip(r["terms"], r["dfs"], r["w"])} for r in d.collect()}
+    assert search.text_parts(docs, "text") > 20
+    assert got(search.document_vectors(docs, names=True)) == want(lambda i: i % 4 != 1, lambda i: i % 3 != 0)
+    every = search.document_vectors(docs.select("doc_id", "text"), names=True)
+    assert got(every) == want(lambda i: True, lambda i: True)
+    assert "SortMergeJoin" not in every._jdf.queryExecution().executedPlan().toString()
+    few = {i: {t: x for t, x in v.items() if x[0] > 1} for i, v in want(lambda i: True, lambda i: True).items()}
+    assert got(search.document_vectors(docs.select("doc_id", "text"), minimum=2, names=True)) == few
