@@ -89,3 +89,14 @@ def test_vectors_by_parts(spark, monkeypatch):
     assert "SortMergeJoin" not in every._jdf.queryExecution().executedPlan().toString()
     few = {i: {t: x for t, x in v.items() if x[0] > 1} for i, v in want(lambda i: True, lambda i: True).items()}
     assert got(search.document_vectors(docs.select("doc_id", "text"), minimum=2, names=True)) == few
+
+
+def test_offers_need_no_shuffle(spark):
+    """What each text offers is told from its own row: no window over all terms of all texts."""
+    from deskmill.operators import audit
+
+    v = spark.createDataFrame([(1, "train", [5, 6, 7], [9, 2, 4], [0.6, 0.64, 0.48]), (2, "test", [8], [3], [1.0])], "doc_id long, split string, h array<long>, dfs array<long>, w array<double>")
+    made = audit.offers(v, 0.9)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["doc_id"], r["term"], round(r["after"], 6), round(r["left"], 6)) for r in made.collect())
+    assert got == [(1, 6, round(float(np.sqrt(0.36 + 0.2304)), 6), round(float(np.sqrt(0.36 + 0.2304)), 6)), (2, 8, 0.0, 0.0)]
