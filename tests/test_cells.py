@@ -100,3 +100,12 @@ def test_offers_need_no_shuffle(spark):
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     got = sorted((r["doc_id"], r["term"], round(r["after"], 6), round(r["left"], 6)) for r in made.collect())
     assert got == [(1, 6, round(float(np.sqrt(0.36 + 0.2304)), 6), round(float(np.sqrt(0.36 + 0.2304)), 6)), (2, 8, 0.0, 0.0)]
+
+
+def test_most_frequent_orders_ties_only(spark):
+    """Every cut, also in the middle of ties, equals an ordered limit, and the frequent terms go through no ordered limit."""
+    rows = [(f"t{i:02}", 2, t) for i, t in enumerate([9, 7, 7, 7, 3, 3, 3, 3, 2, 2])]
+    found = spark.createDataFrame(rows, "term string, df long, total long")
+    order = [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))]
+    for most in (1, 2, 4, 6, 10, 50):
+        assert sorted(r["term"] for r in search.most_frequent(found, most).collect()) == sorted(order[:most])
