@@ -109,3 +109,33 @@ def test_most_frequent_orders_ties_only(spark):
     order = [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))]
     for most in (1, 2, 4, 6, 10, 50):
         assert sorted(r["term"] for r in search.most_frequent(found, most).collect()) == sorted(order[:most])
+
+
+def test_audit_pairs_meet_in_cells(spark, monkeypatch):
+    """Texts in many small parts: the pairs equal a plain computation, their vectors move once a part, and no join makes a row of every two texts that
+    share a term."""
+    from deskmill.operators import audit
+
+    monkeypatch.setattr(audit, "PART_OFFERS", 40)
+    monkeypatch.setattr(audit, "PRODUCTS", 30)
+    monkeypatch.setattr(audit, "BLOCK_VALUES", 60)
+    rng = np.random.default_rng(8)
+    base = rng.random((13, 30)) * (rng.random((13, 30)) < 0.4) + 1e-3
+    x = np.vstack([base + 0.12 * rng.random(base.shape) * (rng.random(base.shape) < 0.3) for _ in range(5)])
+    x = np.where(x > 0.01, x, 0.0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    split = [("train", "test", "validation")[i % 3] for i in range(65)]
+    df = (x > 0).sum(axis=0)
+    rows = [(i, split[i], [int(t) * 7919 - 9 for t in np.flatnonzero(v)], [int(df[t]) for t in np.flatnonzero(v)], v[v > 0].tolist()) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "doc_id long, split string, h array<long>, dfs array<int>, w array<double>")
+    pairs = audit.usual_candidates(audit.offers(v, 0.9), 0.9)
+    assert "SortMergeJoin [a" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = pairs.collect()
+    assert len(found) == len(set(found)) and all(r["a"] < r["b"] and split[r["a"]] != split[r["b"]] for r in found)
+    want = {(i, j): float(x[i] @ x[j]) for i in range(65) for j in range(i + 1, 65) if split[i] != split[j] and x[i] @ x[j] >= 0.9}
+    assert len(want) > 20 and set(want) <= {(r["a"], r["b"]) for r in found}
+    few = spark.createDataFrame([(1, 4), (4, 50), (7, 8)], "a long, b long")
+    kept = audit.in_pairs(v, few)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 7, 8, 50]
+    got = {(r["a"], r["b"]): r["similarity"] for r in audit.similarities(v, pairs).collect()}
+    assert set(got) == {(r["a"], r["b"]) for r in found} and np.allclose([got[k] for k in want], list(want.values()))
