@@ -626,3 +626,14 @@ def test_checksum(spark, tmp_path):
     tables.check_sha256(spark, str(tmp_path / "f"), hashlib.sha256(b"x" * 100_000).hexdigest().upper())
     with pytest.raises(ValueError, match="sha256"):
         tables.check_sha256(spark, str(tmp_path / "f"), "0" * 64)
+
+
+def test_four_digits_as_sql(spark):
+    """Every score of six digits between 0 and 1 is shown as DuckDB rounds and shows it, ties included."""
+    import duckdb
+
+    step = 97  # ties end in 50: tenths of all are enough for them
+    ids = sorted({*range(50, 1_000_001, 100), *range(0, 1_000_001, step)})
+    got = spark.createDataFrame([(i,) for i in ids], "i int").select("i", gates.four(F.col("i") / 1e6).alias("s")).collect()
+    want = dict(duckdb.sql("select i, printf('%.4f', round(i / 1000000.0::double, 4)) from range(1000001) t(i)").fetchall())
+    assert [r for r in got if want[r["i"]] != r["s"]] == []
