@@ -139,3 +139,17 @@ def test_audit_pairs_meet_in_cells(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 7, 8, 50]
     got = {(r["a"], r["b"]): r["similarity"] for r in audit.similarities(v, pairs).collect()}
     assert set(got) == {(r["a"], r["b"]) for r in found} and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_terms_are_counted_in_as_many_tasks_as_parts(spark, monkeypatch):
+    """Both sides of the count grow in number, not in size, with the texts; counts equal those of (doc_id, term) rows, repeated ids and nulls
+    included."""
+    monkeypatch.setattr(search, "PART_CHARACTERS", 200)
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i // 2 if i < 6 else i, " ".join(f"w{x}" for x in rng.integers(10, 30, int(rng.integers(0, 9)))) or None) for i in range(60)], "doc_id long, text string")
+    parts = search.text_parts(docs, "text", search.FINER)
+    assert parts > 2 * spark.sparkContext.defaultParallelism and parts > 3 * search.text_parts(docs, "text")
+    counts = search.term_counts(docs)
+    assert counts._jdf.queryExecution().executedPlan().toString().count(f", {parts})") >= 2
+    plain = search.terms(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
