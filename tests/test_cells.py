@@ -153,3 +153,11 @@ def test_terms_are_counted_in_as_many_tasks_as_parts(spark, monkeypatch):
     assert counts._jdf.queryExecution().executedPlan().toString().count(f", {parts})") >= 2
     plain = search.terms(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_scores_of_a_step_are_bounded():
+    """Two thousand queries meet few enough rows at a time for a million scores, and all rows in the end."""
+    block = search.Block.of(pa.table({"id": pa.array(range(2000), pa.int64()), "v": pa.array([[1.0, 2.0]] * 2000)}))
+    rows = pa.table({"id": pa.array(range(3000), pa.int64()), "v": pa.array([[0.5, 0.5]] * 3000)})
+    sizes = [(len(own), part.num_rows) for own, part in search._steps(block, rows)]
+    assert sum(a for a, _ in sizes) == 3000 and all(a == b and a * 2000 <= 1_000_000 for a, b in sizes)
