@@ -150,6 +150,29 @@ def test_close_pairs(spark):
     assert {(r["left_id"], r["right_id"]) for r in near.collect()} == quick and len(quick) < len(every) / 2
 
 
+def test_match_ratio_is_difflibs(monkeypatch):
+    """The same number bit by bit, above and below 200 characters, with moved parts, and without difflib's own search, which a long text makes slow."""
+    import difflib
+
+    rng = np.random.default_rng(11)
+    pairs = [("", ""), ("", "a"), ("aaaa" * 60, "aaaa" * 55)]
+    for k, letters in enumerate(("ab", "abcdef", "abcdefghijklmnopqrstuvwxyz éß\U0001f600", "".join(map(chr, range(200, 900)))) * 30):
+        size = (3, 150, 199, 200, 260, 700)[k % 6]
+        a = [letters[int(x)] for x in rng.integers(0, len(letters), size)]
+        b = list(a)
+        for at in rng.integers(0, size, size // 12):
+            b[at : at + int(rng.integers(0, 4))] = letters[: int(rng.integers(0, 3))]
+        pairs.append(("".join(a), "".join(b if k % 5 else b[size // 2 :] + b[: size // 2])))
+    wanted = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+    monkeypatch.setattr(audit, "ANCHORS", 0)
+    assert [audit.match_ratio(x, y, 0.5) for x, y in pairs] == [w if w >= 0.5 else None for w in wanted]
+    monkeypatch.undo()
+    monkeypatch.setattr(audit.difflib, "SequenceMatcher", None)
+    for least in (0.0, 0.5, 0.92):
+        assert [audit.match_ratio(x, y, least) for x, y in pairs] == [w if w >= least else None for w in wanted]
+    assert sum(w >= 0.92 for w in wanted) > 5 and sum(w < 0.5 for w in wanted) > 2
+
+
 def test_hot_term_makes_no_pairs(spark):
     """A term that 50,000 texts offer: of 1.25 billion pairs only those that can reach the threshold become rows."""
     n = 50_000
