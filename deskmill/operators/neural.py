@@ -28,7 +28,7 @@ EMBEDDING, FILTERS, WIDTH = 64, 64, 5
 DROP_WORDS, DROP_TOP = 0.20, 0.40
 L2_WORDS, L2_KERNEL = 1e-6, 1e-5
 EPOCHS, PATIENCE, STEPS, RATE, SEED = 12, 2, 8, 5e-3, 42
-ROWS = 128  # of a task's forward pass
+ROWS = 64  # of a task's forward pass
 
 
 @dataclass
@@ -66,16 +66,27 @@ def _random(seed: int, step: int, row: np.ndarray, units: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).astype(float) / 2.0**64
 
 
+def _windows(x: np.ndarray) -> np.ndarray:
+    """A view of the ``WIDTH`` places from each place on, side by side; windows that run over the end of a row are never asked for."""
+    flat = x.reshape(-1, x.shape[2])
+    return np.lib.stride_tricks.as_strided(flat, (len(flat) - WIDTH + 1, WIDTH * x.shape[2]), flat.strides, writeable=False)
+
+
 def _forward(p: dict[str, np.ndarray], ids: np.ndarray, masks: tuple[np.ndarray, np.ndarray] | None) -> dict[str, np.ndarray]:
     n, length = ids.shape
-    half = WIDTH // 2
-    x = np.zeros((n, length + WIDTH - 1, p["words"].shape[1]))
+    half, wide = WIDTH // 2, length + WIDTH - 1
+    filters = p["kernel"].shape[2]
+    x = np.zeros((n, wide, p["words"].shape[1]))
     x[:, half : half + length] = p["words"][ids]
     if masks:
         x *= masks[0][:, None, :]
-    h = sum(x[:, k : k + length] @ p["kernel"][k] for k in range(WIDTH)) + p["bias"]
-    at = h.argmax(axis=1)
-    top = np.maximum(np.take_along_axis(h, at[:, None, :], 1)[:, 0], 0.0)
+    kernel = np.ascontiguousarray(p["kernel"].reshape(-1, filters).T)
+    at, top = np.empty((n, filters), np.int64), np.empty((n, filters))
+    for row in range(n):  # a row's windows and values stay in the cache
+        h = kernel @ _windows(x[row : row + 1]).T
+        at[row] = h.argmax(axis=1)
+        top[row] = h[np.arange(filters), at[row]]
+    top = np.maximum(top + p["bias"], 0.0)
     out = top * masks[1] if masks else top
     z = out @ p["top"] + p["shift"]
     z -= z.max(axis=1, keepdims=True)
@@ -84,10 +95,16 @@ def _forward(p: dict[str, np.ndarray], ids: np.ndarray, masks: tuple[np.ndarray,
     return {"x": x, "at": at, "top": top, "out": out, "chance": chance}
 
 
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, which come in order, and the sums of their rows."""
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values, first, axis=0) if len(keys) else values
+
+
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, y: np.ndarray, w: np.ndarray, masks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Summed weighted loss (without regularisation), its gradient but for words, and the words that occur with their gradients."""
+    """Summed weighted loss (without regularisation), its gradient but for words, and the words that a maximum reaches with their gradients."""
     f = _forward(p, ids, masks)
-    n = len(ids)
+    n, length = ids.shape
     loss = float(-(w * np.log(np.maximum(f["chance"][np.arange(n), y], 1e-300))).sum())
     dz = f["chance"].copy()
     dz[np.arange(n), y] -= 1
@@ -96,20 +113,24 @@ def gradient(p: dict[str, np.ndarray], ids: np.ndarray, y: np.ndarray, w: np.nda
     if masks:
         dtop = dtop * masks[1]
     dtop = np.where(f["top"] > 0, dtop, 0.0)
-    dx = np.zeros_like(f["x"])
-    rows = np.arange(n)[:, None]
-    dkernel = np.empty_like(p["kernel"])
-    for k in range(WIDTH):
-        part = f["x"][rows, f["at"] + k]  # n, filters, embedding
-        dkernel[k] = np.einsum("nf,nfe->ef", dtop, part)
-        np.add.at(dx, (rows, f["at"] + k), dtop[:, :, None] * p["kernel"][k].T[None])
+    embedding, filters = p["kernel"].shape[1:]
+    unit, row = np.nonzero(dtop.T)  # only the place of a filter's maximum has a gradient
+    slope, place = dtop[row, unit], f["at"][row, unit]
+    which, own = _sums(unit, _windows(f["x"])[row * f["x"].shape[1] + place] * slope[:, None])
+    dkernel = np.zeros((filters, WIDTH * embedding))
+    dkernel[which] = own
+    into = np.ascontiguousarray(p["kernel"].transpose(2, 0, 1))  # filter, place of the window, embedding
+    spots = place[:, None] + np.arange(WIDTH) - WIDTH // 2
+    inside = (spots >= 0) & (spots < length)
+    which, k = np.nonzero(inside)
+    word = ids[row[which], spots[inside]]
+    order = np.argsort(word, kind="stable")
+    which, k = which[order], k[order]
+    back = into[unit[which], k] * slope[which, None]
     if masks:
-        dx *= masks[0][:, None, :]
-    half = WIDTH // 2
-    words, place = np.unique(ids, return_inverse=True)
-    dwords = np.zeros((len(words), p["words"].shape[1]))
-    np.add.at(dwords, place.reshape(-1), dx[:, half : half + ids.shape[1]].reshape(-1, dwords.shape[1]))
-    return loss, {"kernel": dkernel, "bias": dtop.sum(axis=0), "top": f["out"].T @ dz, "shift": dz.sum(axis=0)}, words, dwords
+        back *= masks[0][row[which]]
+    words, dwords = _sums(word[order], back)
+    return loss, {"kernel": dkernel.T.reshape(p["kernel"].shape), "bias": dtop.sum(axis=0), "top": f["out"].T @ dz, "shift": dz.sum(axis=0)}, words, dwords
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +258,7 @@ def train_and_evaluate(prepared: DataFrame, label: str = "queue", most: int = ml
     rows = cut(prepared.filter(F.col(label).isNotNull()).select("doc_id", "split", "classifier_text", F.col(label).alias("truth")), "neural-texts")
     part = lambda df, s: df.filter(F.col("split") == s)
     vocabulary = cut(ml.fit_vocabulary(part(rows, "train"), most=most), "neural-vocabulary")
-    x = cut(ml.sequences(rows, vocabulary).join(rows.select("doc_id", "split", "truth"), "doc_id"), "neural-sequences")
+    x = cut(ml.sequences(rows, vocabulary, keep=("split", "truth")), "neural-sequences")
     classes = [r["truth"] for r in part(rows, "train").select("truth").distinct().orderBy("truth").collect()]  # as many as classes
     fitted = fit(part(x, "train"), part(x, "validation"), classes, most, **how)
     names = prepared.sparkSession.createDataFrame([(c,) for c in classes], "label string")

@@ -527,6 +527,16 @@ def test_calibrated(spark, tmp_path):
     assert again == pytest.approx({(r["vec_id"], r["label"]): r["p"] for r in scores.collect()})
 
 
+def test_sequences_stay_in_their_rows(spark):
+    """Places are looked up without moving a word, other columns come along, and texts without words are padding."""
+    df = spark.createDataFrame([(1, "train", "a b? B -- zz"), (2, "test", None), (3, None, " ... ")], "doc_id long, split string, classifier_text string")
+    v = spark.createDataFrame([("a", 3), ("b", 2)], "word string, place int")
+    got = ml.sequences(df, v, length=4, keep=("split",))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "train", [3, 2, 2, 1]), (2, "test", [0] * 4), (3, None, [0] * 4)]
+    assert ml.sequences(df, v.limit(0), length=3).first()["ids"] == [1, 1, 1]
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([(1, "b, a! b"), (2, "A c"), (3, None)], "doc_id long, classifier_text string")
     v = ml.fit_vocabulary(df)

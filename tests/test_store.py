@@ -95,6 +95,17 @@ def test_gradient_is_the_slope():
             assert g[k][at] == pytest.approx(slope, abs=1e-5)
 
 
+def test_gradient_keeps_to_the_maxima():
+    """Only words in the window of some filter's maximum get a row, also at both ends of a text and where no filter is above zero."""
+    rng = np.random.default_rng(4)
+    model = neural.Model.new(["a", "b"], words=400, embedding=4, filters=2, seed=9)
+    ids, y, w = rng.permutation(400).reshape(4, 100), rng.integers(0, 2, 4), np.ones(4)
+    _, _, words, dwords = neural.gradient(model.p, ids, y, w)
+    assert 0 < len(words) <= 4 * 2 * neural.WIDTH and (np.diff(words) > 0).all() and np.abs(dwords).sum(axis=1).all()
+    loss, g, words, dwords = neural.gradient({**model.p, "bias": np.full(2, -9.0)}, ids, y, w)
+    assert len(words) == 0 and dwords.shape == (0, 4) and not g["kernel"].any() and g["shift"].any() and loss > 0
+
+
 def planted(spark, n, seed):
     """Texts whose class is told by a pair of words in order, not by the words alone."""
     rng = np.random.default_rng(seed)
