@@ -527,6 +527,15 @@ def test_calibrated(spark, tmp_path):
     assert again == pytest.approx({(r["vec_id"], r["label"]): r["p"] for r in scores.collect()})
 
 
+def test_first_words_of_long_texts(spark):
+    """The same words as those of the whole text, wherever its start is cut."""
+    texts = ["ab " * 100, "x" * 39 + " y z w v", "a " * 19 + "bcd e f", "- . " * 30 + "a b c d e", "a b c d", "\U0001f600 b c\u00c9 " * 20, "OΣ b c " + "Σ" * 60, " a  b\tc\n" * 9, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string")
+    for length in (1, 2, 4):
+        rows = df.select(ml.first_words("t", length).alias("a"), F.slice(ml._sequence("t"), 1, length).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows) and sum(len(r["b"]) == length for r in rows) >= 6
+
+
 def test_sequences_stay_in_their_rows(spark):
     """Places are looked up without moving a word, other columns come along, and texts without words are padding."""
     df = spark.createDataFrame([(1, "train", "a b? B -- zz"), (2, "test", None), (3, None, " ... ")], "doc_id long, split string, classifier_text string")
