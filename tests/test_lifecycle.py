@@ -267,6 +267,19 @@ def test_clock(spark):
     assert len(rows) == 12 and clock.ms() > 0
 
 
+def test_clock_leaves_the_session(spark):
+    """A model of two classes with a training summary goes to tasks after a search was timed in its session."""
+    from pyspark.ml.linalg import Vectors
+
+    v = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(20)], "id long, v array<double>")
+    search.dense_top_k(v, v.filter("id < 3"), 2, search.Clock()).collect()
+    rows = spark.createDataFrame([(i, Vectors.dense([i % 2, i]), "ab"[i % 2]) for i in range(40)], ["doc_id", "features", "label"])
+    encoder = spark.createDataFrame([("a", 0), ("b", 1)], "label string, index int")
+    model = ml.logistic(5).fit(ml._ready(rows, "label", encoder))
+    assert model.numClasses == 2 and model.hasSummary
+    assert ml.probabilities(model, rows, encoder, "label").filter("label = truth and p > 0.5").count() == 40
+
+
 def test_lexical_scores_in_blocks(spark, monkeypatch):
     """Blocks, the split of common and rare terms, and chunks of rows do not change scores."""
     rng = np.random.default_rng(1)
