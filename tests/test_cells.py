@@ -161,3 +161,53 @@ def test_scores_of_a_step_are_bounded():
     rows = pa.table({"id": pa.array(range(3000), pa.int64()), "v": pa.array([[0.5, 0.5]] * 3000)})
     sizes = [(len(own), part.num_rows) for own, part in search._steps(block, rows)]
     assert sum(a for a, _ in sizes) == 3000 and all(a == b and a * 2000 <= 1_000_000 for a, b in sizes)
+
+
+def test_chunks_keep_every_bit():
+    """Rows come back from a packed chunk as they were: empty and null vectors, like weights, great and negative hashes."""
+    rng = np.random.default_rng(2)
+    h = [sorted(int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)) for n in (5, 0, 300, 7)] + [[-(1 << 63), 0, (1 << 63) - 1], None]
+    w = [[float(x) for x in rng.choice([0.1, 0.1 + 2e-17, 1 / 3, -0.0, 5e-324], len(x))] for x in map(lambda x: x or [], h)]
+    rows = pa.table({"id": pa.array(range(6), pa.int64()), "label": pa.array([1, None, 3, 4, 5, 6]), "h": pa.array(h, pa.list_(pa.int64())), "w": pa.array(w, pa.list_(pa.float64()))})
+    back = search.unpack(*(pa.py_buffer(x) for x in search.pack(rows)))
+    assert back.column("h").to_pylist() == [x or [] for x in h] and back.column("w").to_pylist() == w
+    assert back.select(["id", "label"]).equals(rows.select(["id", "label"]))
+    assert [t.num_rows for t in search._slices(iter([rows, rows.slice(1, 4)]), 4, 306)] == [3, 4, 1, 2]
+    none = rows.slice(0, 0)
+    assert search.unpack(*(pa.py_buffer(x) for x in search.pack(none))).num_rows == 0
+
+
+def test_search_shuffles_neither_side_again(spark, monkeypatch):
+    """Chunks of both sides meet in a product of partitions: the plan has no exchange of corpus or copied queries, and each query has one result a
+    task, however many chunks the corpus has."""
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 5)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(200, 3))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    queries = rows.filter(F.col("id") % 10 == 0)
+    found = search.cells(rows, queries, lambda block, _: search.Best(block, 4, search._semantic, None), search._FOUND_SQL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning" not in plan and plan.count("Exchange rangepartitioning") <= 1
+    assert found.groupBy("query_id").count().filter("count > 4 * 3").count() == 0  # 40 chunks of the corpus, 3 ways
+    want = {q: sorted((i for i in range(200) if i != q), key=lambda i: -(v @ v[q])[i])[:4] for q in range(0, 200, 10)}
+    got = {}
+    for r in search.dense_top_k(rows, queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["source_id"])
+    assert got == want
+
+
+def test_term_counts_of_parts_move_packed(spark, monkeypatch):
+    """Texts are shuffled once, and no row a term of a part is: document frequencies go in packed ranges. Repeated ids, empty texts, rows that only
+    carry a column, and flags that one row of an id has."""
+    monkeypatch.setattr(search, "PART_CHARACTERS", 50)
+    texts = [(1, "ab cd ab", True, False, None), (1, "ef", True, False, None), (2, None, True, False, None), (3, "ab zz", True, False, None), (4, "zz qq zz", True, False, None)]
+    carried = [(i, None, False, True, [float(i)]) for i in (1, 2, 4, 9)]
+    docs = spark.createDataFrame(texts + carried, "doc_id long, text string, fit boolean, keep boolean, v array<double>").withColumn("odd", (F.col("text") == "ef") | (F.col("doc_id") == 9))
+    chunks = search.document_chunks(docs, "test-chunks", minimum=1, carry=("v",), flags=("odd",))
+    got = {r["id"]: r for r in chunks.rows().collect()}
+    assert {i: (r["v"], r["odd"], len(r["h"])) for i, r in got.items()} == {1: ([1.0], True, 5), 2: ([2.0], False, 0), 4: ([4.0], False, 4), 9: ([9.0], True, 0)}
+    idf = lambda df: np.log((1 + 5) / (1 + df)) + 1  # noqa: E731  five rows count
+    raw = np.array([(1 + np.log(2)) * idf(2), *[idf(1)] * 4])
+    assert np.allclose(sorted(got[1]["w"]), sorted(raw / np.sqrt(raw @ raw)))
+    plan = search.document_vectors(docs.select("doc_id", "text", "fit"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
