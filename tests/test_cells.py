@@ -211,3 +211,28 @@ def test_term_counts_of_parts_move_packed(spark, monkeypatch):
     assert np.allclose(sorted(got[1]["w"]), sorted(raw / np.sqrt(raw @ raw)))
     plan = search.document_vectors(docs.select("doc_id", "text", "fit"))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "HashAggregate" not in plan
+
+
+def test_large_blocks_lose_no_pair(spark, monkeypatch):
+    """A start that 40 texts have, dealt into ranges, and one that two have: every pair that difflib finds, each once; with many kinds of characters
+    too, which share columns."""
+    import difflib
+
+    from deskmill.operators import audit
+
+    monkeypatch.setattr(audit, "BLOCK_TEXTS", 6)
+    rng = np.random.default_rng(9)
+    start = "one two three four five six seven eight"
+    bases = [[f"{chr(97 + int(x))}{int(y)}" for x, y in zip(rng.integers(0, 26, 30), rng.integers(0, 10, 30))] for _ in range(8)]
+    texts = [f"{start} {' '.join([*b[:k], 'new', *b[k + 1 :]])}" for b in bases for k in (3, 9, 15, 21, 27)]
+    texts += [f"another start {' '.join(bases[0])} {x}" for x in "ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, classifier_text string")
+    want = {}
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            if x < y and x.split()[:8] == y.split()[:8] and (r := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.92:
+                want[i, j] = r
+    found = audit.high_similarity_pairs(rows).collect()
+    assert len(found) == len(want) > 40 and {(r["left_id"], r["right_id"]): r["ratio"] for r in found} == want
+    wide = ["".join(map(chr, range(k, k + 6000))) for k in (300, 310, 9000)]
+    assert list(audit._close(wide, None, 0.92)) == [(0, 1)] and list(audit._close(wide[:1], wide[1:], 0.92)) == [(0, 1)]
