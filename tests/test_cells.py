@@ -236,3 +236,22 @@ def test_large_blocks_lose_no_pair(spark, monkeypatch):
     assert len(found) == len(want) > 40 and {(r["left_id"], r["right_id"]): r["ratio"] for r in found} == want
     wide = ["".join(map(chr, range(k, k + 6000))) for k in (300, 310, 9000)]
     assert list(audit._close(wide, None, 0.92)) == [(0, 1)] and list(audit._close(wide[:1], wide[1:], 0.92)) == [(0, 1)]
+
+
+def test_like_texts_stand_in_one_part(spark, monkeypatch):
+    """Partners in the audit get one group, two steps away too, and offers one label, so their vectors and terms move to one part; a group or label
+    that is too large is dealt by ids, with the same similarities."""
+    from deskmill.operators import audit
+
+    pairs = spark.createDataFrame([(3, 5), (3, 9), (5, 9), (10, 12), (12, 14), (20, 21)], "a long, b long")
+    assert {r["doc_id"]: r["group"] for r in audit.groups(pairs).collect()} == {3: 3, 5: 3, 9: 3, 10: 10, 12: 10, 14: 10, 20: 20, 21: 20}
+    v = spark.createDataFrame([(i, ("train", "test")[i % 2], [7, 8, 100 + i // 10], [9, 9, 2], [0.5, 0.5, 0.5**0.5]) for i in range(40)], "doc_id long, split string, h array<long>, dfs array<int>, w array<double>")
+    offered = audit.offers(v, 0.9)
+    assert {(r["doc_id"] // 10, r["label"]) for r in offered.collect()} == {(k, 100 + k) for k in range(4)}
+    monkeypatch.setattr(audit, "PART_OFFERS", 13)
+    monkeypatch.setattr(audit, "BLOCK_VALUES", 9)
+    found = {(r["a"], r["b"]) for r in audit.usual_candidates(offered, 0.9).collect()}
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if i // 10 == j // 10 and (i + j) % 2}
+    assert want <= found
+    near = spark.createDataFrame(sorted(want), "a long, b long")
+    assert {(r["a"], r["b"]) for r in audit.similarities(v, near).filter("similarity > 0.999999").collect()} == want
