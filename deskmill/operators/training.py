@@ -38,7 +38,7 @@ def run(prepared: DataFrame, label: str = "queue", rounds: int | None = None, mi
     names = cut(rows.select(F.col(label).alias("label")).distinct(), "training-labels")
     encoder = cut(classify.encode_labels(part["train"].select(F.col(label).alias("label"))), "training-encoder")
     fitted = ml.fit_terms(part["train"])
-    x = ml.features(rows, fitted).join(rows.select("doc_id", "split", label), "doc_id")
+    x = ml.features(rows, fitted, keep=("split", label))
     of = lambda s: x.filter(F.col("split") == s)
 
     validation, histories = {}, {}
@@ -65,7 +65,7 @@ def run(prepared: DataFrame, label: str = "queue", rounds: int | None = None, mi
 
     both = part["train"].unionByName(part["validation"])
     final_terms = ml.fit_terms(both)
-    y = ml.features(rows, final_terms).join(rows.select("doc_id", "split", label), "doc_id")
+    y = ml.features(rows, final_terms, keep=("split", label))
     final = ml.Calibrated.fit(y.filter("split <> 'test'"), label, rounds or 20)
     clock = search.Clock()
     scores = cut(final.scores(y.filter("split = 'test'"), clock), "test-scores")

@@ -255,3 +255,15 @@ def test_like_texts_stand_in_one_part(spark, monkeypatch):
     assert want <= found
     near = spark.createDataFrame(sorted(want), "a long, b long")
     assert {(r["a"], r["b"]) for r in audit.similarities(v, near).filter("similarity > 0.999999").collect()} == want
+
+
+def test_folds_shuffle_no_features(spark):
+    """Labels stand beside the features and weights are broadcast, so a fold's training rows and their margins' sigmoids exchange no vector."""
+    from deskmill.operators import classify, ml
+
+    df = spark.createDataFrame([(i, "red apple tree" if i % 2 else "blue sea water", "ab"[i % 2], None if i == 3 else "train") for i in range(12)], "doc_id long, classifier_text string, queue string, split string")
+    x = ml.features(df, ml.fit_terms(df), keep=("queue", "split"))
+    assert {(r["doc_id"], r["queue"], r["split"]) for r in x.collect()} == {(r["doc_id"], r["queue"], r["split"]) for r in df.collect()}
+    ready = ml._ready(x.filter("doc_id % 3 <> 0"), "queue", classify.encode_labels(df.select(F.col("queue").alias("label"))))
+    left = ready._jdf.queryExecution().executedPlan().toString()
+    assert ready.count() == 8 and "SortMergeJoin" not in left and left.count("BroadcastHashJoin") == 2
